@@ -74,6 +74,16 @@ def ab_bucket(key="transaction_id") -> Column:
     return F.pmod(F.conv(F.substring(F.md5(col(key)), 1, 8), 16, 10).cast("long"), F.lit(100))
 
 
+def fixed(x, digits: int) -> Column:
+    """Python-style fixed-point text (``f"{x:.{digits}f}"``).
+
+    ``format_number`` rounds the exact binary value half-even like Python;
+    ``format_string('%.3f')`` would round the decimal text half-up instead
+    (0.6375 -> 0.638 vs Python's 0.637). Thousands separators removed.
+    """
+    return F.regexp_replace(F.format_number(col(x), digits), ",", "")
+
+
 def money_text(amount="amount") -> Column:
     """Euro text with thousands separator, 2 decimals."""
     return F.concat(F.lit("€"), F.format_number(col(amount), 2))
@@ -81,12 +91,12 @@ def money_text(amount="amount") -> Column:
 
 def money_plain(amount="amount") -> Column:
     """Euro text without separator (alert payloads)."""
-    return F.concat(F.lit("€"), F.format_string("%.2f", col(amount)))
+    return F.concat(F.lit("€"), fixed(amount, 2))
 
 
 def percent_text(score) -> Column:
     """Fraction as a percentage with 2 decimals."""
-    return F.concat(F.format_string("%.2f", col(score) * 100), F.lit("%"))
+    return F.concat(fixed(col(score) * 100, 2), F.lit("%"))
 
 
 def minute_text(ts="timestamp") -> Column:

@@ -153,7 +153,7 @@ def display_row(df: DataFrame) -> DataFrame:
     return df.select(
         "transaction_id",
         X.risk_band().alias("risk_band"),
-        F.concat(F.format_string("%.3f", s), F.lit(" ("), X.risk_band(), F.lit(")")).alias("score_text"),
+        F.concat(X.fixed(s, 3), F.lit(" ("), X.risk_band(), F.lit(")")).alias("score_text"),
         X.money_text().alias("amount_text"),
         X.minute_text().alias("time_text"),
     )
