@@ -115,3 +115,8 @@ ALERT_RULES = [
     ("AnomalyRateTooHigh", "anomaly_share", 1800, ">", 0.5, 900, "warning", "ml-model", 60),
     ("AnomalyRateTooLow", "anomaly_share", 1800, "<", 0.001, 900, "info", "ml-model", 60),
 ]
+
+# Histogram bucket upper bounds (seconds); +Inf is implicit.
+LATENCY_BUCKETS = [0.005, 0.01, 0.025, 0.05, 0.075, 0.1, 0.25, 0.5, 0.75, 1.0, 2.5, 5.0, 7.5, 10.0]
+PROCESSING_BUCKETS = [0.1, 0.5, 1.0, 2.0, 5.0]
+CACHE_TTL_SECONDS = 60
