@@ -34,7 +34,8 @@ def batch_history(batch: DataFrame, history: DataFrame, key: str = "account_id")
 
 def history_before_row(tx: DataFrame, key: str = "account_id",
                        order: tuple[str, ...] = ("timestamp", "transaction_id"),
-                       bucket: str = "hour", with_deviation: bool = True) -> DataFrame:
+                       bucket: str = "hour", with_deviation: bool = True,
+                       base: DataFrame | None = None) -> DataFrame:
     """Count and average of the account's *earlier* rows (current excluded).
 
     Equivalent to ``count/avg OVER (PARTITION BY key ORDER BY order ROWS
@@ -48,6 +49,8 @@ def history_before_row(tx: DataFrame, key: str = "account_id",
        inside each chunk adds the chunk's prefix.
 
     Sums are integer cents, so the result does not depend on plan order.
+    ``base`` (key, base_n, base_sum_cents) is history stored before these
+    rows (the streaming account state); it is added to every prefix.
     """
     b = F.date_trunc(bucket, F.col(order[0]))
     t = tx.withColumn("_b", b).withColumn("_c", X.cents())
@@ -57,6 +60,11 @@ def history_before_row(tx: DataFrame, key: str = "account_id",
     prefix = chunks.select(key, "_b",
                            F.coalesce(F.sum("_cc").over(wk), F.lit(0)).alias("_pc"),
                            F.coalesce(F.sum("_cs").over(wk), F.lit(0)).alias("_ps"))
+    if base is not None:
+        prefix = (prefix.join(base, key, "left")
+                        .withColumn("_pc", F.col("_pc") + F.coalesce(F.col("base_n"), F.lit(0)))
+                        .withColumn("_ps", F.col("_ps") + F.coalesce(F.col("base_sum_cents"), F.lit(0)))
+                        .drop("base_n", "base_sum_cents"))
 
     wl = Window.partitionBy(key, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     out = (t.join(prefix, [key, "_b"], "left")

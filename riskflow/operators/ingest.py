@@ -75,15 +75,18 @@ def anti_existing(batch: DataFrame, target: DataFrame, key: str = "transaction_i
     return batch.join(target.select(key), key, "left_anti")
 
 
-def split_requests(requests: DataFrame):
-    """(accepted TRANSACTION rows, rejects(transaction_id, reject_reason, arrival_ts))."""
+def split_requests(requests: DataFrame, order: tuple[str, ...] = ("arrival_ts", "copy"),
+                   keep: tuple[str, ...] = ("arrival_ts",)):
+    """(accepted TRANSACTION rows, rejects(transaction_id, reject_reason, *keep)).
+
+    ``order`` is the arrival order used by dedupe (first arrival wins)."""
     v = validate(requests)
     bad = v.where(F.col("reject_reason").isNotNull())
     ok = v.where(F.col("reject_reason").isNull()).drop("reject_reason")
-    winners = dedupe_first(ok)
-    dups = duplicates(ok, winners).withColumn("reject_reason", F.lit("Duplicate transaction_id"))
-    rejects = (bad.select("transaction_id", "reject_reason", "arrival_ts")
-                  .unionByName(dups.select("transaction_id", "reject_reason", "arrival_ts")))
+    winners = dedupe_first(ok, order=order)
+    dups = duplicates(ok, winners, order=order).withColumn("reject_reason", F.lit("Duplicate transaction_id"))
+    rejects = (bad.select("transaction_id", "reject_reason", *keep)
+                  .unionByName(dups.select("transaction_id", "reject_reason", *keep)))
     accepted = typed(winners).select(*TRANSACTION_COLUMNS)
     return accepted, rejects
 

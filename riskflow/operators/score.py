@@ -12,14 +12,15 @@ from riskflow.schema import SCORED_COLUMNS
 def score_transactions(tx: DataFrame, raw: Column | None = None,
                        min_score: float = rules.REFERENCE_MIN_SCORE,
                        max_score: float = rules.REFERENCE_MAX_SCORE,
-                       fallback: str = "rules", keep_features: bool = False) -> DataFrame:
+                       fallback: str = "rules", keep_features: bool = False,
+                       base: DataFrame | None = None) -> DataFrame:
     """history-before-row (W1) -> deviation (E1) -> score (E6) -> rules.
 
     ``raw`` is the model's raw decision score as a column over
     (amount, account_avg_amount, deviation_from_avg); default is the
     deterministic stand-in scorer. Pass ``F.lit(None)`` for "model down".
     """
-    h = features.history_before_row(tx)
+    h = features.history_before_row(tx, base=base)
     raw = rules.reference_raw_score() if raw is None else raw
     out = rules.score_with(h, raw, min_score, max_score, fallback=fallback)
     if keep_features:
