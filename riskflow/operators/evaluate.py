@@ -115,8 +115,12 @@ def null_profile(df: DataFrame, required: list[str] = C.QUALITY_REQUIRED_COLUMNS
     cols = [n.alias("row_count")]
     cols += [F.round(F.coalesce(F.try_divide(F.count_if(F.col(c).isNull()).cast("double"), n), F.lit(0.0)),
                      digits).alias(f"null_frac_{c}") for c in required]
-    cols += [F.coalesce(F.max((F.col("amount") <= 0).cast("int")), F.lit(0)).alias("any_nonpositive_amount"),
-             F.round(F.avg(F.col("is_fraud").cast("double")), digits).alias("fraud_rate")]
+    have = set(df.columns)
+    amount_bad = (F.coalesce(F.max((F.col("amount") <= 0).cast("int")), F.lit(0)) if "amount" in have
+                  else F.lit(0))
+    label_mean = (F.round(F.avg(F.col("is_fraud").cast("double")), digits) if "is_fraud" in have
+                  else F.lit(None).cast("double"))
+    cols += [amount_bad.alias("any_nonpositive_amount"), label_mean.alias("fraud_rate")]
     return df.agg(*cols)
 
 

@@ -83,8 +83,10 @@ class Detector:
             return None
         return self.spark.read.parquet(f"{self.path(STATE)}/version={vs[-1]}")
 
-    def stored_ids(self) -> DataFrame | None:
-        vs = _versions(self.spark, self.path(SCORED), "batch_id")
+    def stored_ids(self, batch_id: int) -> DataFrame | None:
+        """Ids stored by batches before ``batch_id`` (a replayed batch must
+        not see -- or read while overwriting -- its own earlier output)."""
+        vs = [v for v in _versions(self.spark, self.path(SCORED), "batch_id") if v < batch_id]
         if not vs:
             return None
         return self.spark.read.parquet(*[f"{self.path(SCORED)}/batch_id={v}" for v in vs]).select("transaction_id")
@@ -103,7 +105,7 @@ class Detector:
         good = parsed.where(F.col("_corrupt").isNull()).drop("_corrupt")
 
         accepted, rejects = ingest.split_requests(good, order=("offset",), keep=("offset",))
-        stored = self.stored_ids()
+        stored = self.stored_ids(batch_id)
         if stored is not None:
             dup = accepted.join(stored.where(F.col("transaction_id").isNotNull()), "transaction_id", "left_semi")
             rejects = rejects.unionByName(dup.select("transaction_id", F.lit("Duplicate transaction_id")
