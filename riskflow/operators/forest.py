@@ -62,9 +62,9 @@ def _uniform(key: Column, *salt) -> Column:
 
 def tree_samples(df: DataFrame, features: list[str], key: str = "transaction_id",
                  n_trees: int = C.N_TREES, psi: int = C.MAX_SAMPLES, seed: int = C.FOREST_SEED,
-                 pool_factor: float = 4.0, oversample: float = 1.5) -> DataFrame:
+                 pool_factor: float = 4.0, oversample: float = 1.5, n: int | None = None) -> DataFrame:
     """Per-tree training samples: (tree, features...) with ≤ ψ rows per tree."""
-    n = df.count()
+    n = df.count() if n is None else n
     psi = int(min(psi, n))
     base = df.select(F.col(key).alias("_key"), *[F.col(f).cast("double").alias(f) for f in features])
     pool_p = min(1.0, pool_factor * n_trees * psi / max(n, 1))
@@ -114,8 +114,9 @@ def _grow(pdf: pd.DataFrame, features: list[str], seed: int, psi: int) -> pd.Dat
 def train(df: DataFrame, features: list[str], key: str = "transaction_id", n_trees: int = C.N_TREES,
           psi: int = C.MAX_SAMPLES, seed: int = C.FOREST_SEED) -> DataFrame:
     """M1: the node table of an isolation forest over ``features``."""
-    samples = tree_samples(df, features, key, n_trees, psi, seed)
-    psi_eff = int(min(psi, df.count()))
+    n = df.count()
+    samples = tree_samples(df, features, key, n_trees, psi, seed, n=n)
+    psi_eff = int(min(psi, n))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         return _grow(pdf, features, seed, psi_eff)

@@ -193,25 +193,33 @@ intervals AS (
 
 
 def _metrics(spark, d):
+    """All rule metrics from two small cached bucket tables (pipeline events
+    at 30 s, request log at 30 s); 60 s series are re-bucketed from 30 s."""
     ev = _pipeline(spark, d)
     rl = adapters.request_log(spark, d)
-    r30 = M.rate_series(spark, ev, 300, 30)
-    inc = M.increase_series(spark, ev, "processed", 600, 60)
-    sh = M.ratio_series(spark, ev, "anomaly", "processed", 1800, 60)
-    he = M.ratio_series(spark, rl.select("ts", (F.col("http_status") >= 500).cast("int").alias("err"),
-                                         F.lit(1).alias("total")), "err", "total", 300, 30)
+    c30 = M.bucket_counts(ev, 30, {c: F.col(c) for c in ("processed", "anomaly", "error")}).cache()
+    c60 = M.rebucket(c30, 2, ["processed", "anomaly"]).cache()
+    d30 = M.dense(spark, c30, 300, 30, ["processed", "anomaly", "error"])
+    inc = M.dense(spark, c60, 600, 60, ["processed"])
+    sh = M.dense(spark, c60, 1800, 60, ["anomaly", "processed"])
+    h30 = M.bucket_counts(rl.select("ts", (F.col("http_status") >= 500).cast("int").alias("err"),
+                                    F.lit(1).alias("total")), 30, {"err": F.col("err"), "total": F.col("total")})
+    he = M.dense(spark, h30, 300, 30, ["err", "total"])
     p95 = M.histogram_quantile(spark, rl, 0.95)
 
-    def m(df, name, interval, value):
-        return df.select(F.lit(name).alias("metric"), F.lit(interval).alias("interval_s"), "tick",
-                         F.col(value).cast("double").alias("value"))
-    return (m(r30, "anomaly_rate", 30, "anomaly_rate")
-            .unionByName(m(r30, "processed_rate", 30, "processed_rate"))
-            .unionByName(m(r30, "error_rate", 30, "error_rate"))
-            .unionByName(m(he, "http_error_share", 30, "ratio"))
-            .unionByName(m(p95, "latency_p95", 30, "quantile"))
-            .unionByName(m(inc, "processed_increase", 60, "increase"))
-            .unionByName(m(sh, "anomaly_share", 60, "ratio")))
+    def series(df, name, interval, value):
+        return df.select(F.lit(name).alias("metric"), F.lit(interval).alias("interval_s"),
+                         M.tick_ts(F.col("k"), interval).alias("tick"), value.cast("double").alias("value"))
+    rate = lambda c: F.round(F.col(c) / F.lit(300.0), 6)
+    ratio = lambda a, b: F.round(F.try_divide(F.col(a).cast("double"), F.col(b)), 6)
+    return (series(d30, "anomaly_rate", 30, rate("anomaly"))
+            .unionByName(series(d30, "processed_rate", 30, rate("processed")))
+            .unionByName(series(d30, "error_rate", 30, rate("error")))
+            .unionByName(series(he, "http_error_share", 30, ratio("err", "total")))
+            .unionByName(p95.select(F.lit("latency_p95").alias("metric"), F.lit(30).alias("interval_s"), "tick",
+                                    F.col("quantile").cast("double").alias("value")))
+            .unionByName(series(inc, "processed_increase", 60, F.col("processed")))
+            .unionByName(series(sh, "anomaly_share", 60, ratio("anomaly", "processed"))))
 
 
 @query("alert_intervals", METRICS_SQL + "\nSELECT * FROM intervals")
