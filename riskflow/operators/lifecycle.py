@@ -108,3 +108,29 @@ def rollback(state: DataFrame, at: Column) -> DataFrame:
     cur = (state.where(F.col("stage") == "Production").join(back.select("model"), "model", "left_semi")
                 .select("model", "version", F.lit("Archived").alias("stage"), at.alias("logged_at")))
     return back.unionByName(cur)
+
+
+class ModelNotReady(RuntimeError):
+    pass
+
+
+def load_model(state: DataFrame, runs: DataFrame, model: str = MODEL_NAME, stage: str | None = "Production") -> dict:
+    """M7: pick the model version to serve and its score bounds.
+
+    ``stage=None`` takes the latest version whatever its stage; the default
+    serves the latest Production version. ``runs`` carries the bounds
+    (min_decision_score, max_decision_score). Raises when no version or no
+    bounds exist. One row reaches the driver.
+    """
+    cand = state.where(F.col("model") == model)
+    if stage is not None:
+        cand = cand.where(F.col("stage") == stage)
+    best = cand.agg(F.max("version").alias("version"))
+    row = (best.join(runs, ["version"], "left")
+               .select("version", "min_decision_score", "max_decision_score").first())
+    if row is None or row["version"] is None:
+        raise ModelNotReady(f"no {stage or 'registered'} version of {model}")
+    if row["min_decision_score"] is None or row["max_decision_score"] is None:
+        raise ModelNotReady(f"score bounds missing for {model} v{row['version']}")
+    return {"version": int(row["version"]), "min_score": float(row["min_decision_score"]),
+            "max_score": float(row["max_decision_score"])}
