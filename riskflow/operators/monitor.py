@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from riskflow import constants as C
 from riskflow.operators.common import exclusive_prefix
+from riskflow.session import reliable
 
 
 def epoch_us(ts: str = "ts") -> Column:
@@ -65,9 +66,10 @@ def tick_range(spark: SparkSession, counts: DataFrame, window_s: int = 0, interv
 
 
 def dense(spark: SparkSession, counts: DataFrame, window_s: int, interval_s: int, cols: list[str]) -> DataFrame:
-    """Dense per-tick window sums. ``counts`` is cached first: it is a small
-    aggregate (one row per bucket) that both the bounds and the sums read."""
-    counts = counts.cache()
+    """Dense per-tick window sums. ``counts`` is a small aggregate (one row
+    per bucket) read by both the bounds and the sums: it is checkpointed
+    once, which also cuts the (long) lineage of the events behind it."""
+    counts = reliable(counts)
     s = sliding(counts, window_s, interval_s, cols)
     grid = tick_range(spark, counts)
     out = grid.join(s, "k", "left")

@@ -12,6 +12,7 @@ from riskflow.plans import views
 from riskflow.plans.registry import query
 from riskflow.plans.sqlparts import TX, hist
 from riskflow.schema import SCORED_COLUMNS
+from riskflow.session import reliable
 
 F3 = C.TRAIN_FEATURES_3
 
@@ -53,7 +54,7 @@ def q_mini_forest(spark, d):
 def _trained(spark, d):
     t = views.tx(spark, d)
     train_set = features.account_features(t)       # training features (W2 / E2)
-    nodes = forest.train(train_set, F3).cache()    # bounded: trees * (2ψ - 1) rows
+    nodes = reliable(forest.train(train_set, F3))  # bounded: trees * (2ψ - 1) rows
     model = Forest.from_nodes(nodes, F3, min(C.MAX_SAMPLES, train_set.count()))
     return t, train_set, nodes, model
 
@@ -84,7 +85,7 @@ def q_retrain_pipeline(spark, d):
     train_set = fm.where("split = 'train'")
     test_set = fm.where("split = 'test'")
     feats = C.TRAIN_FEATURES_9
-    nodes = forest.train(train_set, feats).cache()
+    nodes = reliable(forest.train(train_set, feats))
     model = Forest.from_nodes(nodes, feats, min(C.MAX_SAMPLES, train_set.count()))
     scored_test = test_set.withColumn("raw_score", model.score_column(spark))
     stats = evaluate.eval_stats(scored_test)

@@ -10,6 +10,7 @@ from riskflow.operators import score
 from riskflow.plans import views
 from riskflow.plans.registry import query
 from riskflow.plans.sqlparts import REQ, VALIDATED, scored, with_base
+from riskflow.session import reliable
 from riskflow.sources import adapters
 
 # ---------------------------------------------------------------- SQL helpers
@@ -197,8 +198,8 @@ def _metrics(spark, d):
     at 30 s, request log at 30 s); 60 s series are re-bucketed from 30 s."""
     ev = _pipeline(spark, d)
     rl = adapters.request_log(spark, d)
-    c30 = M.bucket_counts(ev, 30, {c: F.col(c) for c in ("processed", "anomaly", "error")}).cache()
-    c60 = M.rebucket(c30, 2, ["processed", "anomaly"]).cache()
+    c30 = reliable(M.bucket_counts(ev, 30, {c: F.col(c) for c in ("processed", "anomaly", "error")}))
+    c60 = M.rebucket(c30, 2, ["processed", "anomaly"])
     d30 = M.dense(spark, c30, 300, 30, ["processed", "anomaly", "error"])
     inc = M.dense(spark, c60, 600, 60, ["processed"])
     sh = M.dense(spark, c60, 1800, 60, ["anomaly", "processed"])

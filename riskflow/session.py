@@ -51,6 +51,27 @@ def get_spark(app: str = "riskflow", master: str | None = None,
     return spark
 
 
+def configure(spark: SparkSession) -> SparkSession:
+    """Apply riskflow's runtime SQL settings to a session built elsewhere
+    (time zone, AQE, skew join) and make sure a checkpoint folder is set."""
+    for k, v in BASE_CONF.items():
+        if k.startswith("spark.sql."):
+            try:
+                spark.conf.set(k, v)
+            except Exception:  # noqa: BLE001 - static confs of a running session
+                pass
+    ensure_checkpoint_dir(spark)
+    return spark
+
+
+def reliable(df):
+    """Cut the lineage of a reused intermediate: ``checkpoint()`` writes it to
+    the shared checkpoint folder, so a lost executor does not force a
+    recomputation of everything upstream."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints / intermediate tables.
 
