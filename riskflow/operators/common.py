@@ -29,3 +29,28 @@ def exclusive_prefix(df: DataFrame, order_col: str, value_cols: list[str],
     for v in value_cols:
         out = out.withColumn(f"cum_{v}", F.coalesce(F.sum(v).over(wl), F.lit(0)) + F.col(f"_p_{v}"))
     return out.drop("_bk", *[f"_p_{v}" for v in value_cols])
+
+
+def distributed_prefix(df: DataFrame, order_cols: list[str], value_cols: list[str],
+                       partition_cols: list[str] | None = None, inclusive: bool = False,
+                       buckets: int = 1024) -> DataFrame:
+    """Running sums in (partition_cols, order_col) order for keys with
+    arbitrarily many distinct values.
+
+    ``percentile_approx`` gives each group ``buckets - 1`` boundaries (a
+    table of groups × buckets numbers, broadcast); the bucket of a row is
+    the number of boundaries <= its value -- deterministic and monotone, so
+    ties share a bucket and buckets hold about equal row counts. The
+    two-level ``exclusive_prefix`` then does the rest.
+    """
+    parts = list(partition_cols or [])
+    (order_col,) = order_cols
+    probs = [i / buckets for i in range(1, buckets)]
+    q = F.percentile_approx(order_col, probs, 10000)
+    if parts:
+        with_b = df.join(F.broadcast(df.groupBy(*parts).agg(q.alias("_qb"))), parts, "left")
+    else:                                   # one array: a scalar subquery, no join
+        with_b = df.withColumn("_qb", df.agg(q).scalar())
+    bucket = F.size(F.filter(F.col("_qb"), lambda b: b <= F.col(order_col)))
+    out = exclusive_prefix(with_b, order_col, value_cols, bucket, parts, inclusive=inclusive)
+    return out.drop("_qb")

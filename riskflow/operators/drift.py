@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from riskflow import constants as C
 from riskflow.functions.exprs import fixed
 from riskflow.operators import evaluate
-from riskflow.operators.common import exclusive_prefix
+from riskflow.operators.common import distributed_prefix
 
 
 def _pct1(c: Column) -> Column:
@@ -86,7 +86,7 @@ def feature_drift_ks(ref: DataFrame, cur: DataFrame, features: list[str],
     g = long.where(F.col("value").isNotNull()).groupBy("feature", "value").agg(
         F.count_if(F.col("side") == "ref").alias("n_ref"), F.count_if(F.col("side") == "cur").alias("n_cur"))
     tot = g.groupBy("feature").agg(F.sum("n_ref").alias("tot_ref"), F.sum("n_cur").alias("tot_cur"))
-    c = exclusive_prefix(g, "value", ["n_ref", "n_cur"], F.floor(F.col("value")), ["feature"], inclusive=True)
+    c = distributed_prefix(g, ["value"], ["n_ref", "n_cur"], ["feature"], inclusive=True)
     c = c.join(tot, "feature")
     d = F.abs(F.col("cum_n_ref") / F.col("tot_ref") - F.col("cum_n_cur") / F.col("tot_cur"))
     out = c.groupBy("feature", "tot_ref", "tot_cur").agg(F.max(d).alias("ks_statistic"))

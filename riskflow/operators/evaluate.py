@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from riskflow import constants as C
 from riskflow.functions import exprs as X
-from riskflow.operators.common import exclusive_prefix
+from riskflow.operators.common import distributed_prefix
 from riskflow.session import ts_lit
 
 
@@ -75,7 +75,7 @@ def roc_auc(df: DataFrame, label: str, score: Column, digits: int = 6) -> DataFr
     g = (df.select(score.alias("_s"), F.col(label).alias("_y"))
            .groupBy("_s").agg(F.count_if(F.col("_y") == 1).alias("pos"),
                               F.count_if(F.col("_y") == 0).alias("neg")))
-    g = exclusive_prefix(g, "_s", ["neg"], F.floor(F.col("_s") * 1000))
+    g = distributed_prefix(g, ["_s"], ["neg"])
     num = F.sum(F.col("pos") * (F.col("cum_neg") + 0.5 * F.col("neg")))
     P, N = F.sum("pos"), F.sum("neg")
     return g.agg(
