@@ -87,8 +87,8 @@ def review_queue(anoms: DataFrame, amount_range: tuple[float, float] | None = No
     """
     df = normalise_status(anoms)
     if amount_range is None:
-        lo = anoms.agg(F.min("amount")).scalar()
-        hi = anoms.agg(F.max("amount")).scalar()
+        rng = anoms.agg(F.struct(F.min("amount").alias("lo"), F.max("amount").alias("hi"))).scalar()
+        lo, hi = rng.getField("lo"), rng.getField("hi")
     else:
         lo, hi = F.lit(float(amount_range[0])), F.lit(float(amount_range[1]))
     df = df.where((F.col("amount") >= lo) & (F.col("amount") <= hi))
@@ -107,14 +107,12 @@ def high_risk_open(anoms: DataFrame) -> DataFrame:
                     & (F.col("status") == "NEW"))
 
 
-def kpis(all_tx: DataFrame, anoms: DataFrame) -> DataFrame:
-    """Total transactions, total anomalies, anomaly rate % (0 if empty).
-
-    Two one-row aggregates combined through scalar subqueries (no join)."""
-    total = all_tx.agg(F.count(F.lit(1))).scalar()
-    n_anom = anoms.agg(F.count(F.lit(1))).scalar()
-    one = anoms.sparkSession.range(1)
-    return one.select(
+def kpis(scored: DataFrame) -> DataFrame:
+    """Total transactions, total anomalies, anomaly rate % (0 if empty),
+    in one aggregate pass."""
+    total = F.count(F.lit(1))
+    n_anom = F.count_if(F.col("is_anomaly") == 1)
+    return scored.agg(
         total.alias("total_transactions"),
         n_anom.alias("total_anomalies"),
         F.round(F.coalesce(F.try_divide(n_anom * 100.0, total), F.lit(0.0)), 4).alias("anomaly_rate_pct"))

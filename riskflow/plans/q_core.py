@@ -333,8 +333,7 @@ def q_display_row(spark, d):
        round(COALESCE((SELECT count(*) FROM reviewed WHERE is_anomaly = 1) * 100.0
                       / NULLIF((SELECT count(*) FROM reviewed), 0), 0.0), 4) AS anomaly_rate_pct"""))
 def q_kpis(spark, d):
-    r = views.reviewed(spark, d)
-    return review.kpis(r, r.where("is_anomaly = 1"))
+    return review.kpis(views.reviewed(spark, d))
 
 
 @query("by_category", with_base("""SELECT merchant_category, count(*) AS count FROM reviewed
