@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from riskflow.llm import suffix
+from riskflow.llm import minhash, suffix
 from riskflow.llm.common import table
 from riskflow.llm.registry import ORACLE, QUERIES, query
 
@@ -19,3 +19,10 @@ def op1(spark, sf_dir):
     return out.select(F.col("row.doc_id").alias("doc_id"), n.cast("long").alias("n_bytes"),
                       (n - F.octet_length("kept")).cast("long").alias("n_removed"),
                       F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op3_minhash_dedup")
+def op3(spark, sf_dir):
+    out = minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.Plan(width=3, percent=85))
+    return out.select(F.col("doc").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"),
+                      F.coalesce(F.col("doc") == F.col("component"), F.lit(True)).alias("kept"))
