@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from riskflow.llm import minhash, suffix
+from riskflow.llm import langid, minhash, suffix
 from riskflow.llm.common import table
 from riskflow.llm.registry import ORACLE, QUERIES, query
 
@@ -26,3 +26,12 @@ def op3(spark, sf_dir):
     out = minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.Plan(width=3, percent=85))
     return out.select(F.col("doc").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"),
                       F.coalesce(F.col("doc") == F.col("component"), F.lit(True)).alias("kept"))
+
+
+@query("op8_language_id")
+def op8(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.where(~langid.held_out()))
+    out = langid.predict(docs.select("doc_id", "text"), model)
+    return (out.select("row.doc_id", "lang_pred", "score")
+            .select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score"))
