@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from riskflow.session import scratch_path
 
-#: Records of one Arrow batch; bounds what a Python task holds at once.
-BATCH_ROWS = 500
+#: Rows and bytes of one Arrow batch; they bound what a Python task holds at once.
+BATCH_ROWS, BATCH_BYTES = 20_000, 4 << 20
 #: Bits of the row prefilter (8 MB however large the data is) and of one of its rows.
 FILTER_BITS, FILTER_ROW = 1 << 26, 1 << 15
 
@@ -27,6 +27,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def tune(spark: SparkSession) -> None:
     """Session settings of the Python stages: small Arrow batches, UTC."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 

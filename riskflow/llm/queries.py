@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from riskflow.llm import langid, minhash, suffix
+from riskflow.llm import decontam, langid, minhash, suffix
 from riskflow.llm.common import table
 from riskflow.llm.registry import ORACLE, QUERIES, query
 
@@ -35,3 +35,8 @@ def op8(spark, sf_dir):
     out = langid.predict(docs.select("doc_id", "text"), model)
     return (out.select("row.doc_id", "lang_pred", "score")
             .select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score"))
+
+
+@query("op6_decontaminate")
+def op6(spark, sf_dir):
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
