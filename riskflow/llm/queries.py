@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from riskflow.llm import decontam, langid, minhash, suffix
+from riskflow.llm import decontam, langid, minhash, packing, suffix, tokens
 from riskflow.llm.common import table
 from riskflow.llm.registry import ORACLE, QUERIES, query
 
@@ -40,3 +41,9 @@ def op8(spark, sf_dir):
 @query("op6_decontaminate")
 def op6(spark, sf_dir):
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op4_packing")
+def op4(spark, sf_dir):
+    out = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), tokens.WORDS, end=1)
+    return out.select(F.col("doc").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
