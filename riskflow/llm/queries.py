@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from riskflow.llm import decontam, langid, minhash, packing, suffix, tokens
-from riskflow.llm.common import table
+from riskflow.llm import decontam, langid, minhash, packing, suffix, tokenfile, tokens
+from riskflow.llm.common import scratch, table
 from riskflow.llm.registry import ORACLE, QUERIES, query
 
 
@@ -47,3 +47,10 @@ def op6(spark, sf_dir):
 def op4(spark, sf_dir):
     out = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), tokens.WORDS, end=1)
     return out.select(F.col("doc").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query("op5_token_files")
+def op5(spark, sf_dir):
+    uri = scratch(spark, "tokens")
+    done = tokenfile.write_tokens(table(spark, sf_dir, "documents"), uri, public_tokenizers.path("byte_bpe_50k.json"), tokens.SPACE_LED, end=0)
+    return tokenfile.read_tokens(done, uri).select(F.col("doc").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
