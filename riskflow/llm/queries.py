@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from riskflow.llm import decontam, langid, minhash, packing, suffix, tokenfile, tokens
+from riskflow.llm import decontam, langid, minhash, packing, suffix, tokenfile, tokens, warc
 from riskflow.llm.common import scratch, table
 from riskflow.llm.registry import ORACLE, QUERIES, query
 
@@ -54,3 +54,17 @@ def op5(spark, sf_dir):
     uri = scratch(spark, "tokens")
     done = tokenfile.write_tokens(table(spark, sf_dir, "documents"), uri, public_tokenizers.path("byte_bpe_50k.json"), tokens.SPACE_LED, end=0)
     return tokenfile.read_tokens(done, uri).select(F.col("doc").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op9_warc", """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+    d AS (SELECT page_id, strlen(html) AS payload_bytes, sha256(html) AS payload_digest FROM p),
+    f AS (SELECT payload_digest, min(page_id) AS first_id FROM d GROUP BY payload_digest)
+    SELECT page_id, payload_bytes, payload_digest,
+           CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+    FROM d JOIN f USING (payload_digest)""")
+def op9(spark, sf_dir):
+    uri = scratch(spark, "warc")
+    index = warc.archive(table(spark, sf_dir, "pages"), uri)
+    return warc.read(index, uri).select(F.col("page").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")

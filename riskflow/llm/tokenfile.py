@@ -103,7 +103,7 @@ def _fs(uri: str) -> tuple[pafs.FileSystem, str]:
 
 def _put(fs, path: str, attempt: int, write) -> None:
     own = f"{path}.{attempt}.tmp"
-    with fs.open_output_stream(own) as out:
+    with fs.open_output_stream(own, compression=None) as out:
         write(out)
     fs.move(own, path)
 
