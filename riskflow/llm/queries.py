@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from riskflow.llm import decontam, langid, minhash, packing, suffix, tokenfile, tokens, warc
+from riskflow.llm import decontam, hilbert, langid, minhash, packing, suffix, tokenfile, tokens, warc
 from riskflow.llm.common import scratch, table
 from riskflow.llm.registry import ORACLE, QUERIES, query
 
@@ -68,3 +68,12 @@ def op9(spark, sf_dir):
     uri = scratch(spark, "warc")
     index = warc.archive(table(spark, sf_dir, "pages"), uri)
     return warc.read(index, uri).select(F.col("page").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op2_hilbert_shards")
+def op2(spark, sf_dir):
+    text = F.coalesce("text", F.lit(""))
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", (F.octet_length(text) + 1).cast("long").alias("size"),
+                                                     F.crc32(text.cast("binary")).alias("text_crc32"))
+    out = hilbert.shards(rows, ["lang", "source", "size"], "doc_id", count=16)
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
