@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from riskflow.llm import decontam, hilbert, langid, minhash, packing, suffix, tokenfile, tokens, warc
+from riskflow.llm import decontam, hilbert, langid, minhash, packing, spotsigs, suffix, tokenfile, tokens, warc
 from riskflow.llm.common import scratch, table
 from riskflow.llm.registry import ORACLE, QUERIES, query
 
@@ -77,3 +77,15 @@ def op2(spark, sf_dir):
                                                      F.crc32(text.cast("binary")).alias("text_crc32"))
     out = hilbert.shards(rows, ["lang", "source", "size"], "doc_id", count=16)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op7_spotsigs")
+def op7(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = spotsigs.with_next(docs, "doc_id", "text", ["sigs"], lambda df: spotsigs.with_signatures(df, "text", "sigs"))
+    n, half = F.char_length("text"), F.floor(F.char_length("text") / 2).cast("int")
+    rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half)))
+    rows = spotsigs.with_signatures(rows, "edited", "edited_sigs")
+    return rows.select("doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+                       spotsigs.as_text("sigs").alias("fingerprint"), spotsigs.as_text("edited_sigs").alias("edited_fingerprint"),
+                       spotsigs.likeness("sigs", "edited_sigs").alias("near_edited"), spotsigs.likeness("sigs", "next_sigs").alias("near_next"))
