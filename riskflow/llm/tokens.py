@@ -9,13 +9,13 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 from unicodedata import is_normalized
 
 import numpy as np
 
 #: Pieces a process keeps; beyond it the cache starts anew.
-CACHE_PIECES = 500_000
+CACHE_PIECES = 1_000_000
 #: Characters cut into pieces at once.
 SEGMENT = 1 << 20
 #: New pieces encoded in one call.
@@ -109,13 +109,15 @@ class Encoder:
         return ids, off[np.cumsum([0, *sizes])]
 
     def _encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        new = {p for p in pieces if p not in self.at}
-        if new and len(self.at) > CACHE_PIECES:
+        at = np.fromiter(map(self.at.get, pieces, repeat(-1)), np.int64, len(pieces))
+        miss = np.flatnonzero(at < 0)
+        if len(miss) and len(self.at) > CACHE_PIECES:
             self._clear()
-            new = set(pieces)
-        if new:
-            self._learn(list(new))
-        at = np.fromiter(map(self.at.__getitem__, pieces), np.int64, len(pieces))
+            miss = np.arange(len(pieces))
+        if len(miss):
+            lost = [pieces[i] for i in miss.tolist()]
+            self._learn(list(set(lost)))
+            at[miss] = np.fromiter(map(self.at.__getitem__, lost), np.int64, len(lost))
         size = self.size[at]
         off = np.concatenate([[0], np.cumsum(size)])
         return self.flat[np.repeat(self.start[at] - off[:-1], size) + np.arange(off[-1])], off
