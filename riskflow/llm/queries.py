@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from riskflow.llm import decontam, hilbert, langid, minhash, packing, spotsigs, suffix, tokenfile, tokens, warc
+from riskflow.llm import boilerplate, decontam, hilbert, langid, minhash, packing, spotsigs, suffix, tokenfile, tokens, warc
 from riskflow.llm.common import scratch, table
 from riskflow.llm.registry import ORACLE, QUERIES, query
 
@@ -89,3 +89,9 @@ def op7(spark, sf_dir):
     return rows.select("doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
                        spotsigs.as_text("sigs").alias("fingerprint"), spotsigs.as_text("edited_sigs").alias("edited_fingerprint"),
                        spotsigs.likeness("sigs", "edited_sigs").alias("near_edited"), spotsigs.likeness("sigs", "next_sigs").alias("near_next"))
+
+
+@query("op10_main_text")
+def op10(spark, sf_dir):
+    out = boilerplate.extract(table(spark, sf_dir, "pages"))
+    return out.select("row.page_id", "row.url", "text", F.char_length("text").cast("long").alias("n_chars"))
