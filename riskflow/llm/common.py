@@ -53,20 +53,20 @@ def _bit(key: Column) -> Column:
 
 
 def maybe_in(rows: DataFrame, key: Column, keys: DataFrame, key_col: str) -> DataFrame:
-    """``rows`` plus a boolean ``_hit``: false only where ``key`` is surely not in ``keys``.
+    """``rows`` plus a boolean ``__hit``: false only where ``key`` is surely not in ``keys``.
 
     The filter is a bitmap of fixed size (2048 rows of 4 KB), so it may be
     broadcast at any scale; where it is too full to help, more rows say true and
     the exact join behind it drops them. Null keys say false.
     """
-    bits = (keys.select(_bit(F.col(key_col)).alias("_x")).groupBy(F.shiftright("_x", 15).alias("_b"))
-            .agg(F.bitmap_construct_agg(F.col("_x").bitwiseAND(FILTER_ROW - 1)).alias("_bm")))
-    out = rows.withColumn("_x", F.when(key.isNotNull(), _bit(key)))
-    at = F.col("_x").bitwiseAND(FILTER_ROW - 1).cast("int")
-    byte = F.conv(F.hex(F.substring(F.col("_bm"), F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    bits = (keys.select(_bit(F.col(key_col)).alias("__x")).groupBy(F.shiftright("__x", 15).alias("__b"))
+            .agg(F.bitmap_construct_agg(F.col("__x").bitwiseAND(FILTER_ROW - 1)).alias("__bm")))
+    out = rows.withColumn("__x", F.when(key.isNotNull(), _bit(key)))
+    at = F.col("__x").bitwiseAND(FILTER_ROW - 1).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col("__bm"), F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
     hit = F.call_function("shiftright", byte, at.bitwiseAND(7)).bitwiseAND(1) == 1
-    return (out.join(F.broadcast(bits), F.shiftright(F.col("_x"), 15) == F.col("_b"), "left")
-            .withColumn("_hit", F.coalesce(hit, F.lit(False))).drop("_x", "_b", "_bm"))
+    return (out.join(F.broadcast(bits), F.shiftright(F.col("__x"), 15) == F.col("__b"), "left")
+            .withColumn("__hit", F.coalesce(hit, F.lit(False))).drop("__x", "__b", "__bm"))
 
 
 def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:

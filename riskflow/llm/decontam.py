@@ -101,7 +101,7 @@ def _consistent(pairs: DataFrame, rows: DataFrame, slotted: DataFrame) -> DataFr
     rest of the pair's mapping. The mapping of a value is the one that most windows show
     (ties: the smaller text)."""
     ends = pairs.select("doc").distinct()
-    near = maybe_in(rows, F.col("doc"), ends, "doc").where("_hit").drop("_hit").join(ends, "doc", "left_semi")
+    near = maybe_in(rows, F.col("doc"), ends, "doc").where("__hit").drop("__hit").join(ends, "doc", "left_semi")
     left = _slots(near.select("doc", words(F.col("text")).alias("ws")), "doc", "ws").withColumnRenamed("values", "dv")
     right = _slots(slotted, "item", "iw").withColumnRenamed("values", "iv")
     both = (pairs.select("doc", "item", "n_windows").join(right, "item").join(left, ["doc", "h"])

@@ -5,9 +5,11 @@
 2. Texts that agree in one band of coordinates share a bucket. Every member of a
    bucket is compared with one hub, the member with most bucket mates; a group of
    copies so costs one comparison a text.
-3. Members of a bucket that still lie in different components are compared by their
-   sketches, in blocks of BLOCK x BLOCK rows. Pairs below ``floor`` agreements
-   (6.5 standard deviations under the threshold) are left out, all others verified.
+3. Members of a bucket that still lie in different components meet in blocks of
+   BLOCK x BLOCK rows. A pair is looked at in the first band it shares; below ``floor``
+   agreements (6.5 standard deviations under the threshold) it is left out, else its
+   whole sets decide, unless a link of the block has joined its components already.
+   Only links leave the block.
 4. Links are verified on whole sets, made anew from the texts; components are the
    closure of verified links.
 A pair at the threshold misses every band with a chance under 1e-6.
@@ -28,7 +30,7 @@ from riskflow.llm.common import materialise, maybe_in, mix, partitions, seeded,
 from riskflow.llm.graph import components
 from riskflow.llm.shingles import Sketcher, set_key, sets
 
-BLOCK = 512
+BLOCK = 128
 HUB_SHARE = 256      # members that one task's copy of a hub is compared with
 
 
@@ -79,30 +81,52 @@ def _sketch_batches(plan: Plan):
     return run
 
 
-def _block_batches(plan: Plan):
-    """Groups (key, i, j) of rows (side, doc, n, label, sig), sorted -> likely pairs of
-    different components."""
-    def pairs(left, right, same) -> pa.RecordBatch:
-        (da, na, la, sa), (db, nb, lb, sb) = left, right
-        agree = np.zeros((len(da), len(db)), np.int32)
-        for k in range(plan.size):
-            agree += sa[:, k][:, None] == sb[:, k][None, :]
-        ok = (agree >= plan.floor) & (la[:, None] != lb[None, :])
-        ok &= 100 * np.minimum(na[:, None], nb[None, :]) >= plan.percent * np.maximum(na[:, None], nb[None, :])
-        if same:
-            ok &= da[:, None] < db[None, :]
-        x, y = np.nonzero(ok)
-        return pa.RecordBatch.from_arrays([pa.array(da[x]), pa.array(db[y])], ["a", "b"])
-
+def _block(plan: Plan):
+    """The rows (side, band, doc, n, label, sig, text) of one block -> links between
+    different components, enough of them to join what belongs together."""
     def run(table: pa.Table) -> pa.Table:
-        doc, n, label = (table.column(c).to_numpy() for c in ("doc", "n", "label"))
+        doc, n, label, side = (table.column(c).to_numpy() for c in ("doc", "n", "label", "side"))
         buf, off = utf8(table.column("sig"))
-        sig = buf[off[0]:off[-1]].reshape(-1, plan.size)
-        side = table.column("side").to_numpy()
-        l, r = side == 0, side == 1
-        left = (doc[l], n[l], label[l], sig[l])
-        same = not r.any() and table.column("i")[0] == table.column("j")[0]
-        return pa.Table.from_batches([pairs(left, left if same else (doc[r], n[r], label[r], sig[r]), same)])
+        sig = buf[off[0]:off[-1]].reshape(len(doc), plan.bands, plan.rows)
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        if not len(right) and table.column("i")[0] == table.column("j")[0]:
+            right = left
+        own = table.column("band")[0].as_py()
+        agree = np.zeros((len(left), len(right)), np.int32)
+        first = np.ones(agree.shape, bool)
+        for band in range(plan.bands):
+            same = np.zeros(agree.shape, np.int32)
+            for k in range(plan.rows):
+                same += sig[left, band, k][:, None] == sig[right, band, k][None, :]
+            agree += same
+            if band < own:
+                first &= same < plan.rows
+        ok = first & (agree >= plan.floor) & (label[left][:, None] != label[right][None, :])
+        ok &= 100 * np.minimum(n[left][:, None], n[right][None, :]) >= plan.percent * np.maximum(n[left][:, None], n[right][None, :])
+        if right is left:
+            ok &= np.arange(len(left))[:, None] < np.arange(len(right))[None, :]
+        x, y = np.nonzero(ok)
+        order = np.argsort(-agree[x, y], kind="stable")
+        x, y = left[x[order]], right[y[order]]
+        need = np.union1d(x, y)
+        text = table.column("text").combine_chunks().take(pa.array(need, pa.int64()))
+        whole = {int(need[i]): h for i, h in sets(*utf8(text), plan.width)}
+        up: dict[int, int] = {}
+
+        def root(k):
+            while k in up:
+                k = up[k]
+            return k
+
+        links = []
+        for i, j in zip(x.tolist(), y.tolist()):
+            a, b = root(label[i]), root(label[j])
+            if a != b:
+                both = len(np.intersect1d(whole[i], whole[j], assume_unique=True))
+                if 100 * both >= plan.percent * (len(whole[i]) + len(whole[j]) - both):
+                    up[a] = b
+                    links.append((doc[i], doc[j]))
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
     return run
 
 
@@ -132,7 +156,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, plan: Plan) -> DataFrame:
     shares, each with its own copy of the hub's text."""
     pairs = materialise(pairs.distinct(), "pairs")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    near = maybe_in(texts, F.col("doc"), ends, "doc").where("_hit").drop("_hit")
+    near = maybe_in(texts, F.col("doc"), ends, "doc").where("__hit").drop("__hit")
     hubs = pairs.groupBy("b").agg(F.ceil(F.count("*") / HUB_SHARE).cast("int").alias("shares"))
     members = (pairs.join(hubs, "b").withColumn("share", F.pmod(F.xxhash64("a"), "shares").cast("int"))
                .join(near, F.col("a") == near.doc).select(F.col("b").alias("hub"), "share", F.lit(False).alias("lead"), "doc", "text"))
@@ -158,7 +182,7 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan(), text: str = "text", do
     same = reps.where("rep < last").select("k1", "k2", "n", "rep")
     equal = materialise(full.join(same, ["k1", "k2", "n"]).where("doc > rep").select("doc", "rep", "k1", "k2").distinct(), "equal")
     lone = full.join(equal, ["doc", "k1", "k2"], "left_anti").dropDuplicates(["doc", "k1", "k2"])
-    buckets = materialise(lone.select("doc", F.explode("bands").alias("key")).distinct(), "buckets")
+    buckets = materialise(lone.select("doc", F.posexplode("bands").alias("band", "key")).distinct(), "buckets")
     sizes = materialise(buckets.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "sizes")
     members = materialise(buckets.join(sizes, "key"), "members")
     weight = members.groupBy("doc").agg(F.sum("m").alias("mates"))
@@ -173,17 +197,18 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan(), text: str = "text", do
     first = materialise(_verified(near, texts, plan), "verified")
     labels = components(first)
     # the rest: bucket mates in different components, compared in blocks
-    tagged = members.join(labels, members.doc == labels.id, "left").select("key", "doc", F.coalesce("label", "doc").alias("label"))
+    tagged = members.join(labels, members.doc == labels.id, "left").select("key", "band", "doc", F.coalesce("label", "doc").alias("label"))
     open_ = (tagged.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("m"))
              .where("low < high and m > 2").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")))
-    dealt = (tagged.join(open_, "key").join(sig, "doc")
-             .withColumn("block", F.pmod(F.xxhash64("doc"), "blocks").cast("int"))
-             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-             .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-                     F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"), "doc", "n", "label", "sig"))
-    likely = dealt.groupBy("key", "i", "j").applyInArrow(_block_batches(plan), "a long, b long")
-    second = _verified(likely, texts, plan)
-    links = first.unionByName(second)
+    dealt = materialise(tagged.join(open_, "key"), "open")
+    near = maybe_in(texts, F.col("doc"), dealt, "doc").where("__hit").drop("__hit")
+    near = near.withColumn("t", F.xxhash64("text")).dropDuplicates(["doc", "t"]).drop("t")
+    blocks = (dealt.join(sig, "doc").join(near, "doc")
+              .withColumn("block", F.pmod(F.xxhash64("doc"), "blocks").cast("int"))
+              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+              .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+                      F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"), "band", "doc", "n", "label", "sig", "text"))
+    links = first.unionByName(blocks.groupBy("key", "i", "j").applyInArrow(_block(plan), "a long, b long"))
     labels = components(links.unionByName(equal.select(F.col("doc").alias("a"), F.col("rep").alias("b"))))
     return (sk.select("doc", F.col("n").alias("n_shingles")).join(labels, sk.doc == labels.id, "left")
             .select("doc", "n_shingles", F.coalesce("label", "doc").alias("component")))
