@@ -19,7 +19,7 @@ from riskflow.llm.common import materialise, maybe_in, table, tune
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """``docs`` less the rows whose doc_id is in ``ids``; only likely hits are shuffled."""
     sift = maybe_in(docs, F.col("doc_id"), ids, "doc_id")
-    return sift.where("not _hit").drop("_hit").unionByName(sift.where("_hit").drop("_hit").join(ids, "doc_id", "left_anti"))
+    return sift.where("not __hit").drop("__hit").unionByName(sift.where("__hit").drop("__hit").join(ids, "doc_id", "left_anti"))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,8 +38,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     again = found.where("doc is not null and n_shingles > 0").groupBy(F.col("doc").alias("doc_id")).count().where("count > 1").select("doc_id")
     again = materialise(again, "repeated")
     sift = maybe_in(kept, F.col("doc_id"), again, "doc_id")
-    return sift.where("not _hit").drop("_hit").unionByName(
-        sift.where("_hit").drop("_hit").withColumn("_t", F.xxhash64("text")).dropDuplicates(["doc_id", "_t"]).drop("_t"))
+    return sift.where("not __hit").drop("__hit").unionByName(
+        sift.where("__hit").drop("__hit").withColumn("_t", F.xxhash64("text")).dropDuplicates(["doc_id", "_t"]).drop("_t"))
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
