@@ -120,3 +120,6 @@ ALERT_RULES = [
 LATENCY_BUCKETS = [0.005, 0.01, 0.025, 0.05, 0.075, 0.1, 0.25, 0.5, 0.75, 1.0, 2.5, 5.0, 7.5, 10.0]
 PROCESSING_BUCKETS = [0.1, 0.5, 1.0, 2.0, 5.0]
 CACHE_TTL_SECONDS = 60
+
+# amounts beyond this add nothing to sums of money (exact in a double)
+MAX_MONEY = 1e13

@@ -13,8 +13,33 @@ def col(c) -> Column:
 
 
 def cents(amount="amount") -> Column:
-    """Money as integer cents: sums of these are exact and order-independent."""
-    return F.round(col(amount) * 100).cast("long")
+    """Money as integer cents: sums of these are exact and order-independent.
+
+    An amount that is no money (NaN, infinite, or beyond MAX_MONEY) adds 0, so
+    one such row neither ends a job nor drowns an account's history.
+    """
+    a = col(amount)
+    return F.when(F.abs(a) <= C.MAX_MONEY, F.round(a * 100).cast("long")).when(a.isNotNull(), F.lit(0).cast("long"))
+
+
+# a number as text: sign, digits, exponent, or nan / inf (not the suffixed and
+# hexadecimal forms that a cast to double would also read)
+NUMBER = r"(?i)^\s*[+-]?(nan|inf(inity)?|([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?)\s*$"
+# a time of day that ends in a zone
+ZONED = r"[0-9]:[0-9]{2}.*(Z|[+-][0-9]{2}(:?[0-9]{2})?)$"
+
+
+def number(text) -> Column:
+    """Text -> double, NULL where it is no number."""
+    c = col(text).cast("string")
+    return F.when(c.rlike(NUMBER), c.try_cast("double"))
+
+
+def utc_timestamp(text) -> Column:
+    """Text -> zone-less UTC timestamp, NULL where it is none; an offset is applied."""
+    c = col(text).cast("string")
+    return (F.when(c.rlike(ZONED), c.try_cast("timestamp").cast("timestamp_ntz"))
+             .otherwise(c.try_cast("timestamp_ntz")))
 
 
 def safe_ratio(num, den) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from riskflow import constants as C
 from riskflow.functions import exprs as X
+from riskflow.session import reliable
 
 
 def account_aggregates(tx: DataFrame, key: str = "account_id") -> DataFrame:
@@ -18,43 +19,36 @@ def account_aggregates(tx: DataFrame, key: str = "account_id") -> DataFrame:
                       (F.col("_s") / (F.col("account_tx_count") * 100.0)).alias("account_avg_amount")))
 
 
-def lookup_aggregates(tx: DataFrame, aggs: DataFrame, key: str = "account_id") -> DataFrame:
-    """Left join to account state; unknown account -> (0, 0.0)."""
-    return (tx.join(aggs, key, "left")
-              .withColumn("account_tx_count", F.coalesce(F.col("account_tx_count"), F.lit(0)).cast("long"))
-              .withColumn("account_avg_amount", F.coalesce(F.col("account_avg_amount"), F.lit(0.0))))
-
-
 def batch_history(batch: DataFrame, history: DataFrame, key: str = "account_id") -> DataFrame:
-    """Aggregates for only the accounts present in the batch (semi-join
-    first, so the history scan feeds a single grouped aggregate)."""
-    ids = batch.select(key).distinct()
-    return account_aggregates(history.join(ids, key, "left_semi"), key)
+    """Aggregates for only the accounts present in the batch. The history is
+    pre-aggregated before its shuffle, so that a hot account is one row a task; the semi
+    join then sees one row an account."""
+    return account_aggregates(history, key).join(batch.select(key).distinct(), key, "left_semi")
 
 
 def history_before_row(tx: DataFrame, key: str = "account_id",
                        order: tuple[str, ...] = ("timestamp", "transaction_id"),
-                       bucket: str = "hour", with_deviation: bool = True,
+                       with_deviation: bool = True,
                        base: DataFrame | None = None) -> DataFrame:
     """Count and average of the account's *earlier* rows (current excluded).
 
-    Equivalent to ``count/avg OVER (PARTITION BY key ORDER BY order ROWS
-    BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)``, but computed in two
-    levels so that one hot account never lands whole in one task:
+    ``order`` says which rows are earlier: the arrival columns where rows arrive
+    out of event order. Equivalent to ``count/avg OVER (PARTITION BY key ORDER BY
+    order ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)``, but no account lands
+    whole in one task:
 
-    1. chunk totals per (key, time bucket) -- a partial aggregate, small;
-    2. exclusive prefix sums of the chunk totals per key (one row per
-       bucket, so even the hottest key has only #buckets rows);
-    3. the big side is shuffled once on (key, bucket) and a running window
-       inside each chunk adds the chunk's prefix.
+    1. the rows are range-partitioned on (key, order) and written to the shared
+       folder, so a hot account lies in as many partitions as its rows fill;
+    2. totals per (key, partition) -- one row a partition at most -- get exclusive
+       prefix sums per key;
+    3. a running window inside each (key, partition) adds the prefix.
 
     Sums are integer cents, so the result does not depend on plan order.
     ``base`` (key, base_n, base_sum_cents) is history stored before these
     rows (the streaming account state); it is added to every prefix.
     """
-    b = F.date_trunc(bucket, F.col(order[0]))
-    t = tx.withColumn("_b", b).withColumn("_c", X.cents())
-
+    t = reliable(tx.withColumn("_c", X.cents()).repartitionByRange(key, *order)
+                   .withColumn("_b", F.spark_partition_id()))
     chunks = t.groupBy(key, "_b").agg(F.count(F.lit(1)).alias("_cc"), F.sum("_c").alias("_cs"))
     wk = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     prefix = chunks.select(key, "_b",
@@ -86,9 +80,11 @@ def account_features(tx: DataFrame, key: str = "account_id") -> DataFrame:
     (current row included), training deviation and amount-to-max ratio.
 
     Written as grouped aggregate + join-back instead of an unbounded window
-    so that a hot account is pre-aggregated, never buffered in one task.
+    so that a hot account is pre-aggregated, never buffered in one task. The
+    aggregate is checkpointed: a join side that is an aggregate right above its
+    exchange cannot be split, a stored one is shuffled anew and AQE splits the join.
     """
-    aggs = (tx.groupBy(key)
+    aggs = reliable(tx.groupBy(key)
               .agg(F.sum(X.cents()).alias("_s"),
                    F.count("amount").alias("account_tx_count"),
                    F.max("amount").alias("account_max_amount"))

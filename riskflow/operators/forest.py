@@ -62,19 +62,20 @@ def _uniform(key: Column, *salt) -> Column:
 
 def tree_samples(df: DataFrame, features: list[str], key: str = "transaction_id",
                  n_trees: int = C.N_TREES, psi: int = C.MAX_SAMPLES, seed: int = C.FOREST_SEED,
-                 pool_factor: float = 4.0, oversample: float = 1.5, n: int | None = None) -> DataFrame:
-    """Per-tree training samples: (tree, features...) with ≤ ψ rows per tree."""
+                 oversample: float = 1.5, n: int | None = None) -> DataFrame:
+    """Per-tree training samples: (tree, features...) with ψ rows per tree (all rows
+    where there are fewer).
+
+    Every tree draws from all rows: a row enters a tree if its hash with the tree is
+    under 1.5 ψ / n, and the ψ smallest hashes stay. So a row is exploded into the few
+    trees it enters, and a tree's window sees about 1.5 ψ rows, whatever n is.
+    """
     n = df.count() if n is None else n
     psi = int(min(psi, n))
+    p = oversample * psi / max(n, 1) + 40 / max(n, 1)
     base = df.select(F.col(key).alias("_key"), *[F.col(f).cast("double").alias(f) for f in features])
-    pool_p = min(1.0, pool_factor * n_trees * psi / max(n, 1))
-    pool = base.where(_uniform(F.col("_key"), seed, -1) < F.lit(pool_p)) if pool_p < 1.0 else base
-    pool_n = max(1.0, pool_p * n)
-    tree_p = min(1.0, oversample * psi / pool_n)
-    t = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))))
-    t = t.withColumn("_h", _uniform(F.col("_key"), seed, F.col("tree")))
-    if tree_p < 1.0:
-        t = t.where(F.col("_h") < F.lit(tree_p))
+    drawn = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)), lambda t: _uniform(F.col("_key"), seed, t) < F.lit(p))
+    t = base.withColumn("tree", F.explode(drawn)).withColumn("_h", _uniform(F.col("_key"), seed, F.col("tree")))
     w = Window.partitionBy("tree").orderBy("_h", "_key")
     return (t.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= psi)
              .select(F.col("tree").cast("int"), *features))
@@ -119,6 +120,8 @@ def train(df: DataFrame, features: list[str], key: str = "transaction_id", n_tre
     psi_eff = int(min(psi, n))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) < psi_eff:               # 8 standard deviations off; repeated keys draw alike
+            raise ValueError(f"tree {pdf['tree'].iloc[0]} drew {len(pdf)} of {psi_eff} rows")
         return _grow(pdf, features, seed, psi_eff)
 
     return samples.groupBy("tree").applyInPandas(build, schema=NODE_SCHEMA)

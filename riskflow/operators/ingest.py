@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from riskflow import constants as C
+from riskflow.functions import exprs as X
 from riskflow.schema import SCORED, TRANSACTION_COLUMNS
 
 
@@ -14,11 +14,12 @@ def reject_reason() -> Column:
     """The first failed check, in the reference order, else NULL.
 
     Missing fields are checked in order; then the amount must parse as a
-    number (``try_cast``, so ANSI mode does not raise) and be > 0. NaN and
-    +Infinity pass (Spark orders NaN above every number). A missing label
-    is an extra, later reason: such a row could never be stored.
+    number and be > 0. NaN and +Infinity pass (Spark orders NaN above every
+    number). A missing label is an extra, later reason: such a row could never
+    be stored. Checks and ``typed`` share their expressions, so what passes
+    here never fails there.
     """
-    amount_num = F.col("amount").try_cast("double")
+    amount_num = X.number("amount")
     checks = [F.when(F.col(f).isNull(), F.lit(f"Missing required field: {f}"))
               for f in C.REQUIRED_FIELDS]
     checks += [
@@ -26,7 +27,7 @@ def reject_reason() -> Column:
         F.when(amount_num <= 0, F.concat(F.lit("Invalid amount: "), amount_num.cast("string"),
                                          F.lit(" (must be positive)"))),
         F.when(F.col("is_fraud").isNull(), F.lit("Missing required field: is_fraud")),
-        F.when(F.try_to_timestamp(F.col("timestamp")).isNull(),
+        F.when(X.utc_timestamp("timestamp").isNull(),
                F.concat(F.lit("Invalid timestamp format: "), F.col("timestamp"))),
     ]
     return F.coalesce(*checks)
@@ -39,63 +40,65 @@ def validate(requests: DataFrame) -> DataFrame:
 
 def typed(valid: DataFrame) -> DataFrame:
     """Valid requests -> TRANSACTION types (amount parsed once, timestamp parsed)."""
-    out = (valid.withColumn("amount", F.col("amount").try_cast("double"))
-                .withColumn("timestamp", F.to_timestamp_ntz(F.col("timestamp")))
+    out = (valid.withColumn("amount", X.number("amount"))
+                .withColumn("timestamp", X.utc_timestamp("timestamp"))
                 .withColumn("is_fraud", F.col("is_fraud").cast("int")))
     return out
 
 
 def dedupe_first(valid: DataFrame, key: str = "transaction_id",
                  order: tuple[str, ...] = ("arrival_ts", "copy")) -> DataFrame:
-    """I5 within a batch: the first arrival of each key wins.
+    """I5 within a batch: the first arrival of each key wins; rows that arrive
+    together are ordered by their other columns, so the winner is always the same.
 
-    ``min_by`` is an ordinary aggregate, so a key that is replayed millions
-    of times is pre-aggregated map-side (no group is ever buffered whole).
+    ``min`` of a struct is an ordinary aggregate, so a key that is replayed
+    millions of times is pre-aggregated map-side (no group is ever buffered whole).
     """
-    cols = [c for c in valid.columns if c != key]
-    return (valid.groupBy(key)
-                 .agg(F.min_by(F.struct(*cols), F.struct(*order)).alias("_w"))
-                 .select(key, "_w.*"))
+    return _winners(valid, key, order).select(key, "_w.*")
 
 
-def duplicates(valid: DataFrame, winners: DataFrame, key: str = "transaction_id",
-               order: tuple[str, ...] = ("arrival_ts", "copy")) -> DataFrame:
-    """Rows that lost I5 (later copies of an already-seen key)."""
-    w = winners.select(key, *[F.col(o).alias(f"_w_{o}") for o in order])
-    j = valid.join(w, key, "inner")
-    same = None
-    for o in order:
-        c = F.col(o).eqNullSafe(F.col(f"_w_{o}"))
-        same = c if same is None else same & c
-    return j.where(~same).drop(*[f"_w_{o}" for o in order])
+def _winners(valid: DataFrame, key: str, order: tuple[str, ...]) -> DataFrame:
+    rest = [c for c in valid.columns if c != key and c not in order]
+    return valid.groupBy(key).agg(F.min(F.struct(*order, *rest)).alias("_w"), F.count(F.lit(1)).alias("_n"))
 
 
-def anti_existing(batch: DataFrame, target: DataFrame, key: str = "transaction_id") -> DataFrame:
-    """I5 across batches / J4 insert-ignore: keep keys not already stored."""
-    return batch.join(target.select(key), key, "left_anti")
+def duplicates(valid: DataFrame, key: str = "transaction_id",
+               order: tuple[str, ...] = ("arrival_ts", "copy")) -> DataFrame:
+    """Rows that lost I5: for each key all rows but one. Copies equal to the winner in
+    every column are counted per key, and all but one of them come back."""
+    rest = [c for c in valid.columns if c != key and c not in order]
+    again = _winners(valid, key, order).where("_n > 1")
+    rows = valid.select(key, F.struct(*order, *rest).alias("_r")).join(again, key)
+    later = rows.where("_r != _w").select(key, "_r.*")
+    equal = (rows.where("_r = _w").groupBy(key).agg(F.min("_r").alias("_r"), F.count(F.lit(1)).alias("_c"))
+                 .where("_c > 1").withColumn("_i", F.explode(F.sequence(F.lit(2), F.col("_c").cast("int")))).select(key, "_r.*"))
+    return later.unionByName(equal).select(*valid.columns)
 
 
 def split_requests(requests: DataFrame, order: tuple[str, ...] = ("arrival_ts", "copy"),
                    keep: tuple[str, ...] = ("arrival_ts",)):
-    """(accepted TRANSACTION rows, rejects(transaction_id, reject_reason, *keep)).
+    """(accepted TRANSACTION rows with their ``order`` columns,
+    rejects(transaction_id, reject_reason, *keep)).
 
-    ``order`` is the arrival order used by dedupe (first arrival wins)."""
+    ``order`` is the arrival order used by dedupe (first arrival wins) and by
+    the history behind it."""
     v = validate(requests)
     bad = v.where(F.col("reject_reason").isNotNull())
     ok = v.where(F.col("reject_reason").isNull()).drop("reject_reason")
-    winners = dedupe_first(ok, order=order)
-    dups = duplicates(ok, winners, order=order).withColumn("reject_reason", F.lit("Duplicate transaction_id"))
+    dups = duplicates(ok, order=order).withColumn("reject_reason", F.lit("Duplicate transaction_id"))
     rejects = (bad.select("transaction_id", "reject_reason", *keep)
                   .unionByName(dups.select("transaction_id", "reject_reason", *keep)))
-    accepted = typed(winners).select(*TRANSACTION_COLUMNS)
+    accepted = typed(dedupe_first(ok, order=order)).select(*TRANSACTION_COLUMNS, *order)
     return accepted, rejects
 
 
-def dead_letter(rejects: DataFrame, at: Column) -> DataFrame:
-    """Dead-letter record {transaction, error, timestamp} as JSON text."""
+def dead_letter(rejects: DataFrame, at: Column, raw: str | None = None) -> DataFrame:
+    """Dead-letter record {transaction, error, timestamp} as JSON text; the
+    transaction is the message as it came (column ``raw``) or the row's columns."""
     tx_cols = [c for c in rejects.columns if c not in ("reject_reason",)]
+    tx = F.col(raw) if raw else F.to_json(F.struct(*tx_cols))
     return rejects.select(
-        F.to_json(F.struct(F.to_json(F.struct(*tx_cols)).alias("transaction"),
+        F.to_json(F.struct(tx.alias("transaction"),
                            F.col("reject_reason").alias("error"),
                            at.alias("timestamp"))).alias("value"))
 
@@ -113,13 +116,3 @@ def schema_evolve(df: DataFrame) -> DataFrame:
             df = df.withColumn(f.name, F.lit(None).cast(f.dataType))
     return df.select(*[f.name for f in SCORED.fields],
                      *[c for c in df.columns if c not in {f.name for f in SCORED.fields}])
-
-
-def parse_messages(raw: DataFrame, schema: T.StructType, value_col: str = "value") -> DataFrame:
-    """JSON text -> columns; an unparsable message keeps its text in
-    ``_corrupt`` so it can be rejected instead of stopping the job."""
-    parsed = F.from_json(F.col(value_col), schema, {"mode": "PERMISSIVE"})
-    return (raw.withColumn("_p", parsed)
-               .withColumn("_corrupt", F.when(F.col("_p").isNull() | F.col(value_col).isNull()
-                                              | ~F.col(value_col).startswith("{"), F.col(value_col)))
-               .select("_p.*", "_corrupt"))

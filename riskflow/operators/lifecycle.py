@@ -76,6 +76,27 @@ def transition_events(decision: DataFrame, current_production: DataFrame) -> Dat
     return up.unionByName(old)
 
 
+def run_history(runs: DataFrame, min_improvement: float = C.PROMOTION_MIN_IMPROVEMENT) -> DataFrame:
+    """M6 for every run in turn: each version is compared with the production of that
+    moment and ends in Production (the old one in Archived) or in Staging.
+
+    Decisions depend on one another, so the runs of a model -- one row a version -- are
+    folded in version order inside one row.
+    """
+    event = "struct<version:int,stage:string,logged_at:timestamp_ntz>"
+    state = f"struct<p:int,f:double,e:array<{event}>>"
+    one = "named_struct('version', {0}, 'stage', '{1}', 'logged_at', x.logged_at)".format
+    folded = runs.groupBy("model").agg(F.expr("array_sort(collect_list(struct(version, coalesce(f1_score, 0D) AS f1, logged_at)))").alias("r")).select(
+        "model", F.expr(f"""aggregate(r, CAST(named_struct('p', NULL, 'f', 0D, 'e', array()) AS {state}),
+            (s, x) -> CAST(
+              CASE WHEN s.p IS NULL THEN named_struct('p', x.version, 'f', x.f1, 'e', concat(s.e, array({one("x.version", "Production")})))
+                   WHEN x.f1 - s.f >= {min_improvement}
+                   THEN named_struct('p', x.version, 'f', x.f1, 'e', concat(s.e, array({one("x.version", "Production")}, {one("s.p", "Archived")})))
+                   ELSE named_struct('p', s.p, 'f', s.f, 'e', concat(s.e, array({one("x.version", "Staging")}))) END AS {state})).e""").alias("e"))
+    return (registration_events(runs)
+            .unionByName(folded.select("model", F.explode("e").alias("x")).select("model", "x.*")))
+
+
 def stage_state(events: DataFrame) -> DataFrame:
     """W3 over events: the latest stage of every version (last event wins;
     among events at the same instant the later-ranked stage wins)."""
@@ -126,7 +147,7 @@ def load_model(state: DataFrame, runs: DataFrame, model: str = MODEL_NAME, stage
     if stage is not None:
         cand = cand.where(F.col("stage") == stage)
     best = cand.agg(F.max("version").alias("version"))
-    row = (best.join(runs, ["version"], "left")
+    row = (best.join(runs.where(F.col("model") == model), ["version"], "left")
                .select("version", "min_decision_score", "max_decision_score").first())
     if row is None or row["version"] is None:
         raise ModelNotReady(f"no {stage or 'registered'} version of {model}")

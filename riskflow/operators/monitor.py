@@ -41,10 +41,17 @@ def bucket_counts(events: DataFrame, interval_s: int, sums: dict[str, Column],
                   .agg(*[F.sum(v).alias(k) for k, v in sums.items()]))
 
 
+def steps(window_s: int, interval_s: int) -> int:
+    """Ticks of a window; a window that is no multiple of the interval is an error."""
+    if window_s % interval_s:
+        raise ValueError(f"a window of {window_s} s is no multiple of {interval_s} s")
+    return window_s // interval_s
+
+
 def sliding(counts: DataFrame, window_s: int, interval_s: int, cols: list[str],
             labels: list[str] | None = None) -> DataFrame:
     """Per tick k: sum of buckets k-n .. k-1 (n = window / interval)."""
-    n = window_s // interval_s
+    n = steps(window_s, interval_s)
     e = counts.withColumn("k", F.explode(F.sequence(F.col("b") + 1, F.col("b") + n)))
     return e.groupBy("k", *(labels or [])).agg(*[F.sum(c).alias(c) for c in cols])
 
@@ -261,10 +268,10 @@ def rolling_mean_rate(spark, ev: DataFrame, col: str = "processed", window_s: in
     buckets) and S(t-m) an equi-join on the tick index, so no task ever
     holds the whole series and the result is an exact integer quotient.
     """
-    m = over_s // interval_s
+    m = steps(over_s, interval_s)
     counts = bucket_counts(ev, interval_s, {col: F.col(col)})
     d = dense(spark, counts, window_s, interval_s, [col])
-    ticks_per_day = 86400 // interval_s
+    ticks_per_day = steps(86400, interval_s)
     p = exclusive_prefix(d.select("k", F.col(col).alias("c")), "k", ["c"],
                          F.floor(F.col("k") / ticks_per_day), inclusive=True)
     p = p.select("k", "c", F.col("cum_c").alias("S"))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskflow import constants as C
-from riskflow.session import ts_lit
+from riskflow.session import reliable, ts_lit
 
 # bytes per row used by the storage estimate (hot / warm rows; cold rows
 # before a 3:1 gzip ratio)
@@ -102,29 +102,39 @@ def export_cold(archive: DataFrame, base_path: str, as_of: str, archive_days: in
     return n, path
 
 
-def read_cold(spark, path: str, schema) -> DataFrame:
-    """Read an export back (JSON lines; JSON arrays need multiLine)."""
-    return (spark.read.schema(schema).option("multiLine", False)
+def read_cold(spark, path: str, schema, array: bool = False) -> DataFrame:
+    """Read an export back: JSON lines, or with ``array`` files that hold one JSON
+    array each (such a file is read by one task)."""
+    return (spark.read.schema(schema).option("multiLine", array)
                  .option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").json(path))
 
 
 def purge_keep(archive: DataFrame, as_of: str, purge_days: int = C.PURGE_DAYS,
                holds: DataFrame | None = None) -> DataFrame:
-    """P4 (+J7): the archive after the purge: rows at or after the purge
-    cutoff, plus older rows of accounts under legal hold."""
-    keep = F.col("timestamp") >= cutoff(as_of, purge_days)
+    """P4 (+J7): the archive after the purge: all rows but those before the purge
+    cutoff (rows without a timestamp stay), plus older rows of accounts under legal hold."""
+    old = _old(as_of, purge_days)
     if holds is None:
-        return archive.where(keep)
-    held = holds.select("account_id").distinct().withColumn("_held", F.lit(True))
-    j = archive.join(held, "account_id", "left")
-    return j.where(keep | F.col("_held").isNotNull()).drop("_held").select(*archive.columns)
+        return archive.where(~old)
+    return _held(archive, holds).where(~old | F.col("_held").isNotNull()).select(*archive.columns)
+
+
+def _old(as_of: str, days: int) -> Column:
+    return F.coalesce(F.col("timestamp") < cutoff(as_of, days), F.lit(False))
+
+
+def _held(archive: DataFrame, holds: DataFrame) -> DataFrame:
+    """``archive`` with ``_held``, not null for accounts under legal hold; the list is
+    stored first, so that AQE can split the join where one account is hot."""
+    held = reliable(holds.select("account_id").distinct()).withColumn("_held", F.lit(True))
+    return archive.join(held, "account_id", "left")
 
 
 def purged_rows(archive: DataFrame, as_of: str, purge_days: int = C.PURGE_DAYS,
                 holds: DataFrame | None = None) -> DataFrame:
     """The complement of ``purge_keep`` (what a purge deletes)."""
-    kept = purge_keep(archive, as_of, purge_days, holds).select("transaction_id")
-    return archive.join(kept, "transaction_id", "left_anti")
+    old = archive.where(_old(as_of, purge_days))
+    return old if holds is None else _held(old, holds).where("_held is null").select(*archive.columns)
 
 
 def dry_run(main: DataFrame, archive: DataFrame, as_of: str, retention_days: int = C.RETENTION_DAYS,
@@ -192,7 +202,7 @@ def restore(requested: DataFrame, source: DataFrame, target: DataFrame, key: str
 
 def erase(table: DataFrame, requests: DataFrame, key: str = "account_id") -> DataFrame:
     """The table without the accounts in ``requests``."""
-    return table.join(requests.select(key).distinct(), key, "left_anti")
+    return table.join(reliable(requests.select(key).distinct()), key, "left_anti")
 
 
 def purge_audit(purged: DataFrame, as_of: str, reason: str) -> DataFrame:

@@ -62,20 +62,28 @@ def latest_transactions(df: DataFrame, n: int = 10) -> DataFrame:
     return df.orderBy(F.col("timestamp").desc(), F.col("transaction_id").desc()).limit(int(n))
 
 
-def status_update(base: DataFrame, updates: DataFrame, key: str = "transaction_id"):
+def status_update(base: DataFrame, updates: DataFrame, key: str = "transaction_id", order: str | None = None):
     """Keyed update of ``status`` (upper-cased) for any matching row.
 
-    Returns (updated table, matched count per update id, unmatched ids).
+    Of several updates for one id the last by ``order`` counts (without an order
+    column the greatest status, so that the result is always the same). Statuses
+    outside the domain change nothing and come back as the last frame.
+    Returns (updated table, matched updates, unmatched ids, invalid updates).
     The update set is joined by key: AQE broadcasts it when its measured
     size is small, else both sides shuffle on the key.
     """
+    new = F.upper(F.col("new_status"))
+    known = F.coalesce(new.isin(list(C.STATUSES)), F.lit(False))
+    invalid = updates.where(~known)
+    rank = F.struct(*([F.col(order)] if order else []), new.alias("_s"))
+    updates = updates.where(known).groupBy(key).agg(F.max_by("new_status", rank).alias("new_status"))
     u = updates.select(F.col(key), F.upper(F.col("new_status")).alias("_new"))
     updated = (base.join(u, key, "left")
                    .withColumn("status", F.coalesce(F.col("_new"), F.col("status")))
                    .drop("_new"))
     matched = updates.join(base.select(key), key, "left_semi")
     unmatched = updates.join(base.select(key), key, "left_anti")
-    return updated, matched, unmatched
+    return updated, matched, unmatched, invalid
 
 
 def review_queue(anoms: DataFrame, amount_range: tuple[float, float] | None = None,

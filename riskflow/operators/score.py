@@ -13,14 +13,16 @@ def score_transactions(tx: DataFrame, raw: Column | None = None,
                        min_score: float = rules.REFERENCE_MIN_SCORE,
                        max_score: float = rules.REFERENCE_MAX_SCORE,
                        fallback: str = "rules", keep_features: bool = False,
-                       base: DataFrame | None = None) -> DataFrame:
+                       base: DataFrame | None = None,
+                       order: tuple[str, ...] = ("timestamp", "transaction_id")) -> DataFrame:
     """history-before-row (W1) -> deviation (E1) -> score (E6) -> rules.
 
     ``raw`` is the model's raw decision score as a column over
     (amount, account_avg_amount, deviation_from_avg); default is the
     deterministic stand-in scorer. Pass ``F.lit(None)`` for "model down".
+    ``order`` is the order in which the rows came.
     """
-    h = features.history_before_row(tx, base=base)
+    h = features.history_before_row(tx, base=base, order=order)
     raw = rules.reference_raw_score() if raw is None else raw
     out = rules.score_with(h, raw, min_score, max_score, fallback=fallback)
     if keep_features:
@@ -28,10 +30,10 @@ def score_transactions(tx: DataFrame, raw: Column | None = None,
     return out.select(*SCORED_COLUMNS)
 
 
-def detect(requests: DataFrame, **kw):
-    """Requests -> (scored rows, rejects): validation, dedupe, scoring."""
-    accepted, rejects = ingest.split_requests(requests)
-    return score_transactions(accepted, **kw), rejects
+def detect(requests: DataFrame, arrival: tuple[str, ...] = ("arrival_ts", "copy"), **kw):
+    """Requests -> (scored rows, rejects): validation, dedupe, scoring in arrival order."""
+    accepted, rejects = ingest.split_requests(requests, order=arrival)
+    return score_transactions(accepted, order=(*arrival, "transaction_id"), **kw), rejects
 
 
 def review_decisions(scored: DataFrame) -> DataFrame:

@@ -9,12 +9,12 @@ from __future__ import annotations
 
 from riskflow.operators import review, score
 from riskflow.plans.registry import query
-from riskflow.plans.sqlparts import REQ, SCORED_COLS, VALIDATED, scored
+from riskflow.plans.sqlparts import ARRIVAL_ORDER, REQ, SCORED_COLS, VALIDATED, scored
 from riskflow.sources import adapters
 
 FLAGSHIP_SQL = f"""WITH {REQ},
 {VALIDATED},
-{scored('accepted')}
+{scored('accepted', order=ARRIVAL_ORDER)}
 SELECT {SCORED_COLS} FROM scored WHERE is_anomaly = 1
 ORDER BY ml_anomaly_score DESC NULLS LAST, transaction_id LIMIT 100"""
 
@@ -27,7 +27,7 @@ def flagship(spark, d):
 
 @query("detect_all", f"""WITH {REQ},
 {VALIDATED},
-{scored('accepted')}
+{scored('accepted', order=ARRIVAL_ORDER)}
 SELECT {SCORED_COLS} FROM scored""")
 def detect_all(spark, d):
     """Every accepted request, scored (the table the detector appends)."""

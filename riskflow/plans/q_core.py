@@ -8,7 +8,7 @@ from riskflow.functions import exprs as X
 from riskflow.operators import features, ingest, review, rules, score
 from riskflow.plans import views
 from riskflow.plans.registry import query
-from riskflow.plans.sqlparts import BASE, REQ, TX, VALIDATED, flags, hist, scored, with_base
+from riskflow.plans.sqlparts import ARRIVAL_ORDER, BASE, REQ, TX, VALIDATED, flags, hist, scored, with_base
 from riskflow.sources import adapters
 from riskflow.sources.tables import projected_scan
 
@@ -34,10 +34,10 @@ def q_rejects(spark, d):
     return rejects
 
 
-@query("dedupe_first", REQ_BASE + "\nSELECT * FROM accepted")
+@query("dedupe_first", REQ_BASE + "\nSELECT * EXCLUDE (arrival_ts, copy) FROM accepted")
 def q_dedupe_first(spark, d):
     accepted, _ = ingest.split_requests(adapters.event_requests(spark, d))
-    return accepted
+    return accepted.drop("arrival_ts", "copy")
 
 
 @query("clean_location", f"""WITH {TX}
@@ -85,6 +85,17 @@ def q_history_before_row(spark, d):
         "transaction_id", "account_id", "account_tx_count", "account_avg_amount", "deviation_from_avg")
 
 
+@query("history_by_arrival", f"""WITH {REQ},
+{VALIDATED},
+{hist('accepted', order=ARRIVAL_ORDER)}
+SELECT transaction_id, account_id, account_tx_count, account_avg_amount FROM hist""")
+def q_history_by_arrival(spark, d):
+    """W1 on a feed whose arrival order is not its event order."""
+    accepted, _ = ingest.split_requests(adapters.event_requests(spark, d))
+    return features.history_before_row(accepted, order=("arrival_ts", "copy", "transaction_id")).select(
+        "transaction_id", "account_id", "account_tx_count", "account_avg_amount")
+
+
 @query("batch_history", f"""WITH {TX}
 SELECT account_id, count(*) AS account_tx_count,
        CAST(sum(CAST(round(amount * 100) AS BIGINT)) AS DOUBLE) / (CAST(count(*) AS DOUBLE) * 100.0)
@@ -300,7 +311,7 @@ GROUP BY d.transaction_id, d.new_status"""))
 def q_status_update_report(spark, d):
     s = views.scored(spark, d)
     dec = score.review_decisions(s)
-    _, matched, _ = review.status_update(s, dec)
+    matched = review.status_update(s, dec)[1]
     m = matched.select("transaction_id").withColumn("matched_rows", F.lit(1).cast("long"))
     return (dec.join(m, "transaction_id", "left")
                .select("transaction_id", F.upper("new_status").alias("new_status"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from riskflow.operators import alerts, drift, evaluate, features, lifecycle, rules
 from riskflow.plans import views
 from riskflow.plans.registry import query
+from riskflow.session import reliable
 from riskflow.plans.sqlparts import BASE, SCORED_COLS, TX
 
 AS_OF = "2024-01-31 00:00:00"
@@ -355,7 +356,7 @@ def q_feature_drift_psi(spark, d):
 
 # ---------------------------------------------------------------- lifecycle
 
-RUNS_SQL = STORE + f""",
+RUNS_SQL = STORE.replace("WITH", "WITH RECURSIVE", 1) + f""",
 wk AS (SELECT date_trunc('week', "timestamp") AS week, {CONF_SQL} FROM pred GROUP BY 1),
 wm AS ({metrics_sql('wk', 6, 'week, ')}),
 runs AS (SELECT 'fraud-detection-model' AS model, CAST(dense_rank() OVER (ORDER BY week) AS INTEGER) AS version,
@@ -373,12 +374,19 @@ decision AS (
               WHEN imp > 0 THEN 'F1 improvement: ' || format('{{:.3f}}', imp) || ' (<0.02 threshold)'
               ELSE 'F1 degradation: ' || format('{{:.3f}}', imp) END AS reason
   FROM dec),
-latest_dec AS (SELECT * FROM decision WHERE version = (SELECT max(version) FROM decision)),
+fold AS (
+  SELECT model, version, version AS prod_v, COALESCE(f1_score, 0.0) AS prod_f1, true AS up, CAST(NULL AS INTEGER) AS old, logged_at
+  FROM runs WHERE version = 1
+  UNION ALL
+  SELECT model, version, CASE WHEN up THEN version ELSE prod_v END, CASE WHEN up THEN f1 ELSE prod_f1 END, up,
+         CASE WHEN up THEN prod_v END, logged_at
+  FROM (SELECT r.model, r.version, COALESCE(r.f1_score, 0.0) AS f1, f.prod_v, f.prod_f1, r.logged_at,
+               COALESCE(r.f1_score, 0.0) - f.prod_f1 >= 0.02 AS up
+        FROM fold f JOIN runs r ON r.model = f.model AND r.version = f.version + 1)),
 events AS (
   SELECT model, version, 'None' AS stage, logged_at FROM runs
-  UNION ALL SELECT model, version, 'Production', logged_at FROM prod
-  UNION ALL SELECT model, version, CASE WHEN promote THEN 'Production' ELSE 'Staging' END, logged_at FROM latest_dec
-  UNION ALL SELECT p.model, p.version, 'Archived', l.logged_at FROM prod p JOIN latest_dec l ON l.promote AND l.model = p.model),
+  UNION ALL SELECT model, version, CASE WHEN up THEN 'Production' ELSE 'Staging' END, logged_at FROM fold
+  UNION ALL SELECT model, old, 'Archived', logged_at FROM fold WHERE old IS NOT NULL),
 ranked AS (
   SELECT *, CASE stage WHEN 'None' THEN 0 WHEN 'Staging' THEN 1 WHEN 'Archived' THEN 2 ELSE 3 END AS srank
   FROM events),
@@ -387,14 +395,10 @@ state AS (
 
 
 def _registry(spark, d):
-    runs = lifecycle.weekly_runs(views.predictions(spark, d))
-    prod = runs.where("version = 1")
-    cand = runs.where("version > 1")
-    dec = lifecycle.promotion(cand, prod)
-    latest = dec.where(F.col("version") == dec.agg(F.max("version")).scalar())
-    events = (lifecycle.registration_events(runs)
-              .unionByName(prod.select("model", "version", F.lit("Production").alias("stage"), "logged_at"))
-              .unionByName(lifecycle.transition_events(latest, prod)))
+    # one row a week: stored once, as every registry query reads it several times
+    runs = reliable(lifecycle.weekly_runs(views.predictions(spark, d)))
+    dec = lifecycle.promotion(runs.where("version > 1"), runs.where("version = 1"))
+    events = lifecycle.run_history(runs)
     return runs, dec, events, lifecycle.stage_state(events)
 
 

@@ -9,7 +9,7 @@ from riskflow.operators import monitor as M
 from riskflow.operators import score
 from riskflow.plans import views
 from riskflow.plans.registry import query
-from riskflow.plans.sqlparts import REQ, VALIDATED, scored, with_base
+from riskflow.plans.sqlparts import ARRIVAL_ORDER, REQ, VALIDATED, scored, with_base
 from riskflow.session import reliable
 from riskflow.sources import adapters
 
@@ -17,7 +17,7 @@ from riskflow.sources import adapters
 
 PEV = f"""WITH {REQ},
 {VALIDATED},
-{scored('accepted')},
+{scored('accepted', order=ARRIVAL_ORDER)},
 pev AS (
   SELECT arrival_ts AS ts, 1 AS processed, 0 AS anomaly, 0 AS error FROM req
   UNION ALL SELECT "timestamp", 0, 1, 0 FROM scored WHERE is_anomaly = 1

@@ -28,23 +28,28 @@ TX = f"""tx AS (
   FROM events)"""
 
 REQ = f"""req0 AS (
-  SELECT *, {K} AS k, unnest(CASE WHEN {K} = 5 THEN [0, 1] ELSE [0] END) AS copy FROM events),
+  SELECT *, {K} AS k, unnest(CASE WHEN {K} = 5 THEN [0, 1] WHEN {K} = 11 THEN [0, 0] ELSE [0] END) AS copy FROM events),
 req AS (
   SELECT printf('TRX_%07d', event_id) AS transaction_id,
          CASE WHEN k = 0 THEN NULL ELSE printf('ACC_%04d', user_id) END AS account_id,
          CASE WHEN k = 2 THEN 'n/a'
               WHEN k = 1 THEN '-' || CAST(round(value * 20, 2) * (copy + 1) AS VARCHAR)
-              WHEN k = 4 THEN '0'
+              WHEN k = 4 THEN '0' WHEN k = 6 THEN '12d' WHEN k = 9 THEN '1e300' WHEN k = 10 THEN 'NaN'
               ELSE CAST(round(value * 20, 2) * (copy + 1) AS VARCHAR) END AS amount,
          CASE WHEN k = 3 THEN NULL ELSE {CATS}[event_id % 11 + 1] END AS merchant_category,
          {LOCS}[k % 6 + 1] AS location,
-         strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS "timestamp",
+         CASE WHEN k = 7 THEN '12:30:00' WHEN k = 8 THEN strftime(ts, '%Y-%m-%d %H:%M:%S.%f') || '+02:00'
+              ELSE strftime(ts, '%Y-%m-%d %H:%M:%S.%f') END AS "timestamp",
          CAST(CASE WHEN event_type = 'error' AND value >= 100 THEN 1 ELSE 0 END AS INTEGER) AS is_fraud,
          ts + to_hours(copy) AS arrival_ts,
          copy
   FROM req0)"""
 
-REASON = """CASE
+UTC_TS = """CASE WHEN "timestamp" LIKE '%+02:00'
+       THEN TRY_CAST(replace("timestamp", '+02:00', '') AS TIMESTAMP) - INTERVAL 2 HOUR
+       ELSE TRY_CAST("timestamp" AS TIMESTAMP) END"""
+
+REASON = f"""CASE
     WHEN transaction_id IS NULL THEN 'Missing required field: transaction_id'
     WHEN account_id IS NULL THEN 'Missing required field: account_id'
     WHEN amount IS NULL THEN 'Missing required field: amount'
@@ -55,7 +60,7 @@ REASON = """CASE
     WHEN TRY_CAST(amount AS DOUBLE) <= 0
       THEN 'Invalid amount: ' || CAST(TRY_CAST(amount AS DOUBLE) AS VARCHAR) || ' (must be positive)'
     WHEN is_fraud IS NULL THEN 'Missing required field: is_fraud'
-    WHEN TRY_CAST("timestamp" AS TIMESTAMP) IS NULL THEN 'Invalid timestamp format: ' || "timestamp"
+    WHEN ({UTC_TS}) IS NULL THEN 'Invalid timestamp format: ' || "timestamp"
   END"""
 
 VALIDATED = f"""validated AS (SELECT *, {REASON} AS reject_reason FROM req),
@@ -63,19 +68,24 @@ ranked AS (
   SELECT *, row_number() OVER (PARTITION BY transaction_id ORDER BY arrival_ts, copy) AS arrival_rank
   FROM validated WHERE reject_reason IS NULL),
 accepted AS (
-  SELECT transaction_id, account_id, CAST("timestamp" AS TIMESTAMP) AS "timestamp",
-         TRY_CAST(amount AS DOUBLE) AS amount, merchant_category, location, is_fraud
+  SELECT transaction_id, account_id, {UTC_TS} AS "timestamp",
+         TRY_CAST(amount AS DOUBLE) AS amount, merchant_category, location, is_fraud, arrival_ts, copy
   FROM ranked WHERE arrival_rank = 1)"""
 
 
-def hist(src: str, name: str = "hist") -> str:
-    """W1 + E1 over CTE ``src``: plain running window, current row excluded."""
+EVENT_ORDER = '"timestamp", transaction_id'
+ARRIVAL_ORDER = "arrival_ts, copy, transaction_id"
+
+
+def hist(src: str, name: str = "hist", order: str = EVENT_ORDER) -> str:
+    """W1 + E1 over CTE ``src``: plain running window, current row excluded. Amounts that
+    are no money add 0."""
     return f"""{name}_w AS (
   SELECT *,
          CAST(count(*) OVER w AS BIGINT) AS account_tx_count,
-         CAST(COALESCE(sum(CAST(round(amount * 100) AS BIGINT)) OVER w, 0) AS DOUBLE) AS _sum
+         CAST(COALESCE(sum(CASE WHEN abs(amount) <= 1e13 THEN CAST(round(amount * 100) AS BIGINT) ELSE 0 END) OVER w, 0) AS DOUBLE) AS _sum
   FROM {src}
-  WINDOW w AS (PARTITION BY account_id ORDER BY "timestamp", transaction_id
+  WINDOW w AS (PARTITION BY account_id ORDER BY {order}
                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 {name}_a AS (
   SELECT * EXCLUDE (_sum),
@@ -120,10 +130,10 @@ SCORED_COLS = ("transaction_id, account_id, \"timestamp\", amount, merchant_cate
                "ml_anomaly_score, alert_reason, is_anomaly, status")
 
 
-def scored(src: str = "tx", name: str = "scored", keep_features: bool = False) -> str:
+def scored(src: str = "tx", name: str = "scored", keep_features: bool = False, order: str = EVENT_ORDER) -> str:
     """Full scoring over CTE ``src`` -> CTE ``name`` with the SCORED columns."""
     cols = "*" if keep_features else SCORED_COLS
-    return f"""{hist(src, name + '_h')},
+    return f"""{hist(src, name + '_h', order)},
 {name}_s AS (SELECT *, {scaled()} AS ml_anomaly_score FROM {name}_h),
 {flags(name + '_s', name + '_f')},
 {name}_r AS (SELECT *, {REASON_SQL} AS alert_reason FROM {name}_f),

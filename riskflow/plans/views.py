@@ -20,7 +20,7 @@ def scored(spark: SparkSession, d: str, keep_features: bool = False) -> DataFram
 def reviewed(spark: SparkSession, d: str) -> DataFrame:
     """SCORED after the analysts' status updates (J5) and the legacy rows."""
     s = scored(spark, d)
-    updated, _, _ = review.status_update(s, score.review_decisions(s))
+    updated = review.status_update(s, score.review_decisions(s))[0]
     return score.legacy_rows_without_status(updated)
 
 

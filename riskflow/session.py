@@ -79,11 +79,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     file system). Only when the setting is absent (local runs, tests) a
     scratch folder is created and registered.
     """
+    sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="riskflow-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+    if sc.getCheckpointDir() is None:          # one that the user has set stays
+        sc.setCheckpointDir(path)
     return path
 
 

@@ -48,15 +48,18 @@ def event_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Defects are injected from the ``props.k`` value carried by each event:
     k=0 drops the account, k=1 negates the amount, k=2 sends a non-numeric
-    amount, k=3 drops the category, k=4 sends a zero amount. Events with
-    k=5 are re-sent an hour later with a doubled amount (a replay, which
-    dedupe must reject: first arrival wins). ``arrival_ts``/``copy`` give
-    the arrival order.
+    amount, k=3 drops the category, k=4 sends a zero amount, k=6 a suffixed
+    number, k=7 a time without a date, k=8 a local time with its offset (which
+    makes event order differ from arrival order), k=9 a number beyond any money,
+    k=10 NaN. Events with k=5 are re-sent an hour later with a doubled amount (a
+    replay, which dedupe must reject: first arrival wins); those with k=11 arrive
+    twice at once, alike in everything. ``arrival_ts``/``copy`` give the arrival order.
     """
     ev = read_table(spark, sf_dir, "events", ["event_id", "ts", "user_id", "event_type", "value", "props"])
     k = props_k()
     # one scan: a replayed event explodes into its two copies
     ev = ev.withColumn("copy", F.explode(F.when(k == 5, F.array(F.lit(0), F.lit(1)))
+                                         .when(k == 11, F.array(F.lit(0), F.lit(0)))
                                          .otherwise(F.array(F.lit(0)))))
     amount = F.round(F.col("value") * 20, 2) * (F.col("copy") + 1)
     return ev.select(
@@ -66,11 +69,16 @@ def event_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k == 2, F.lit("n/a"))
          .when(k == 1, F.concat(F.lit("-"), amount.cast("string")))
          .when(k == 4, F.lit("0"))
+         .when(k == 6, F.lit("12d"))
+         .when(k == 9, F.lit("1e300"))
+         .when(k == 10, F.lit("NaN"))
          .otherwise(amount.cast("string")).alias("amount"),
         F.when(k == 3, F.lit(None).cast("string"))
          .otherwise(_pick(MERCHANT_CATEGORIES, F.pmod(F.col("event_id"), F.lit(11)))).alias("merchant_category"),
         _pick(LOCATIONS, F.pmod(k, F.lit(6))).alias("location"),
-        F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("timestamp"),
+        F.when(k == 7, F.lit("12:30:00"))
+         .when(k == 8, F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit("+02:00")))
+         .otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")).alias("timestamp"),
         F.when((F.col("event_type") == "error") & (F.col("value") >= 100), 1)
          .otherwise(0).cast("int").alias("is_fraud"),
         (F.col("ts") + F.make_dt_interval(hours=F.col("copy"))).alias("arrival_ts"),

@@ -1,8 +1,9 @@
 """Message-stream sources and sinks.
 
 A transaction topic carries one JSON object per message. ``message_stream``
-returns a streaming DataFrame with ``value`` (the JSON text) and
-``offset`` (arrival order within the source). Kafka is used when its
+returns a streaming DataFrame with ``value`` (the JSON text) and the arrival order:
+``offset``, with Kafka ``broker_ts``, ``partition`` and ``offset``, as offsets repeat
+across partitions. Kafka is used when its
 connector is on the classpath; a folder of JSON-lines files (one
 ``{"offset": n, "value": "..."}`` record per line) is the portable source
 used in tests.
@@ -28,7 +29,8 @@ def message_stream(spark: SparkSession, kind: str = "files", path: str | None =
         r = spark.readStream.format("kafka").option("startingOffsets", "earliest")
         for k, v in kafka_options.items():
             r = r.option(k, v)
-        return r.load().select(F.col("value").cast("string").alias("value"), F.col("offset"))
+        return r.load().select(F.col("value").cast("string").alias("value"), F.col("timestamp").alias("broker_ts"),
+                               F.col("partition"), F.col("offset"))
     r = spark.readStream.schema(ENVELOPE).format("json")
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", int(max_files_per_trigger))

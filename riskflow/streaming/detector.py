@@ -8,7 +8,8 @@ Per micro-batch ``b``:
   2. validate (I2/I3) and keep the first arrival of each id (I5, by offset);
   3. drop ids already stored by earlier batches (I5 across batches);
   4. history before each row = account state of version b-1 + a running
-     window inside the batch (X2/X3: arrival = batch, then event time, id);
+     window inside the batch in arrival order (X2/X3), so the scores do not
+     depend on how the stream is cut into batches;
   5. score + rules (E6, R1-R9), alert outbox keyed by (id, channel) (R12);
   6. write every output under ``batch_id=b`` with overwrite and the state
      as version b, computed from version b-1.
@@ -28,12 +29,14 @@ from pyspark.sql import types as T
 
 from riskflow.functions import exprs as X
 from riskflow.operators import alerts, ingest, rules, score
-from riskflow.schema import REQUEST, SCORED_COLUMNS
+from riskflow.schema import REQUEST, SCORED_COLUMNS, TRANSACTION_COLUMNS
 
 STATE = "state"
 SCORED = "scored"
 REJECTS = "rejects"
 OUTBOX = "outbox"
+DEAD = "dead_letter"
+ARRIVAL = ("broker_ts", "partition", "offset")
 
 
 def _fs(spark: SparkSession, path: str):
@@ -95,21 +98,22 @@ class Detector:
 
     def process_batch(self, batch: DataFrame, batch_id: int) -> None:
         spark = self.spark
-        msgs = batch.select("offset", "value")
+        order = tuple(c for c in ARRIVAL if c in batch.columns)
+        msgs = batch.select(*order, "value")
         # parsed once per batch (the outputs below take several passes);
         # lost cache blocks are recomputed from the source range
-        parsed = _parse_with_offset(msgs).persist()
-        corrupt = parsed.where(F.col("_corrupt").isNotNull()).select(
+        parsed = _parse_messages(msgs, order).persist()
+        corrupt = parsed.where("_corrupt").select(
             F.lit(None).cast("string").alias("transaction_id"),
-            F.lit("Corrupt record").alias("reject_reason"), "offset")
-        good = parsed.where(F.col("_corrupt").isNull()).drop("_corrupt")
+            F.lit("Corrupt record").alias("reject_reason"), *order, "raw")
+        good = parsed.where("not _corrupt").drop("_corrupt")
 
-        accepted, rejects = ingest.split_requests(good, order=("offset",), keep=("offset",))
+        accepted, rejects = ingest.split_requests(good, order=order, keep=(*order, "raw"))
         stored = self.stored_ids(batch_id)
         if stored is not None:
             dup = accepted.join(stored.where(F.col("transaction_id").isNotNull()), "transaction_id", "left_semi")
-            rejects = rejects.unionByName(dup.select("transaction_id", F.lit("Duplicate transaction_id")
-                                                     .alias("reject_reason"), F.lit(None).cast("long").alias("offset")))
+            rejects = rejects.unionByName(dup.select("transaction_id", F.lit("Duplicate transaction_id").alias("reject_reason"),
+                                                     *order, F.to_json(F.struct(*TRANSACTION_COLUMNS)).alias("raw")))
             accepted = accepted.join(stored, "transaction_id", "left_anti")
         rejects = rejects.unionByName(corrupt).withColumn("batch_id", F.lit(batch_id))
 
@@ -118,12 +122,14 @@ class Detector:
                                                      F.col("sum_cents").alias("base_sum_cents"))
         scored_rows = score.score_transactions(accepted, raw=self.raw, min_score=self.bounds[0],
                                                max_score=self.bounds[1], fallback=self.fallback,
-                                               base=base).select(*SCORED_COLUMNS)
+                                               base=base, order=(*order, "transaction_id")).select(*SCORED_COLUMNS)
         # write the batch outputs (overwrite = idempotent on replay)
         scored_path = f"{self.path(SCORED)}/batch_id={batch_id}"
         scored_rows.write.mode("overwrite").parquet(scored_path)
         written = spark.read.parquet(scored_path)      # later steps reuse the written rows
         rejects.write.mode("overwrite").parquet(f"{self.path(REJECTS)}/batch_id={batch_id}")
+        ingest.dead_letter(spark.read.parquet(f"{self.path(REJECTS)}/batch_id={batch_id}"), F.current_timestamp(), raw="raw").write.mode(
+            "overwrite").text(f"{self.path(DEAD)}/batch_id={batch_id}")
         alerts.outbox(written, enabled=self.channels, sent_at=F.col("timestamp")).write.mode(
             "overwrite").parquet(f"{self.path(OUTBOX)}/batch_id={batch_id}")
 
@@ -142,13 +148,14 @@ class Detector:
         return self.spark.read.parquet(self.path(name))
 
 
-def _parse_with_offset(msgs: DataFrame) -> DataFrame:
-    """I1 on the envelope: payload fields + offset; bad JSON keeps its text."""
+def _parse_messages(msgs: DataFrame, order: tuple[str, ...]) -> DataFrame:
+    """I1 on the envelope: payload fields, arrival columns, the text as ``raw`` and
+    whether it could not be read."""
     schema = T.StructType(REQUEST.fields + [T.StructField("_corrupt_record", T.StringType())])
     p = F.from_json(F.col("value"), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
     bad = F.col("value").isNull() | p.isNull() | p["_corrupt_record"].isNotNull()
-    return (msgs.select("offset", p.alias("_p"), F.when(bad, F.col("value")).alias("_corrupt"))
-                .select("offset", "_p.*", "_corrupt").drop("_corrupt_record"))
+    return (msgs.select(*order, p.alias("_p"), F.col("value").alias("raw"), bad.alias("_corrupt"))
+                .select(*order, "_p.*", "raw", "_corrupt").drop("_corrupt_record"))
 
 
 def start(spark: SparkSession, source: DataFrame, detector: Detector, checkpoint: str,

@@ -51,10 +51,30 @@ def test_first_arrival_wins(spark):
 
 
 def test_corrupt_record_is_rejected_not_fatal(spark):
-    from riskflow.streaming.detector import _parse_with_offset
+    from riskflow.streaming.detector import _parse_messages
     msgs = spark.createDataFrame([(1, json.dumps(BASE)), (2, "{bad")], "offset long, value string")
-    out = {r.offset: r._corrupt for r in _parse_with_offset(msgs).collect()}
-    assert out == {1: None, 2: "{bad"}
+    out = {r.offset: (r._corrupt, r.raw) for r in _parse_messages(msgs, ("offset",)).collect()}
+    assert out == {1: (False, json.dumps(BASE)), 2: (True, "{bad")}
+
+
+def test_no_input_ends_the_job(spark):
+    """Numbers and times that a cast would read or choke on."""
+    cases = [("12d", "2024-01-01 00:00:00"), ("0x10p0", "2024-01-01 00:00:00"), ("1e300", "2024-01-01 00:00:00"), ("NaN", "2024-01-01 00:00:00"),
+             ("Infinity", "2024-01-01 00:00:00"), ("7", "12:30:00"), ("8", "2024-01-01T10:00:00+02:00"), ("9", "2024-01-01"), (" 1.5e1 ", "2024-01-01 00:00:00")]
+    df = spark.createDataFrame([(f"T{i}", "A", a, "X", "Y", t, 0, i) for i, (a, t) in enumerate(cases)],
+                               "transaction_id string, account_id string, amount string, merchant_category string, location string, timestamp string, is_fraud int, offset long")
+    from riskflow.operators import score
+    scored, rej = score.detect(df.withColumnRenamed("offset", "copy").withColumn("arrival_ts", F.lit(1)))
+    got = {r.transaction_id: str(r.timestamp) for r in scored.collect()}
+    assert got == {"T2": "2024-01-01 00:00:00", "T3": "2024-01-01 00:00:00", "T4": "2024-01-01 00:00:00", "T6": "2024-01-01 08:00:00", "T7": "2024-01-01 00:00:00", "T8": "2024-01-01 00:00:00"}
+    assert {r.transaction_id: r.reject_reason for r in rej.collect()} == {
+        "T0": "Invalid amount format: 12d", "T1": "Invalid amount format: 0x10p0", "T5": "Invalid timestamp format: 12:30:00"}
+
+
+def test_tied_duplicates_are_all_rejected(spark):
+    df = spark.createDataFrame([("T1", 1, "10")] * 3 + [("T1", 1, "11"), ("T2", 5, "1")], "transaction_id string, offset long, amount string")
+    assert sorted((r.transaction_id, r.amount) for r in ingest.duplicates(df, order=("offset",)).collect()) == [("T1", "10"), ("T1", "10"), ("T1", "11")]
+    assert sorted((r.transaction_id, r.amount) for r in ingest.dedupe_first(df, order=("offset",)).collect()) == [("T1", "10"), ("T2", "1")]
 
 
 def test_clean_location_and_schema_evolve(spark):

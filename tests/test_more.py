@@ -14,8 +14,8 @@ from riskflow.streaming import detector as S
 def test_load_model(spark):
     state = spark.createDataFrame([("m", 1, "Archived"), ("m", 2, "Production"), ("m", 3, "Staging")],
                                   "model string, version int, stage string")
-    runs = spark.createDataFrame([(1, -0.2, 0.1), (2, -0.3, 0.2), (3, None, None)],
-                                 "version int, min_decision_score double, max_decision_score double")
+    runs = spark.createDataFrame([("m", 1, -0.2, 0.1), ("m", 2, -0.3, 0.2), ("m", 3, None, None), ("other", 2, -9.0, 9.0)],
+                                 "model string, version int, min_decision_score double, max_decision_score double")
     assert lifecycle.load_model(state, runs, "m") == {"version": 2, "min_score": -0.3, "max_score": 0.2}
     with pytest.raises(lifecycle.ModelNotReady):
         lifecycle.load_model(state, runs, "m", stage=None)          # latest (v3) has no bounds
