@@ -2,19 +2,20 @@
 
 A byte goes if a string of ``WINDOW`` bytes that covers it also starts in a
 document with a smaller id. Comparing all suffixes would shuffle the text many
-times over, so suffixes are sampled: in each window the 24-byte string with the
+times over, so suffixes are sampled: in each window the 20-byte string with the
 smallest hash is its *anchor*. Equal windows choose equal anchors, so equal
 windows meet in the group of their anchor, and only there.
 
-1. ``anchors``: numpy passes over whole texts give (anchor hash, hash of the 76
+1. ``anchors``: numpy passes over whole texts give (anchor hash, hash of the 80
    bytes that hold every window of the anchor, document, position).
 2. ``classify``: one shuffle by anchor, sorted. A row whose whole context already
-   occurs in a smaller document is done at once. Of the rest only the first of
-   each context, in groups with two contexts or more, needs its bytes.
-3. ``lpf_masks``: these contexts are sorted into a suffix array; adjacent LCPs and
+   occurs in a smaller document is done at once. Of the rest only the first of each
+   context needs its bytes, and only if another context of the group agrees with it on
+   the SIDE bytes before or behind the anchor, as contexts that share a window must.
+3. ``repeat_masks``: these contexts are sorted into a suffix array; adjacent LCPs and
    the previous and next smaller positions (by document id) give the longest
    previous factor of every window; 50 or more marks the window.
-4. ``apply_masks``: the marked windows of a document become spans to cut.
+4. ``remove_repeats``: the marked windows of a document become spans to cut.
 
 Exact copies of whole texts are settled beforehand by their digest, so a group of
 copies costs one text. An anchor with more than ``WIDE`` contexts goes through a
@@ -33,13 +34,14 @@ from pyspark.sql import functions as F
 from riskflow.llm.common import materialise, maybe_in, mix, partitions, seeded, utf8
 
 WINDOW = 50                 # bytes of a repeated string
-GRAM = 24                   # bytes of an anchor
+GRAM = 20                   # bytes of an anchor
 SLOTS = WINDOW - GRAM + 1   # windows that can share an anchor
 LEFT = SLOTS - 1            # bytes of context before an anchor
 CONTEXT = LEFT + WINDOW     # bytes that hold all windows of an anchor
 FULL = (1 << SLOTS) - 1
+SIDE = (WINDOW - GRAM) // 2 # bytes that two contexts share on one side of the anchor if they share a window
 WIDE = 4096                 # contexts of one anchor that one task sorts; more go by window
-SEGMENT = 1 << 21           # bytes hashed at once
+SEGMENT = 1 << 19           # bytes hashed at once
 PAD = 0xFF                  # occurs in no UTF-8 text
 POS_BITS = 40               # low bits of ``at``: position; high bits: tag of the text
 
@@ -65,7 +67,7 @@ def _anchors_of(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     h4 = h2[:-2] * _MUL[1] + h2[2:]
     h8 = h4[:-4] * _MUL[2] + h4[4:]
     h16 = h8[:-8] * _MUL[3] + h8[8:]
-    g = h16[:-8] * _MUL[4] + h8[16:]
+    g = h16[:-4] * _MUL[4] + h4[16:]
     order = ((g ^ (g >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)).astype(np.uint32)
     low = _slide(order, SLOTS, np.minimum)                       # of the window starting here
     pads = np.concatenate([[0], np.cumsum(buf == PAD, dtype=np.int64)])
@@ -73,10 +75,12 @@ def _anchors_of(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     pos = np.flatnonzero((_slide(low, SLOTS, np.maximum) == order[LEFT:len(low)]) & (order[LEFT:len(low)] > 0)) + LEFT
     at = pos - LEFT
     c = h16[at]
-    for step in (16, 32, 48):
+    for step in range(16, CONTEXT, 16):
         c = mix(c) * _MUL[5] + h16[at + step]
-    c = mix(mix(c) * _MUL[6] + h8[at + 64]) * _MUL[7] + h4[at + 72]
-    return pos, mix(g[pos]).view(np.int64), mix(c).view(np.int64)
+    # the hash of an anchor carries 8 bits of what is on either side of it
+    left, right = (mix(h8[a] * _MUL[6] + h8[a + SIDE - 8]) & np.uint64(255) for a in (pos - SIDE, pos + GRAM))
+    g = mix(g[pos]) & ~np.uint64(0xFFFF) | left << np.uint64(8) | right
+    return pos, g.view(np.int64), mix(c).view(np.int64)
 
 
 def _pieces(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -114,6 +118,7 @@ def _anchor_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         data, off = utf8(b.column("text"))
         ids = b.column("doc").to_numpy(zero_copy_only=False)
         tags = b.column("tag").to_numpy(zero_copy_only=False)
+        salt = mix(b.column("salt").to_numpy(zero_copy_only=False).view(np.uint64)).view(np.int64)
         for buf, rows, starts, base in _pieces(data, off):
             pos, g, c = _anchors_of(buf)
             part = np.searchsorted(starts, pos, "right") - 1
@@ -123,45 +128,55 @@ def _anchor_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             first = base[part] + 2 * CONTEXT * (base[part] > 0)
             own = at // SEGMENT == first // SEGMENT
             at, g, c, row = at[own], g[own], c[own], row[own]
+            g, c = g ^ salt[row] & ~0xFFFF, c ^ salt[row]
             yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(c), pa.array(ids[row]), pa.array(at | (tags[row] << POS_BITS))], ["g", "c", "doc", "at"])
 
 
 def _classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (g, c, doc) -> rows that a smaller document settles (g null)
-    and rows whose bytes are needed (g kept). Holds one context's first rows only."""
-    cur_g = cur_c = first = None
-    several = False
-    wait: list[np.ndarray] = []          # first-context rows of the group that is still open
+    """Rows sorted by (g, c, doc) -> rows that a smaller document settles (g null) and
+    rows whose bytes are needed (g kept). Holds the first rows of one anchor's contexts,
+    and of no more than WIDE: a larger group passes as it comes."""
+    last_g = last_c = low = None
+    held = np.zeros((0, 4), np.int64)        # (g, c, doc, at) of the anchor that is still open
+    passing = False                          # the open anchor is past WIDE
+
+    def partners(x: np.ndarray) -> np.ndarray:
+        """Rows of whole groups that share a side with another context of the group."""
+        new = np.concatenate([[True], (x[1:, 0] != x[:-1, 0]) | (x[1:, 1] != x[:-1, 1])]) if len(x) else np.zeros(0, bool)
+        keep = np.zeros(len(x), bool)
+        for side in (8, 0):
+            key = (x[:, 0] >> 16 << 8) | (x[:, 0] >> side & 255)
+            _, inv = np.unique(key, return_inverse=True)
+            keep |= np.bincount(inv, new, minlength=1)[inv] > 1
+        return x[keep]
+
     for b in batches:
         g, c, doc, at = (b.column(i).to_numpy() for i in range(4))
         if not len(g):
             continue
-        new_g = np.empty(len(g), bool)
-        new_g[0], new_g[1:] = cur_g is None or g[0] != cur_g, g[1:] != g[:-1]
-        new_c = new_g.copy()
-        new_c[0] |= cur_c is None or c[0] != cur_c
-        new_c[1:] |= c[1:] != c[:-1]
-        head = np.maximum.accumulate(np.where(new_c, np.arange(len(g)), -1))
-        low = np.where(head >= 0, doc[head], first if first is not None else 0)
-        group = np.cumsum(new_g)         # 0: the group left open by the batch before
-        contexts = np.bincount(group, new_c, minlength=group[-1] + 1)
-        if not new_g[0]:
-            contexts[group[0]] += 2 if several else 1
-        many = contexts[group] >= 2
-        later = doc > low
-        need = ~later & many
-        if wait and not new_g[0] and contexts[group[0]] >= 2 or wait and new_g[0]:
-            if not new_g[0]:
-                for w in wait:
-                    yield _rows(w[:, 0], w[:, 1], w[:, 2])
-            wait = []
+        new = np.empty(len(g), bool)
+        new[0], new[1:] = (g[0], c[0]) != (last_g, last_c), (g[1:] != g[:-1]) | (c[1:] != c[:-1])
+        head = np.maximum.accumulate(np.where(new, np.arange(len(g)), -1))
+        least = np.where(head >= 0, doc[head], 0 if low is None else low)
+        later = doc > least
         yield _rows(None, doc[later], at[later])
-        yield _rows(g[need], doc[need], at[need])
-        cur_g, cur_c, first = g[-1], c[-1], low[-1]
-        several = bool(contexts[group[-1]] >= 2)
-        if not several:
-            keep = (group == group[-1]) & ~later
-            wait.append(np.stack([g[keep], doc[keep], at[keep]], 1))
+        last_g, last_c, low = g[-1], c[-1], least[-1]
+        x = np.concatenate([held, np.stack([g, c, doc, at], 1)[~later]])
+        group = x[:, 0] >> 16
+        split = np.searchsorted(group, last_g >> 16)                 # sorted, as g is
+        if passing:                                                   # the group at the front has passed in part
+            first = np.searchsorted(group, group[0], "right") if len(x) and group[0] == open_group else 0
+            yield _rows(x[:first, 0], x[:first, 2], x[:first, 3])
+            x, split = x[first:], max(0, split - first)
+            passing = bool(last_g >> 16 == open_group)
+        out = partners(x[:split])
+        yield _rows(out[:, 0], out[:, 2], out[:, 3])
+        held, open_group = x[split:], last_g >> 16
+        if len(held) > WIDE:
+            yield _rows(held[:, 0], held[:, 2], held[:, 3])
+            held, passing = held[:0], True
+    out = partners(held)
+    yield _rows(out[:, 0], out[:, 2], out[:, 3])
 
 
 def _rows(g, doc, at) -> pa.RecordBatch:
@@ -169,23 +184,56 @@ def _rows(g, doc, at) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([gs, pa.array(doc), pa.array(at)], ["g", "doc", "at"])
 
 
-def suffix_array(contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix order of all windows of (n, CONTEXT) contexts, as (index = context * SLOTS
-    + slot, LCP with the one before, up to WINDOW)."""
-    win = np.lib.stride_tricks.sliding_window_view(contexts, WINDOW, axis=1).reshape(-1, WINDOW)
-    words = np.zeros((len(win), 56), np.uint8)
-    words[:, :WINDOW] = win
+def suffix_order(part: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix array of the rows of ``part`` (bytes on one side of the anchor, outwards)
+    within each group, and the LCP of each entry with the one before (-1 between groups)."""
+    n, width = part.shape
+    words = np.zeros((n, -(-width // 8) * 8), np.uint8)
+    words[:, :width] = part
     keys = words.view(">u8").astype(np.uint64)
-    order = np.lexsort(keys.T[::-1])
-    keys = keys[order]
+    order = np.lexsort([*keys.T[::-1], group])
+    keys, lead = keys[order], group[order]
     differ = keys[1:] != keys[:-1]
-    word = np.where(differ.any(1), differ.argmax(1), 6)
-    x = keys[1:][np.arange(len(word)), word] ^ keys[:-1][np.arange(len(word)), word]
-    same = np.zeros(len(word), np.int64)
+    last = keys.shape[1] - 1
+    word = np.where(differ.any(1), differ.argmax(1), last)
+    x = keys[1:][np.arange(n - 1), word] ^ keys[:-1][np.arange(n - 1), word]
+    same = np.zeros(n - 1, np.int64)
     for k in range(8):                                            # leading equal bytes of the first word that differs
         same += (x >> np.uint64(56 - 8 * k)) == 0
-    lcp = np.concatenate([[0], np.minimum(np.where(differ.any(1), word * 8 + same, WINDOW), WINDOW)])
-    return order, lcp
+    lcp = np.where(differ.any(1), np.minimum(word * 8 + same, width), width)
+    return order, np.concatenate([[-1], np.where(lead[1:] == lead[:-1], lcp, -1)])[:n]
+
+
+def _classes(order: np.ndarray, lcp: np.ndarray, length: int) -> np.ndarray:
+    """Of each row the class of those that agree with it on the first ``length`` bytes."""
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(lcp < length)
+    return out
+
+
+def window_masks(group: np.ndarray, doc: np.ndarray, ctx: np.ndarray) -> np.ndarray:
+    """Per context the bits of its windows that start in a smaller document of the group.
+
+    Windows of one slot lie alike around the anchor: some bytes before it, the anchor,
+    the rest behind. The suffix arrays of the parts behind and of the parts before
+    (outwards) rank both; pairs of ranks order the windows of the slot, neighbours in
+    that order have an LCP of WINDOW if both ranks agree and less otherwise, and the
+    longest previous factor follows from the previous and next smaller document.
+    """
+    n = len(ctx)
+    behind, before = ctx[:, LEFT + GRAM:], ctx[:, LEFT - 1::-1] if LEFT else ctx[:, :0]
+    (ro, rl), (lo, ll) = suffix_order(behind, group), suffix_order(before, group)
+    room = [np.where(x == PAD, 0, 1).cumprod(1).sum(1) for x in (before, behind)]      # bytes up to the text's ends
+    out = np.zeros(n, np.int64)
+    for slot in range(SLOTS):
+        key = _classes(lo, ll, LEFT - slot) * (n + 1) + _classes(ro, rl, slot)
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        lcp = np.concatenate([[0], np.where(key[1:] == key[:-1], WINDOW, 0)])
+        got = np.zeros(n, bool)
+        got[order] = longest_previous(doc[order], lcp, WINDOW) >= WINDOW
+        out |= (got & (room[0] >= LEFT - slot) & (room[1] >= slot)).astype(np.int64) << slot
+    return out
 
 
 def longest_previous(doc: np.ndarray, lcp: np.ndarray, least: int) -> np.ndarray:
@@ -215,13 +263,7 @@ def longest_previous(doc: np.ndarray, lcp: np.ndarray, least: int) -> np.ndarray
 def _lpf_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Contexts sorted by anchor -> per context the bits of windows that start in a smaller document."""
     def run(g, doc, at, ctx):
-        # windows may also match across anchors; such a match is as true as one within a group
-        order, lcp = suffix_array(ctx)
-        src = order // SLOTS
-        valid = ~(np.lib.stride_tricks.sliding_window_view(ctx, WINDOW, axis=1) == PAD).any(2).reshape(-1)
-        got = np.zeros(len(order), bool)
-        got[order] = longest_previous(doc[src], lcp, WINDOW) >= WINDOW
-        mask = ((got & valid).reshape(-1, SLOTS) * (np.int64(1) << np.arange(SLOTS))).sum(1)
+        mask = window_masks(g, doc, ctx)
         on = mask > 0
         return pa.RecordBatch.from_arrays([pa.array(doc[on]), pa.array(at[on]), pa.array(mask[on])], ["doc", "at", "mask"])
 
@@ -236,7 +278,7 @@ def _lpf_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new = (g, b.column("doc").to_numpy(), b.column("at").to_numpy(), data[off[0]:off[-1]].reshape(n, CONTEXT).copy())
         held.append(new)
         size += n
-        if size >= 8000:
+        if size >= 4000:
             g, doc, at, ctx = (np.concatenate(x) for x in zip(*held))
             other = np.flatnonzero(g != g[-1])
             last = int(other[-1] + 1) if len(other) else 0       # the open group waits; it has WIDE contexts at most
@@ -265,6 +307,16 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                               v.field("wide")], ["g", "doc", "at", "ctx", "wide"])
 
 
+def covered(masks: pa.StructArray, n: int) -> np.ndarray:
+    """Which bytes of a text of n bytes the marked windows of its (at, mask) rows cover."""
+    p = masks.field("at").to_numpy() & ((1 << POS_BITS) - 1)
+    m = masks.field("mask").to_numpy()
+    start = (p[:, None] - LEFT + np.arange(SLOTS))[(m[:, None] >> np.arange(SLOTS)) & 1 == 1]
+    start = start[(start >= 0) & (start + WINDOW <= n)]
+    step = np.bincount(start, minlength=n + 1) - np.bincount(start + WINDOW, minlength=n + 1)
+    return np.cumsum(step[:n]) > 0
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key columns, text, masks) -> kept bytes and the removed spans of each row."""
     for b in batches:
@@ -273,18 +325,11 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, (later, masks) in enumerate(zip(b.column("later").to_pylist(), b.column("masks"))):
             text = data[off[i]:off[i + 1]]
             n = len(text)
-            gone = np.zeros(n + 1, np.int32)
-            if later and n >= WINDOW:
-                gone[0] = 1
+            out = np.zeros(n, bool)
+            if later:
+                out[:] = n >= WINDOW
             elif masks.is_valid and len(masks.values):
-                p = masks.values.field("at").to_numpy() & ((1 << POS_BITS) - 1)
-                m = masks.values.field("mask").to_numpy()
-                bits = (m[:, None] >> np.arange(SLOTS)) & 1
-                start = (p[:, None] - LEFT + np.arange(SLOTS))[bits == 1]
-                start = start[(start >= 0) & (start + WINDOW <= n)]
-                np.add.at(gone, start, 1)
-                np.add.at(gone, start + WINDOW, -1)
-            out = np.cumsum(gone[:n]) > 0
+                out = covered(masks.values, n)
             edge = np.flatnonzero(np.diff(np.concatenate([[False], out, [False]]).astype(np.int8)))
             spans.append([{"start": int(s), "end": int(e)} for s, e in zip(edge[::2], edge[1::2])])
             kept.append(text[~out].tobytes())
@@ -303,29 +348,30 @@ def _keyed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
 
 
 def repeat_masks(rows: DataFrame) -> DataFrame:
-    """(doc, text, tag) -> (doc, at, mask): per anchor the windows that also start in a
-    smaller document. ``at`` holds the anchor's position under the text's tag."""
+    """(doc, text, tag, salt) -> (doc, at, mask): per anchor the windows that also start in
+    a smaller document of the same salt. ``at`` holds the anchor's position under the
+    text's tag."""
     spark, n = rows.sparkSession, partitions(rows.sparkSession)
-    found = (rows.select("doc", "text", "tag").mapInArrow(_anchor_batches, "g long, c long, doc long, at long")
-             .repartition(n, "g").sortWithinPartitions("g", "c", "doc")
+    found = (rows.select("doc", "text", "tag", "salt").mapInArrow(_anchor_batches, "g long, c long, doc long, at long")
+             .repartition(n, F.shiftright("g", 16)).sortWithinPartitions("g", "c", "doc")
              .mapInArrow(_classify, "g long, doc long, at long"))
     found = materialise(found, "anchors")
-    need = found.where("g is not null")
+    need = found.where("g is not null").withColumn("g", F.shiftright("g", 16))
     wide = need.groupBy("g").count().where(F.col("count") > WIDE).select(F.col("g").alias("wg"))
     needs = (need.join(wide, need.g == wide.wg, "left")
              .groupBy("doc", F.shiftright("at", POS_BITS).alias("tag"))
              .agg(F.collect_list(F.struct("g", "at", F.col("wg").isNotNull().alias("wide"))).alias("needs")))
-    hit = maybe_in(rows.select("doc", "text", "tag"), F.col("doc"), needs, "doc").where("_hit").drop("_hit")
+    hit = maybe_in(rows.select("doc", "text", "tag"), F.col("doc"), needs, "doc").where("__hit").drop("__hit")
     contexts = hit.join(needs, ["doc", "tag"]).select("doc", "tag", "text", "needs").mapInArrow(
         _contexts, "g long, doc long, at long, ctx binary, wide boolean")
     contexts = materialise(contexts, "contexts")
     narrow = (contexts.where("not wide").drop("wide").repartition(n, "g").sortWithinPartitions("g")
               .mapInArrow(_lpf_batches, "doc long, at long, mask long"))
-    win = (contexts.where("wide").select("doc", "at", "ctx", F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1))).alias("slot"))
-           .select("doc", "at", "slot", F.substring("ctx", F.col("slot") + 1, F.lit(WINDOW)).alias("w"))
+    win = (contexts.where("wide").select("g", "doc", "at", "ctx", F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1))).alias("slot"))
+           .select("g", "doc", "at", "slot", F.substring("ctx", F.col("slot") + 1, F.lit(WINDOW)).alias("w"))
            .where(F.instr(F.hex("w"), "FF") == 0))
-    low = win.groupBy("w").agg(F.min("doc").alias("low")).select(F.col("w").alias("lw"), "low")
-    broad = (win.join(low, win.w == low.lw).where("doc > low")
+    low = win.groupBy("g", "w").agg(F.min("doc").alias("low"))
+    broad = (win.join(low, ["g", "w"]).where("doc > low")
              .groupBy("doc", "at").agg(F.expr("bit_or(shiftleft(1L, slot))").alias("mask")))
     full = found.where("g is null").select("doc", "at", F.lit(FULL).cast("long").alias("mask"))
     return full.unionByName(narrow).unionByName(broad)
@@ -341,20 +387,21 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     it). An empty table gives an empty table. Other columns ride along in ``row``.
     """
     rows = _keyed(docs, text, doc_id)
-    thin = rows.where("doc is not null").select("doc", "sha")
+    thin = rows.where("doc is not null").select("doc", "tag", "sha")
     first = thin.groupBy("sha").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high")
-    copies = materialise(thin.join(first, "sha").where("doc > low").select("doc", "sha").distinct(), "copies")
+    copies = materialise(thin.join(first, "sha").where("doc > low").select("doc", "tag", "sha").distinct(), "copies")
     known = rows.where("doc is not null")
     # copies never enter the anchor shuffle: most rows pass by the bitmap, the rest by an exact anti join
     sift = maybe_in(known.select("doc", "text", "tag", "sha"), F.col("doc"), copies, "doc")
-    own = sift.where("not _hit").drop("_hit", "sha").unionByName(
-        sift.where("_hit").join(copies, ["doc", "sha"], "left_anti").drop("_hit", "sha"))
-    masks = materialise(repeat_masks(own).groupBy("doc", F.shiftright("at", POS_BITS).alias("tag"))
-                        .agg(F.collect_list(F.struct("at", "mask")).alias("masks")), "masks")
-    touched = masks.select("doc").unionByName(copies.select("doc"))
-    sift = maybe_in(rows, F.col("doc"), touched, "doc")
-    whole = sift.where("not _hit").select("row", F.col("text").cast("binary").alias("kept"), F.array().cast(SPANS).alias("spans"))
-    cut = (sift.where("_hit").join(copies.withColumn("later", F.lit(True)), ["doc", "sha"], "left")
-           .join(masks, ["doc", "tag"], "left").select("row", "text", "later", "masks"))
+    own = sift.where("not __hit").drop("__hit", "sha").unionByName(
+        sift.where("__hit").join(copies, ["doc", "sha"], "left_anti").drop("__hit", "sha"))
+    masks = repeat_masks(own.withColumn("salt", F.lit(0).cast("long"))).select("doc", F.shiftright("at", POS_BITS).alias("tag"), F.struct("at", "mask").alias("m"))
+    later = copies.select("doc", "tag", F.lit(None).cast("struct<at:bigint,mask:bigint>").alias("m"))
+    found = (masks.unionByName(later).groupBy("doc", "tag")
+             .agg(F.collect_list("m").alias("masks"), F.bool_or(F.col("m").isNull()).alias("later")))
+    found = materialise(found, "masks")
+    sift = maybe_in(rows, F.col("doc"), found, "doc")
+    whole = sift.where("not __hit").select("row", F.col("text").cast("binary").alias("kept"), F.array().cast(SPANS).alias("spans"))
+    cut = sift.where("__hit").select("row", "doc", "text", "tag").join(found, ["doc", "tag"], "left").select("row", "text", "later", "masks")
     row_type = rows.schema["row"].dataType.simpleString()
     return whole.unionByName(cut.mapInArrow(_cut, f"row {row_type}, kept binary, spans {SPANS}"))
