@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from riskflow import constants as C
 from riskflow.functions import exprs as X
+from riskflow.schema import SCORED_COLUMNS
 
 
 def with_severity(scored: DataFrame, **thresholds) -> DataFrame:
@@ -42,6 +43,11 @@ def _fields(pairs: list[tuple[str, Column]], flag: str | None = None, flags=None
     return F.array(*out)
 
 
+def iso(ts: Column) -> Column:
+    """ISO 8601 text of a zone-less timestamp; microseconds only where there are some."""
+    return F.regexp_replace(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), r"\.000000$", "")
+
+
 def payload(channel: Column, sent_at: Column) -> Column:
     """JSON payload text per channel (Slack / Discord / Teams / email /
     generic webhook). ``sent_at`` (timestamp) replaces the wall clock."""
@@ -52,7 +58,8 @@ def payload(channel: Column, sent_at: Column) -> Column:
     acc = F.coalesce(F.col("account_id"), na)
     cat = F.coalesce(F.col("merchant_category"), na)
     loc = F.coalesce(F.col("location"), na)
-    ts_txt = F.coalesce(F.col("timestamp").cast("string"), na)
+    ts_txt = F.coalesce(iso(F.col("timestamp")), na)
+    keep = {"ignoreNullFields": "false"}
     reason = F.coalesce(F.col("alert_reason"), na)
     score_txt = X.percent_text(F.col("ml_anomaly_score"))
     amount_txt = X.money_plain(F.coalesce(F.col("amount"), F.lit(0.0)))
@@ -80,7 +87,7 @@ def payload(channel: Column, sent_at: Column) -> Column:
         _fields([("Transaction ID", tid), ("Anomaly Score", score_txt), ("Amount", amount_txt),
                  ("Account ID", acc), ("Category", cat), ("Location", loc), ("Alert Reason", reason)],
                 "inline", [True, True, True, True, True, True, False], key="name").alias("fields"),
-        sent_at.cast("string").alias("timestamp"),
+        iso(sent_at).alias("timestamp"),
         F.struct(F.lit(C.ALERT_FOOTER).alias("text")).alias("footer"))).alias("embeds")))
     teams = F.to_json(F.struct(
         F.lit("MessageCard").alias("@type"),
@@ -104,13 +111,10 @@ def payload(channel: Column, sent_at: Column) -> Column:
                        F.concat(F.lit("Severity: "), sev_up), F.lit(""),
                        F.lit("Please investigate immediately."))
     email = F.to_json(F.struct(F.concat(title, F.lit(": "), amount_txt).alias("subject"), body.alias("body")))
+    whole = [iso(F.col(c)).alias(c) if c == "timestamp" else F.col(c) for c in SCORED_COLUMNS]
     webhook = F.to_json(F.struct(
-        F.lit("fraud_alert").alias("event"), sev.alias("severity"),
-        F.struct(tid.alias("transaction_id"), acc.alias("account_id"), F.col("amount"),
-                 cat.alias("merchant_category"), loc.alias("location"), ts_txt.alias("timestamp"),
-                 F.col("alert_reason")).alias("transaction"),
-        F.col("ml_anomaly_score").alias("anomaly_score"),
-        sent_at.cast("string").alias("timestamp")))
+        F.lit("fraud_alert").alias("event"), sev.alias("severity"), F.struct(*whole).alias("transaction"),
+        F.col("ml_anomaly_score").alias("anomaly_score"), iso(sent_at).alias("timestamp")), keep)
     return (F.when(channel == "slack", slack).when(channel == "discord", discord)
              .when(channel == "teams", teams).when(channel == "email", email)
              .when(channel == "webhook", webhook))

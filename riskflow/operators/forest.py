@@ -113,9 +113,9 @@ def _grow(pdf: pd.DataFrame, features: list[str], seed: int, psi: int) -> pd.Dat
 
 
 def train(df: DataFrame, features: list[str], key: str = "transaction_id", n_trees: int = C.N_TREES,
-          psi: int = C.MAX_SAMPLES, seed: int = C.FOREST_SEED) -> DataFrame:
-    """M1: the node table of an isolation forest over ``features``."""
-    n = df.count()
+          psi: int = C.MAX_SAMPLES, seed: int = C.FOREST_SEED, n: int | None = None) -> DataFrame:
+    """M1: the node table of an isolation forest over ``features`` (``n``: rows, if known)."""
+    n = df.count() if n is None else n
     samples = tree_samples(df, features, key, n_trees, psi, seed, n=n)
     psi_eff = int(min(psi, n))
 
@@ -214,3 +214,29 @@ def score_bounds(scored: DataFrame, raw: str = "raw_score") -> tuple[float, floa
     """Min / max decision score (model metadata, two numbers)."""
     r = scored.agg(F.min(raw), F.max(raw)).first()
     return float(r[0]), float(r[1])
+
+
+META = T.StructType([T.StructField("features", T.ArrayType(T.StringType())), T.StructField("psi", T.IntegerType()),
+                     T.StructField("min_decision_score", T.DoubleType()), T.StructField("max_decision_score", T.DoubleType())])
+
+
+def model_path(root: str, model: str, version: int) -> str:
+    return f"{root.rstrip('/')}/{model}/version={int(version)}"
+
+
+def save(nodes: DataFrame, root: str, model: str, version: int, features: list[str], psi: int, bounds: tuple[float, float]) -> str:
+    """Store a model: node table, feature list, ψ and score bounds under (model, version).
+    Writing a version again replaces it."""
+    path = model_path(root, model, version)
+    nodes.write.mode("overwrite").parquet(f"{path}/nodes")
+    meta = nodes.sparkSession.createDataFrame([(list(features), int(psi), float(bounds[0]), float(bounds[1]))], META)
+    meta.coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
+    return path
+
+
+def load(spark, root: str, model: str, version: int) -> tuple[Forest, float, float]:
+    """(forest, min score, max score) of a stored model; the node table is bounded."""
+    path = model_path(root, model, version)
+    meta = spark.read.schema(META).parquet(f"{path}/meta").first()
+    nodes = spark.read.schema(NODE_SCHEMA).parquet(f"{path}/nodes")
+    return Forest.from_nodes(nodes, list(meta["features"]), meta["psi"]), meta["min_decision_score"], meta["max_decision_score"]

@@ -183,17 +183,12 @@ def exact_percentile(requests: DataFrame, q: float, value: str = "duration_s", w
                     .agg(F.round(F.percentile(value, q), 6).alias("quantile")))
 
 
-def hit_rate(requests: DataFrame, key: str = "endpoint", ttl_s: int = C.CACHE_TTL_SECONDS,
-             method: str = "GET") -> DataFrame:
-    """Cache-style hit rate %: within each TTL slot and key the first
-    read is a miss and the rest are hits; 0 when there were no reads."""
-    r = requests.where(F.col("method") == method)
-    slots = r.groupBy(key, bucket_of("ts", ttl_s).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
-    agg = slots.agg(F.sum("n").alias("requests"), F.count(F.lit(1)).alias("misses"))
-    hits = F.col("requests") - F.col("misses")
-    return agg.select(F.coalesce(hits, F.lit(0)).alias("hits"), F.coalesce(F.col("misses"), F.lit(0)).alias("misses"),
-                      F.round(F.coalesce(F.try_divide(hits * 100.0, F.col("requests")), F.lit(0.0)), 4)
-                       .alias("hit_rate_pct"))
+def hit_rate(counters: DataFrame, hits: str = "hits", misses: str = "misses", by: tuple[str, ...] = ()) -> DataFrame:
+    """Hit rate % over given hit and miss counters; 0 when there were no reads."""
+    h, m = F.coalesce(F.sum(hits), F.lit(0)), F.coalesce(F.sum(misses), F.lit(0))
+    agg = counters.groupBy(*by).agg(h.alias("hits"), m.alias("misses"))
+    total = F.col("hits") + F.col("misses")
+    return agg.select(*by, "hits", "misses", F.round(F.coalesce(F.try_divide(F.col("hits") * 100.0, total), F.lit(0.0)), 4).alias("hit_rate_pct"))
 
 
 def value_histogram(df: DataFrame, value: str, bounds: list[float]) -> DataFrame:

@@ -21,6 +21,7 @@ HOT_ROW_BYTES = 500
 WARM_ROW_BYTES = 500
 COLD_ROW_BYTES = 300
 COLD_COMPRESSION = 3
+COLD_TS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
 
 def cutoff(as_of: str, days: int) -> Column:
@@ -98,7 +99,7 @@ def export_cold(archive: DataFrame, base_path: str, as_of: str, archive_days: in
     (rows.repartitionByRange("timestamp", "transaction_id")
          .sortWithinPartitions("timestamp", "transaction_id")
          .write.mode("overwrite").option("compression", "gzip")
-         .option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").json(path))
+         .option("timestampNTZFormat", COLD_TS).json(path))
     return n, path
 
 
@@ -106,7 +107,7 @@ def read_cold(spark, path: str, schema, array: bool = False) -> DataFrame:
     """Read an export back: JSON lines, or with ``array`` files that hold one JSON
     array each (such a file is read by one task)."""
     return (spark.read.schema(schema).option("multiLine", array)
-                 .option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").json(path))
+                 .option("timestampNTZFormat", COLD_TS).json(path))
 
 
 def purge_keep(archive: DataFrame, as_of: str, purge_days: int = C.PURGE_DAYS,
@@ -163,6 +164,38 @@ def run_summary(main: DataFrame, archive: DataFrame, as_of: str, retention_days:
                         n_purge.alias("purged_count"))
 
 
+def run(main: DataFrame, archive: DataFrame, base: str, as_of: str, retention_days: int = C.RETENTION_DAYS,
+        archive_days: int = C.ARCHIVE_DAYS, purge_days: int = C.PURGE_DAYS, holds: DataFrame | None = None,
+        dry_run: bool = False) -> DataFrame:
+    """Stats -> warm copy -> cold export -> purge, with writes under ``base``:
+    ``archive/copied=<day>`` (the archive after the copy), ``cold/cutoff=<day>`` and
+    ``archive/version=<day>`` (after the purge, the next run's archive). Each step reads
+    what the one before wrote, and overwrites its folder, so a run may be repeated.
+    Returns the stats and the counts of what was done (dry run: would be done).
+    """
+    spark, day = main.sparkSession, as_of[:10].replace("-", "")
+    stats = tier_stats(main, as_of, retention_days, archive_days, purge_days)
+    if dry_run:
+        return run_summary(main, archive, as_of, retention_days, archive_days, purge_days)
+    root = f"{base.rstrip('/')}/archive"
+    copied = warm_copy(main, archive, as_of, retention_days)
+    archive.unionByName(copied, allowMissingColumns=True).write.mode("overwrite").parquet(f"{root}/copied={day}")
+    after = spark.read.parquet(f"{root}/copied={day}")
+    n_copied = after.where(F.col("archived_at") == ts_lit(as_of)).count()
+    n_cold, _ = export_cold(after, f"{base.rstrip('/')}/cold", as_of, archive_days)
+    n_purged = purged_rows(after, as_of, purge_days, holds).count()
+    purge_keep(after, as_of, purge_days, holds).write.mode("overwrite").parquet(f"{root}/version={day}")
+    return stats.select("*", *[F.lit(n).cast("long").alias(c) for c, n in (("archived_count", n_copied), ("exported_count", n_cold), ("purged_count", n_purged))])
+
+
+def rewrite_cold(spark, path: str, out: str, schema, requests: DataFrame, array: bool = False) -> int:
+    """J8 in the cold tier: the export at ``path`` without the accounts in ``requests``,
+    written to ``out``; returns the rows that stay."""
+    (erase(read_cold(spark, path, schema, array), requests).write.mode("overwrite").option("compression", "gzip")
+     .option("timestampNTZFormat", COLD_TS).option("ignoreNullFields", "false").json(out))
+    return read_cold(spark, out, schema).count()
+
+
 def storage_estimate(stats: DataFrame) -> DataFrame:
     """Bytes per tier from the tier counts."""
     return stats.select(

@@ -7,10 +7,17 @@ top 100 anomalies by score (T1).
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import functions as F
+
 from riskflow.operators import review, score
 from riskflow.plans.registry import query
 from riskflow.plans.sqlparts import ARRIVAL_ORDER, REQ, SCORED_COLS, VALIDATED, scored
-from riskflow.sources import adapters
+from riskflow.schema import SCORED_COLUMNS
+from riskflow.session import scratch_path, ts_lit
+from riskflow.sources import adapters, messages
+from riskflow.streaming import detector
 
 FLAGSHIP_SQL = f"""WITH {REQ},
 {VALIDATED},
@@ -25,11 +32,32 @@ def flagship(spark, d):
     return review.top_anomalies(scored_rows, limit=100)
 
 
-@query("detect_all", f"""WITH {REQ},
+DETECT_SQL = f"""WITH {REQ},
 {VALIDATED},
 {scored('accepted', order=ARRIVAL_ORDER)}
-SELECT {SCORED_COLS} FROM scored""")
+SELECT {SCORED_COLS} FROM scored"""
+
+
+@query("detect_all", DETECT_SQL)
 def detect_all(spark, d):
     """Every accepted request, scored (the table the detector appends)."""
     scored_rows, _ = score.detect(adapters.event_requests(spark, d))
     return scored_rows
+
+
+SLICES = ["2024-01-11 00:00:00", "2024-01-21 00:00:00"]
+
+
+@query("stream_detect", DETECT_SQL)
+def stream_detect(spark, d):
+    """The streaming detector over message files: the feed arrives in slices, each one a
+    micro-batch that continues the stored ids and account state of those before."""
+    root = scratch_path(spark, f"stream-{uuid.uuid4().hex[:12]}")
+    req = adapters.event_requests(spark, d)
+    job = detector.Detector(spark, f"{root}/out")
+    at = F.col("arrival_ts")
+    for lo, hi in zip([None, *SLICES], [*SLICES, None]):
+        part = req.where((at >= ts_lit(lo) if lo else F.lit(True)) & (at < ts_lit(hi) if hi else F.lit(True)))
+        messages.to_messages(part, ["arrival_ts", "copy", "transaction_id"], exclude=("arrival_ts", "copy")).write.mode("append").json(f"{root}/topic")
+        detector.start(spark, messages.message_stream(spark, "files", f"{root}/topic"), job, f"{root}/checkpoint").awaitTermination()
+    return job.table(detector.SCORED).select(*SCORED_COLUMNS)

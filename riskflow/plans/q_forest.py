@@ -3,16 +3,17 @@ retraining composition (M1, M2, M4, A14)."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from riskflow import constants as C
-from riskflow.operators import evaluate, features, forest, lifecycle, rules
+from riskflow.operators import features, forest, lifecycle, retrain, score
 from riskflow.operators.forest import Forest, c_factor, mini_forest_nodes
 from riskflow.plans import views
 from riskflow.plans.registry import query
 from riskflow.plans.sqlparts import TX, hist
-from riskflow.schema import SCORED_COLUMNS
-from riskflow.session import reliable
+from riskflow.session import reliable, scratch_path
 
 F3 = C.TRAIN_FEATURES_3
 
@@ -51,12 +52,24 @@ def q_mini_forest(spark, d):
     return h.select("transaction_id", F.round(f.score_column(spark), 9).alias("raw_score"))
 
 
+@query("scored_by_stored_model", _mini_sql())
+def q_scored_by_stored_model(spark, d):
+    """M7: the three-tree forest stored under (model, version), loaded again and served."""
+    root = scratch_path(spark, f"models-{uuid.uuid4().hex[:12]}")
+    nodes = spark.createDataFrame(mini_forest_nodes(), forest.NODE_SCHEMA)
+    forest.save(nodes, root, "mini", 3, F3, 256, (-0.2, 0.1))
+    model, _, _ = forest.load(spark, root, "mini", 3)
+    h = features.history_before_row(views.tx(spark, d))
+    return h.select("transaction_id", F.round(model.score_column(spark), 9).alias("raw_score"))
+
+
 def _trained(spark, d):
     t = views.tx(spark, d)
-    train_set = features.account_features(t)       # training features (W2 / E2)
-    nodes = reliable(forest.train(train_set, F3))  # bounded: trees * (2ψ - 1) rows
-    model = Forest.from_nodes(nodes, F3, min(C.MAX_SAMPLES, train_set.count()))
-    return t, train_set, nodes, model
+    # training features (W2 / E2), stored once: counted, sampled and scored for the bounds
+    train_set = reliable(features.account_features(t).select("transaction_id", *F3))
+    n = train_set.count()
+    nodes = reliable(forest.train(train_set, F3, n=n))  # bounded: trees * (2ψ - 1) rows
+    return t, train_set, nodes, Forest.from_nodes(nodes, F3, min(C.MAX_SAMPLES, n))
 
 
 @query("forest_train")
@@ -71,30 +84,13 @@ def q_forest_score(spark, d):
     bounds from the training scores, rules on top -> SCORED rows."""
     t, train_set, _, model = _trained(spark, d)
     lo, hi = forest.score_bounds(train_set.withColumn("raw_score", model.score_column(spark)))
-    from riskflow.operators import score
     return score.score_transactions(t, raw=model.score_column(spark), min_score=lo, max_score=hi)
 
 
 @query("retrain_pipeline")
 def q_retrain_pipeline(spark, d):
-    """M4: lookback -> quality gate -> features -> split -> train -> evaluate
-    -> promotion decision, as one summary row."""
-    store = evaluate.lookback(views.store(spark, d), "2024-01-31 00:00:00", 90)
-    evaluate.raise_on_gate(evaluate.quality_gate(store))
-    fm = features.stratified_split(features.feature_matrix(store.select(*[c for c in store.columns])))
-    train_set = fm.where("split = 'train'")
-    test_set = fm.where("split = 'test'")
-    feats = C.TRAIN_FEATURES_9
-    nodes = reliable(forest.train(train_set, feats))
-    model = Forest.from_nodes(nodes, feats, min(C.MAX_SAMPLES, train_set.count()))
-    scored_test = test_set.withColumn("raw_score", model.score_column(spark))
-    stats = evaluate.eval_stats(scored_test)
-    auc = evaluate.roc_auc(scored_test, "is_fraud", -F.col("raw_score"))
-    cand = stats.select(F.lit(lifecycle.MODEL_NAME).alias("model"), "*")
+    """M4 as one summary row; the model is stored in the shared folder."""
     runs = lifecycle.weekly_runs(views.predictions(spark, d))
-    prod = runs.where("version = 1")
-    dec = lifecycle.promotion(cand, prod)
-    return dec.select("*", auc.select("roc_auc").scalar().alias("roc_auc"))
-
-
-__all__ = ["SCORED_COLUMNS", "rules"]
+    root = scratch_path(spark, f"models-{uuid.uuid4().hex[:12]}")
+    return retrain.retrain_pipeline(views.store(spark, d), "2024-01-31 00:00:00", min_samples=10, lookback_days=90,
+                                    production=runs.where("version = 1"), version=2, root=root)

@@ -336,7 +336,7 @@ def q_feature_drift_ks(spark, d):
     return drift.feature_drift_ks(ref, cur, DRIFT_FEATS)
 
 
-@query("feature_drift_psi", LONG_SQL + """,
+PSI_SQL = LONG_SQL + """,
 l AS (SELECT * FROM lng WHERE value IS NOT NULL),
 r AS (SELECT feature, min(value) AS lo, max(value) AS hi FROM l WHERE side = 'ref' GROUP BY 1),
 b AS (SELECT l.feature, l.side,
@@ -347,13 +347,23 @@ cn AS (SELECT feature, bin, count(*) FILTER (WHERE side = 'ref') AS n_ref, count
        FROM b GROUP BY 1, 2),
 t AS (SELECT *, sum(n_ref) OVER (PARTITION BY feature) AS nr, sum(n_cur) OVER (PARTITION BY feature) AS nc FROM cn),
 p AS (SELECT feature, greatest(n_ref / nr, 0.0001) AS pr, greatest(n_cur / nc, 0.0001) AS pc FROM t),
-s AS (SELECT feature, sum((pc - pr) * ln(pc / pr)) AS psi FROM p GROUP BY 1)
+s AS (SELECT feature, sum((pc - pr) * ln(pc / pr)) AS psi FROM p GROUP BY 1)"""
+
+
+@query("feature_drift_psi", PSI_SQL + """
 SELECT feature, round(psi, 6) AS psi, psi > 0.2 AS drifted FROM s""")
 def q_feature_drift_psi(spark, d):
     ref, cur = _drift_sides(spark, d)
     return drift.feature_drift_psi(ref, cur, DRIFT_FEATS)
 
 
+@query("dataset_drift", PSI_SQL + """
+SELECT round(avg(CAST(psi > 0.2 AS INTEGER)), 6) AS drift_share, count(*) AS n_features FROM s""")
+def q_dataset_drift(spark, d):
+    ref, cur = _drift_sides(spark, d)
+    return drift.dataset_drift(drift.feature_drift_psi(ref, cur, DRIFT_FEATS))
+
+
 # ---------------------------------------------------------------- lifecycle
 
 RUNS_SQL = STORE.replace("WITH", "WITH RECURSIVE", 1) + f""",

@@ -252,13 +252,12 @@ def q_duration_histogram(spark, d):
     return M.value_histogram(adapters.request_log(spark, d), "duration_s", C.PROCESSING_BUCKETS)
 
 
-@query("hit_rate", f"""WITH {RL},
-slots AS (SELECT endpoint, epoch_us(ts) // 60000000 AS slot, count(*) AS n FROM rl WHERE method = 'GET' GROUP BY 1, 2)
-SELECT CAST(COALESCE(sum(n) - count(*), 0) AS BIGINT) AS hits, count(*) AS misses,
-       round(COALESCE((sum(n) - count(*)) * 100.0 / NULLIF(sum(n), 0), 0.0), 4) AS hit_rate_pct
-FROM slots""")
+@query("hit_rate", """
+SELECT '/api/v1/' || event_type AS endpoint, count(*) FILTER (WHERE k < 75) AS hits, count(*) FILTER (WHERE k >= 75) AS misses,
+       round(count(*) FILTER (WHERE k < 75) * 100.0 / count(*), 4) AS hit_rate_pct
+FROM (SELECT event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) GROUP BY 1""")
 def q_hit_rate(spark, d):
-    return M.hit_rate(adapters.request_log(spark, d))
+    return M.hit_rate(adapters.cache_counters(spark, d), by=("endpoint",))
 
 
 @query("rolling_rate", PEV + ",\n" + dense_sql("r", "pev", 30, 300, {"processed": "processed"}) + f"""

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from riskflow.operators import retention as R
 from riskflow.plans.registry import query
 from riskflow.plans.sqlparts import CATS
-from riskflow.session import ts_lit
+from riskflow.session import scratch_path, ts_lit
 from riskflow.sources import adapters
 
 AS_OF = adapters.ORDERS_AS_OF          # 2001-08-02
@@ -125,7 +127,7 @@ def q_dry_run(spark, d):
     return R.dry_run(main, arch0, AS_OF, HOT, WARM, PURGE)
 
 
-@query("retention_summary", WITH_ARCH + f"""
+RETENTION_SQL = WITH_ARCH + f"""
 SELECT count(*) FILTER (WHERE "timestamp" >= {cut(HOT)}) AS hot_storage_count,
        count(*) FILTER (WHERE "timestamp" < {cut(HOT)} AND "timestamp" >= {cut(WARM)}) AS warm_storage_count,
        count(*) FILTER (WHERE "timestamp" < {cut(WARM)} AND "timestamp" >= {cut(PURGE)}) AS cold_storage_count,
@@ -134,12 +136,30 @@ SELECT count(*) FILTER (WHERE "timestamp" >= {cut(HOT)}) AS hot_storage_count,
        (SELECT count(*) FROM copied) AS archived_count,
        (SELECT count(*) FROM cold) AS exported_count,
        (SELECT count(*) FROM arch WHERE "timestamp" < {cut(PURGE)}) AS purged_count
-FROM otx""")
+FROM otx"""
+
+
+@query("retention_summary", RETENTION_SQL)
 def q_retention_summary(spark, d):
     main, arch0, _ = _state(spark, d)
     return R.run_summary(main, arch0, AS_OF, HOT, WARM, PURGE)
 
 
+@query("retention_run", RETENTION_SQL)
+def q_retention_run(spark, d):
+    """P6 with all its writes, in the shared folder."""
+    main, arch0, _ = _state(spark, d)
+    return R.run(main, arch0, scratch_path(spark, f"retention-{uuid.uuid4().hex[:12]}"), AS_OF, HOT, WARM, PURGE)
+
+
+@query("cold_round_trip", WITH_ARCH + "\nSELECT * FROM cold")
+def q_cold_round_trip(spark, d):
+    """The cold export written and read back."""
+    _, _, arch = _state(spark, d)
+    _, path = R.export_cold(arch, scratch_path(spark, f"cold-{uuid.uuid4().hex[:12]}"), AS_OF, WARM)
+    return R.read_cold(spark, path, arch.schema) if path else arch.limit(0)
+
+
 @query("storage_estimate", f"""WITH {OTX},
 s AS (SELECT count(*) FILTER (WHERE "timestamp" >= {cut(HOT)}) AS h,
              count(*) FILTER (WHERE "timestamp" < {cut(HOT)} AND "timestamp" >= {cut(WARM)}) AS w,
@@ -158,7 +178,7 @@ def q_archive_range(spark, d):
 
 
 ALL_TIERS_SQL = WITH_ARCH + f""",
-hot AS (SELECT * FROM otx WHERE transaction_id NOT IN (SELECT transaction_id FROM arch)),
+hot AS (SELECT * FROM otx WHERE transaction_id NOT IN (SELECT transaction_id FROM arch0)),
 u AS (
   SELECT transaction_id, account_id, "timestamp", amount, 0 AS rk FROM hot
   UNION ALL SELECT transaction_id, account_id, "timestamp", amount, 1 FROM warm
@@ -170,8 +190,10 @@ tiers AS (
 
 
 def _tiers(spark, d):
-    main, _, arch = _state(spark, d)
-    hot = main.join(arch.select("transaction_id"), "transaction_id", "left_anti")
+    main, arch0, arch = _state(spark, d)
+    # the hot table keeps what this run has copied; the rows of the run before were deleted
+    # from it, so an id lives in up to three tiers
+    hot = main.join(arch0.select("transaction_id"), "transaction_id", "left_anti")
     warm = R.purge_keep(arch, AS_OF, PURGE)
     cold = R.cold_candidates(arch, AS_OF, WARM)
     cols = ["transaction_id", "account_id", "timestamp", "amount"]

@@ -125,3 +125,12 @@ def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("event_type") == "error", 500).otherwise(200).alias("http_status"),
         (F.col("value") / 100.0).alias("duration_s"),
     )
+
+
+def cache_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events -> cache counters as a cache reports them: per read one hit or one miss
+    (k < 75 is a read that the cache answered)."""
+    ev = read_table(spark, sf_dir, "events", ["event_type", "props"])
+    hit = props_k() < 75
+    return ev.select(F.concat(F.lit("/api/v1/"), F.col("event_type")).alias("endpoint"),
+                     hit.cast("long").alias("hits"), (~hit).cast("long").alias("misses"))

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskflow.functions import exprs as X
-from riskflow.operators import alerts, ingest, rules, score
+from riskflow.operators import alerts, forest, ingest, lifecycle, rules, score
 from riskflow.schema import REQUEST, SCORED_COLUMNS, TRANSACTION_COLUMNS
 
 STATE = "state"
@@ -77,6 +77,15 @@ class Detector:
     def path(self, table: str) -> str:
         return f"{self.out}/{table}"
 
+    @classmethod
+    def serving(cls, spark: SparkSession, out_dir: str, root: str, state: DataFrame, runs: DataFrame,
+                model: str = lifecycle.MODEL_NAME, **kw) -> "Detector":
+        """A detector that scores with the stored Production model (M7); raises
+        ``ModelNotReady`` where there is none."""
+        at = lifecycle.load_model(state, runs, model)
+        trees, lo, hi = forest.load(spark, root, model, at["version"])
+        return cls(spark, out_dir, raw=trees.score_column(spark), min_score=lo, max_score=hi, **kw)
+
     # ---- state -----------------------------------------------------------
 
     def state_before(self, batch_id: int) -> DataFrame | None:

@@ -57,3 +57,56 @@ def test_csv_replay_to_topic(spark, tmp_dir):
     q.awaitTermination()
     line = spark.read.text(os.path.join(tmp_dir, "topic")).first().value
     assert json.loads(line)["transaction_id"] == "TRX_1" and json.loads(line)["amount"] == 10.5
+
+
+def test_stored_model_is_served(spark, tmp_dir):
+    from riskflow.operators import forest
+    from riskflow.streaming.detector import Detector
+    nodes = spark.createDataFrame(forest.mini_forest_nodes(), forest.NODE_SCHEMA)
+    feats = ["amount", "account_avg_amount", "deviation_from_avg"]
+    forest.save(nodes, tmp_dir, "m", 2, feats, 256, (-0.25, 0.125))
+    model, lo, hi = forest.load(spark, tmp_dir, "m", 2)
+    assert (lo, hi, model.features, model.psi) == (-0.25, 0.125, feats, 256)
+    state = spark.createDataFrame([("m", 1, "Archived"), ("m", 2, "Production")], "model string, version int, stage string")
+    runs = spark.createDataFrame([("m", 2, -0.25, 0.125)], "model string, version int, min_decision_score double, max_decision_score double")
+    det = Detector.serving(spark, tmp_dir + "/out", tmp_dir, state, runs, "m")
+    assert det.bounds == (-0.25, 0.125) and det.raw is not None
+    rows = spark.createDataFrame([(100.0, 50.0, 1.0), (9000.0, 900.0, 9.0)], "amount double, account_avg_amount double, deviation_from_avg double")
+    got = [r[0] for r in rows.select(det.raw).collect()]
+    want = forest.Forest(forest.mini_forest_nodes(), feats, 256).decision(__import__("numpy").array([[100.0, 50.0, 1.0], [9000.0, 900.0, 9.0]]))
+    assert all(abs(a - b) < 1e-12 for a, b in zip(got, want))
+
+
+def test_every_run_ends_in_a_stage(spark):
+    rows = [("m", v, f1, v) for v, f1 in enumerate([0.5, 0.51, 0.6, None, 0.61, 0.62, 0.7], 1)]
+    runs = spark.createDataFrame(rows, "model string, version int, f1_score double, day int").selectExpr(
+        "model", "version", "f1_score", "timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(day) AS logged_at")
+    state = {r.version: r.stage for r in lifecycle.stage_state(lifecycle.run_history(runs, 0.02)).collect()}
+    assert state == {1: "Archived", 2: "Staging", 3: "Archived", 4: "Staging", 5: "Staging", 6: "Archived", 7: "Production"}
+
+
+def test_last_valid_status_update_counts(spark):
+    from riskflow.operators import review
+    base = spark.createDataFrame([("a", "NEW"), ("b", "NEW"), ("c", None)], "transaction_id string, status string")
+    upd = spark.createDataFrame([("a", "fraud", 1), ("a", "dismissed", 2), ("b", "bogus", 3), ("z", "FRAUD", 4), ("c", None, 5)],
+                                "transaction_id string, new_status string, n int")
+    updated, matched, unmatched, invalid = review.status_update(base, upd, order="n")
+    assert {r[0]: r[1] for r in updated.collect()} == {"a": "DISMISSED", "b": "NEW", "c": None}
+    assert [r.transaction_id for r in matched.collect()] == ["a"] and [r.transaction_id for r in unmatched.collect()] == ["z"]
+    assert sorted(r.transaction_id for r in invalid.collect()) == ["b", "c"]
+
+
+def test_windows_must_fit_the_interval():
+    from riskflow.operators import monitor
+    assert monitor.steps(300, 30) == 10
+    with pytest.raises(ValueError):
+        monitor.steps(100, 30)
+
+
+def test_every_tree_draws_from_all_rows(spark):
+    from riskflow.operators import forest
+    df = spark.range(200_000).select(F.concat(F.lit("T"), "id").alias("transaction_id"), F.rand(1).alias("x"), F.col("id").cast("double").alias("y"))
+    got = forest.tree_samples(df, ["x", "y"], n_trees=40, psi=256).groupBy("tree").agg(F.count("*").alias("n"), F.max("y").alias("hi")).collect()
+    assert len(got) == 40 and all(r.n == 256 and r.hi > 190_000 for r in got)
+    drawn = forest.tree_samples(df, ["x", "y"], n_trees=40, psi=256).select("y").distinct().count()
+    assert drawn > 9500          # no pool: 40 * 256 draws hit hardly any row twice

@@ -37,7 +37,9 @@ def test_slack_payload_golden(spark):
     assert "Please investigate immediately." in email["body"]
     assert json.loads(box["teams"].payload)["themeColor"] == "attention"
     assert json.loads(box["discord"].payload)["embeds"][0]["color"] == 16711680
-    assert json.loads(box["webhook"].payload)["severity"] == "critical"
+    hook = json.loads(box["webhook"].payload)
+    assert hook["severity"] == "critical" and len(hook["transaction"]) == 11
+    assert hook["transaction"]["timestamp"][10] == "T" and hook["timestamp"][10] == "T"
 
 
 def test_outbox_skips_below_high(spark):

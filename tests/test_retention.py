@@ -70,3 +70,38 @@ def test_erasure_and_all_tiers(spark):
     assert {r.tier for r in t.collect()} == {"hot", "warm"}
     gone = R.erase(t, spark.createDataFrame([("ACC_0",)], "account_id string"))
     assert {r.account_id for r in gone.collect()} == {"ACC_1"}
+
+
+def test_rows_without_a_time_are_never_purged(spark):
+    a = _main(spark).select("transaction_id", "account_id", "timestamp")
+    a = a.unionByName(spark.createDataFrame([("none", "ACC_9", None)], a.schema))
+    kept = {r.transaction_id for r in R.purge_keep(a, AS_OF).collect()}
+    gone = {r.transaction_id for r in R.purged_rows(a, AS_OF).collect()}
+    assert gone == {"purge"} and "none" in kept and len(kept) + len(gone) == 7
+    holds = a.where("transaction_id = 'purge'").select("account_id")
+    assert R.purged_rows(a, AS_OF, holds=holds).count() == 0 and R.purge_keep(a, AS_OF, holds=holds).count() == 7
+
+
+def test_a_run_writes_every_tier_and_may_be_repeated(spark, tmp_dir):
+    main = _main(spark)
+    archive = main.limit(0).withColumn("archived_at", F.to_timestamp_ntz(F.lit(AS_OF)))
+    want = R.run(main, archive, tmp_dir, AS_OF, dry_run=True).first()
+    for _ in range(2):
+        assert R.run(main, archive, tmp_dir, AS_OF).first() == want
+    assert (want.archived_count, want.exported_count, want.purged_count) == (5, 3, 1)
+    left = spark.read.parquet(tmp_dir + "/archive/version=20240630")
+    assert {r.transaction_id for r in left.collect()} == {"warm1", "warm2", "cold1", "cold2"}
+    cold = tmp_dir + "/cold/cutoff=20240630"
+    req = main.where("transaction_id = 'cold1'").select("account_id")
+    n = R.rewrite_cold(spark, cold, tmp_dir + "/cold2", archive.schema, req)
+    assert n == R.erase(R.read_cold(spark, cold, archive.schema), req).count() < 3
+
+
+def test_cold_files_with_one_json_array(spark, tmp_dir):
+    import gzip
+    import os
+    os.makedirs(tmp_dir + "/arr")
+    with gzip.open(tmp_dir + "/arr/a.json.gz", "wt") as f:
+        f.write('[{"transaction_id": "a", "amount": 1.5},\n {"transaction_id": "b", "amount": 2.5}]')
+    got = R.read_cold(spark, tmp_dir + "/arr", ARCHIVE, array=True).select("transaction_id", "amount").collect()
+    assert sorted(map(tuple, got)) == [("a", 1.5), ("b", 2.5)]
