@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskflow.session import reliable
+
 
 def exclusive_prefix(df: DataFrame, order_col: str, value_cols: list[str],
                      bucket: Column, partition_cols: list[str] | None = None,
@@ -32,25 +34,15 @@ def exclusive_prefix(df: DataFrame, order_col: str, value_cols: list[str],
 
 
 def distributed_prefix(df: DataFrame, order_cols: list[str], value_cols: list[str],
-                       partition_cols: list[str] | None = None, inclusive: bool = False,
-                       buckets: int = 1024) -> DataFrame:
+                       partition_cols: list[str] | None = None, inclusive: bool = False) -> DataFrame:
     """Running sums in (partition_cols, order_col) order for keys with
     arbitrarily many distinct values.
 
-    ``percentile_approx`` gives each group ``buckets - 1`` boundaries (a
-    table of groups × buckets numbers, broadcast); the bucket of a row is
-    the number of boundaries <= its value -- deterministic and monotone, so
-    ties share a bucket and buckets hold about equal row counts. The
-    two-level ``exclusive_prefix`` then does the rest.
+    The rows are range-partitioned on (partition_cols, order_col) and stored, and the
+    range partition is the bucket of the two-level ``exclusive_prefix``: buckets hold
+    about equal row counts, ties share one, and there is one total a bucket and group.
     """
     parts = list(partition_cols or [])
     (order_col,) = order_cols
-    probs = [i / buckets for i in range(1, buckets)]
-    q = F.percentile_approx(order_col, probs, 10000)
-    if parts:
-        with_b = df.join(F.broadcast(df.groupBy(*parts).agg(q.alias("_qb"))), parts, "left")
-    else:                                   # one array: a scalar subquery, no join
-        with_b = df.withColumn("_qb", df.agg(q).scalar())
-    bucket = F.size(F.filter(F.col("_qb"), lambda b: b <= F.col(order_col)))
-    out = exclusive_prefix(with_b, order_col, value_cols, bucket, parts, inclusive=inclusive)
-    return out.drop("_qb")
+    t = reliable(df.repartitionByRange(*parts, order_col).withColumn("_pid", F.spark_partition_id()))
+    return exclusive_prefix(t, order_col, value_cols, F.col("_pid"), parts, inclusive=inclusive).drop("_pid")

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskflow import constants as C
-from riskflow.operators.common import exclusive_prefix
+from riskflow.operators.common import distributed_prefix, exclusive_prefix
 from riskflow.session import reliable
 
 
@@ -178,9 +178,18 @@ def histogram_quantile(spark, requests: DataFrame, q: float, value: str = "durat
 
 
 def exact_percentile(requests: DataFrame, q: float, value: str = "duration_s", window: str = "5 minutes") -> DataFrame:
-    """N4 (exact variant): percentile per tumbling window (linear interpolation)."""
-    return (requests.groupBy(F.window(F.col("ts").cast("timestamp"), window).start.cast("timestamp_ntz").alias("window_start"))
-                    .agg(F.round(F.percentile(value, q), 6).alias("quantile")))
+    """N4 (exact variant): percentile per tumbling window (linear interpolation).
+
+    From the counts of distinct values and their running sums, so that no task holds the
+    values of a window: the percentile lies between the values at the ranks below and
+    above q * (n - 1).
+    """
+    start = F.window(F.col("ts").cast("timestamp"), window).start.cast("timestamp_ntz").alias("window_start")
+    counts = requests.where(F.col(value).isNotNull()).groupBy(start, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    totals = counts.groupBy("window_start").agg(((F.sum("n") - 1) * F.lit(float(q))).alias("p"))
+    c = distributed_prefix(counts, ["v"], ["n"], ["window_start"], inclusive=True).join(totals, "window_start")
+    lo, hi = (F.min(F.when(F.col("cum_n") > f(F.col("p")), F.col("v"))) for f in (F.floor, F.ceil))
+    return c.groupBy("window_start").agg(F.round(lo + (F.first("p") - F.floor(F.first("p"))) * (hi - lo), 6).alias("quantile"))
 
 
 def hit_rate(counters: DataFrame, hits: str = "hits", misses: str = "misses", by: tuple[str, ...] = ()) -> DataFrame:
@@ -228,10 +237,10 @@ def alert_intervals(metrics: DataFrame, rules: DataFrame) -> DataFrame:
     evaluated at its ticks; consecutive true ticks form an island
     (tick index minus its rank among true ticks is constant on an island);
     an island whose span reaches the rule's ``for:`` duration fires from
-    start + for until its last true tick. The rule table is a fixed
-    handful of rows, so broadcasting it is size-safe.
+    start + for until its last true tick. A rule's true ticks meet in one task: their
+    number is bounded by the time span over the interval, not by the data.
     """
-    j = metrics.join(F.broadcast(rules), ["metric", "interval_s"])
+    j = metrics.join(rules, ["metric", "interval_s"])
     j = j.where(F.coalesce(condition(F.col("value"), F.col("op"), F.col("threshold")), F.lit(False)))
     k = F.floor(epoch_us("tick") / (F.col("interval_s") * F.lit(1_000_000))).cast("long")
     j = j.withColumn("k", k)

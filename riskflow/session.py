@@ -8,6 +8,7 @@ setting is absent (local runs and tests).
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import Column, SparkSession
@@ -48,18 +49,26 @@ def get_spark(app: str = "riskflow", master: str | None = None,
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    if not spark.sparkContext.master.startswith("local"):
+        ship(spark)
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, where it is not installed on them."""
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="riskflow-ship-"), "riskflow"), "zip",
+                                  os.path.dirname(root), os.path.basename(root))
+    spark.sparkContext.addPyFile(archive)          # the driver serves it; nothing is read from its folder
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply riskflow's runtime SQL settings to a session built elsewhere
     (time zone, AQE, skew join) and make sure a checkpoint folder is set."""
     for k, v in BASE_CONF.items():
         if k.startswith("spark.sql."):
-            try:
+            if spark.conf.isModifiable(k):         # the static ones belong to whoever built the session
                 spark.conf.set(k, v)
-            except Exception:  # noqa: BLE001 - static confs of a running session
-                pass
     ensure_checkpoint_dir(spark)
     return spark
 
