@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from riskflow.session import scratch_path
 
 #: Rows and bytes of one Arrow batch; they bound what a Python task holds at once.
-BATCH_ROWS, BATCH_BYTES = 20_000, 4 << 20
+BATCH_ROWS, BATCH_BYTES = 20_000, 2 << 20
 #: Bits of the row prefilter (8 MB however large the data is) and of one of its rows.
 FILTER_BITS, FILTER_ROW = 1 << 26, 1 << 15
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from riskflow.llm.common import mix, seeded, utf8
 
-TRAIN_PER_LANG = 400
+TRAIN_PER_LANG = 250
 TRAIN_ROWS = 4000
 DIM = 4096
 SEGMENT = 1 << 21
@@ -77,7 +77,10 @@ def has_letter(text: np.ndarray) -> bool:
 def fit_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, epochs: int = 30) -> np.ndarray:
     """Weights (bias last) of an L2-regularised squared-hinge machine, by dual
     coordinate descent over the Gram matrix; y is +1 or -1."""
-    q = (x @ x.T + 1.0) * np.outer(y, y)
+    q = (x @ x.T).astype(np.float64)
+    q += 1.0
+    q *= y[:, None]
+    q *= y
     q[np.diag_indices(len(y))] += 0.5 / c
     alpha, grad = np.zeros(len(y)), -np.ones(len(y))
     order = np.random.default_rng(0)
@@ -87,8 +90,8 @@ def fit_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, epochs: int = 30) ->
             if step:
                 alpha[i] += step
                 grad += step * q[:, i]
-    w = (alpha * y) @ np.column_stack([x, np.ones(len(y))])
-    return w.astype(np.float32)
+    a = alpha * y
+    return np.append(a.astype(np.float32) @ x, np.float32(a.sum()))
 
 
 @dataclass(frozen=True)
@@ -169,7 +172,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
     last = F.create_map(*[x for k, v in cut.items() for x in (F.lit(k), F.lit(v))])
     got = some.where(F.col("k") <= last[F.col("lang")]).select("text", "lang").mapInArrow(_features_of, "lang string, v binary").toArrow().combine_chunks()
     pairs = sorted(zip(got.column("lang").to_pylist(), got.column("v").to_pylist()))     # the order of rows never matters
-    return fit(np.stack([np.frombuffer(v, np.float32) for _, v in pairs]).astype(np.float64), [x for x, _ in pairs]) if pairs else None
+    return fit(np.stack([np.frombuffer(v, np.float32) for _, v in pairs]), [x for x, _ in pairs]) if pairs else None
 
 
 def predict(rows: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
@@ -180,14 +183,14 @@ def predict(rows: DataFrame, model: Model | None, text: str = "text") -> DataFra
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, off = utf8(b.column("text"))
+            data, off = utf8(b.column("row").field(text))
             out = []
             for i in range(len(b)):
                 t = data[off[i]:off[i + 1]]
                 out.append(model.predict(features(t)) if model is not None and has_letter(t) else (UNKNOWN, 0.0))
             yield pa.RecordBatch.from_arrays([b.column("row"), pa.array([x for x, _ in out], pa.string()), pa.array([s for _, s in out], pa.float64())], ["row", "lang_pred", "score"])
 
-    src = rows.select(F.struct("*").alias("row"), F.col(text).alias("text"))
+    src = rows.select(F.struct("*").alias("row"))
     return src.mapInArrow(run, f"row {src.schema['row'].dataType.simpleString()}, lang_pred string, score double")
 
 

@@ -13,7 +13,7 @@ import numpy as np
 
 from riskflow.llm.common import mix, seeded
 
-SEGMENT = 1 << 21
+SEGMENT = 1 << 18
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
