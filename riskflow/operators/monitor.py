@@ -13,12 +13,13 @@ count as zero.
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskflow import constants as C
 from riskflow.operators.common import distributed_prefix, exclusive_prefix
-from riskflow.session import reliable
 
 
 def epoch_us(ts: str = "ts") -> Column:
@@ -63,23 +64,16 @@ def rebucket(counts: DataFrame, factor: int, cols: list[str]) -> DataFrame:
                   .agg(*[F.sum(c).alias(c) for c in cols]))
 
 
-def tick_range(spark: SparkSession, counts: DataFrame, window_s: int = 0, interval_s: int = 0) -> DataFrame:
-    """Dense ticks from the first bucket + 1 to the last bucket + 1 (the two
-    bounds are the only values brought to the driver)."""
-    lo, hi = counts.agg(F.min("b"), F.max("b")).first()
-    if lo is None:
-        return spark.range(0).withColumnRenamed("id", "k")
-    return spark.range(int(lo) + 1, int(hi) + 2).withColumnRenamed("id", "k")
+def tick_range(spark: SparkSession, span: tuple[str, str], interval_s: int) -> DataFrame:
+    """Dense ticks after ``span[0]`` up to ``span[1]`` (UTC). The grid is an argument, not
+    taken from the data: one event with a wild date would make billions of ticks."""
+    lo, hi = (int(datetime.fromisoformat(t).replace(tzinfo=timezone.utc).timestamp()) // interval_s for t in span)
+    return spark.range(lo + 1, hi + 1).withColumnRenamed("id", "k")
 
 
-def dense(spark: SparkSession, counts: DataFrame, window_s: int, interval_s: int, cols: list[str]) -> DataFrame:
-    """Dense per-tick window sums. ``counts`` is a small aggregate (one row
-    per bucket) read by both the bounds and the sums: it is checkpointed
-    once, which also cuts the (long) lineage of the events behind it."""
-    counts = reliable(counts)
-    s = sliding(counts, window_s, interval_s, cols)
-    grid = tick_range(spark, counts)
-    out = grid.join(s, "k", "left")
+def dense(spark: SparkSession, counts: DataFrame, window_s: int, interval_s: int, cols: list[str], span: tuple[str, str]) -> DataFrame:
+    """Dense per-tick window sums over ``span``; 0 where nothing happened."""
+    out = tick_range(spark, span, interval_s).join(sliding(counts, window_s, interval_s, cols), "k", "left")
     return out.select("k", *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in cols])
 
 
@@ -107,27 +101,27 @@ def pipeline_totals(ev: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- series
 
-def rate_series(spark, ev: DataFrame, window_s: int = 300, interval_s: int = 30,
+def rate_series(spark, ev: DataFrame, span: tuple[str, str], window_s: int = 300, interval_s: int = 30,
                 cols: tuple[str, ...] = ("processed", "anomaly", "error")) -> DataFrame:
     """Per-second rates over the window at every tick (dense)."""
     counts = bucket_counts(ev, interval_s, {c: F.col(c) for c in cols})
-    d = dense(spark, counts, window_s, interval_s, list(cols))
+    d = dense(spark, counts, window_s, interval_s, list(cols), span)
     return d.select(tick_ts(F.col("k"), interval_s).alias("tick"),
                     *[F.round(F.col(c) / F.lit(float(window_s)), 6).alias(f"{c}_rate") for c in cols])
 
 
-def increase_series(spark, ev: DataFrame, col: str = "processed", window_s: int = 600,
+def increase_series(spark, ev: DataFrame, span: tuple[str, str], col: str = "processed", window_s: int = 600,
                     interval_s: int = 60) -> DataFrame:
     """Events in the window at every tick (no division)."""
     counts = bucket_counts(ev, interval_s, {col: F.col(col)})
-    d = dense(spark, counts, window_s, interval_s, [col])
+    d = dense(spark, counts, window_s, interval_s, [col], span)
     return d.select(tick_ts(F.col("k"), interval_s).alias("tick"), F.col(col).cast("long").alias("increase"))
 
 
-def ratio_series(spark, ev: DataFrame, num: str, den: str, window_s: int, interval_s: int) -> DataFrame:
+def ratio_series(spark, ev: DataFrame, span: tuple[str, str], num: str, den: str, window_s: int, interval_s: int) -> DataFrame:
     """sum(rate(num)) / sum(rate(den)); NULL where the denominator is 0."""
     counts = bucket_counts(ev, interval_s, {num: F.col(num), den: F.col(den)})
-    d = dense(spark, counts, window_s, interval_s, [num, den])
+    d = dense(spark, counts, window_s, interval_s, [num, den], span)
     return d.select(tick_ts(F.col("k"), interval_s).alias("tick"),
                     F.round(F.try_divide(F.col(num).cast("double"), F.col(den)), 6).alias("ratio"))
 
@@ -262,7 +256,7 @@ def active_alerts(intervals: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("firing_intervals"), F.sum(dur).cast("long").alias("firing_seconds"))
 
 
-def rolling_mean_rate(spark, ev: DataFrame, col: str = "processed", window_s: int = 300,
+def rolling_mean_rate(spark, ev: DataFrame, span: tuple[str, str], col: str = "processed", window_s: int = 300,
                       interval_s: int = 30, over_s: int = 3600) -> DataFrame:
     """avg_over_time(rate(x[5m])[1h:]) at every tick.
 
@@ -274,7 +268,7 @@ def rolling_mean_rate(spark, ev: DataFrame, col: str = "processed", window_s: in
     """
     m = steps(over_s, interval_s)
     counts = bucket_counts(ev, interval_s, {col: F.col(col)})
-    d = dense(spark, counts, window_s, interval_s, [col])
+    d = dense(spark, counts, window_s, interval_s, [col], span)
     ticks_per_day = steps(86400, interval_s)
     p = exclusive_prefix(d.select("k", F.col(col).alias("c")), "k", ["c"],
                          F.floor(F.col("k") / ticks_per_day), inclusive=True)
@@ -289,6 +283,28 @@ def rolling_mean_rate(spark, ev: DataFrame, col: str = "processed", window_s: in
                     F.round(mean, 6).alias("rate_mean_1h"))
 
 
+def trailing_max(series: DataFrame, col: str = "rate", over_s: int = 86400, interval_s: int = 30) -> DataFrame:
+    """max_over_time(series[24h]) at every tick of a dense series (tick, col).
+
+    The ticks fall into blocks of one window. The last m ticks span the end of one block
+    and the start of the next, so a running maximum from each block's start, one from
+    its end, and a join m - 1 ticks back give the maximum; no task holds more than a block.
+    """
+    m = steps(over_s, interval_s)
+    k = F.floor(epoch_us("tick") / F.lit(interval_s * 1_000_000)).cast("long")
+    t = series.select("tick", F.col(col).alias("v"), k.alias("k")).withColumn("blk", F.floor(F.col("k") / m))
+    up = Window.partitionBy("blk").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy("blk").orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, 0)
+    t = t.select("tick", "k", F.max("v").over(up).alias("head"), F.max("v").over(down).alias("tail"))
+    back = t.select((F.col("k") + m - 1).alias("k"), F.col("tail").alias("before"))
+    # a tick in the first window has no tick m - 1 back: the block before, as far as it goes, counts whole
+    first = t.agg(F.min("k")).scalar()
+    from_start = t.agg(F.min_by("tail", "k")).scalar()
+    later = F.floor(F.col("k") / m) > F.floor(first / m)
+    return (t.join(back, "k", "left")
+             .select("tick", F.greatest("head", F.coalesce("before", F.when(later, from_start))).alias(f"max_{col}")))
+
+
 def daily_max(series: DataFrame, col: str = "rate") -> DataFrame:
     """Max of a series per 24 h (tumbling)."""
     return series.groupBy(F.date_trunc("day", "tick").alias("day")).agg(F.max(col).alias(f"max_{col}"))

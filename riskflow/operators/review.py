@@ -37,7 +37,10 @@ def anomalies_filtered(scored: DataFrame, min_score: float | None = None,
 
 
 def normalise_status(df: DataFrame) -> DataFrame:
-    """status NULL -> NEW and upper-cased; timestamp rendered as text."""
+    """status NULL -> NEW and upper-cased; timestamp rendered as text; a score that
+    is no number becomes NULL."""
+    if "ml_anomaly_score" in df.columns:
+        df = df.withColumn("ml_anomaly_score", F.col("ml_anomaly_score").try_cast("double"))
     return (df.withColumn("status", F.upper(F.coalesce(F.col("status"), F.lit("NEW"))))
               .withColumn("timestamp", F.date_format(F.col("timestamp"), "yyyy-MM-dd HH:mm:ss.SSSSSS")))
 
@@ -91,15 +94,13 @@ def review_queue(anoms: DataFrame, amount_range: tuple[float, float] | None = No
     """amount in [lo, hi]; reason unless 'All'; status in list unless 'All'.
 
     Defaults follow the dashboard: the range is [min, max] of the queue
-    itself (scalar subqueries, no join), statuses NEW + INVESTIGATED.
+    itself, statuses NEW + INVESTIGATED.
     """
     df = normalise_status(anoms)
-    if amount_range is None:
-        rng = anoms.agg(F.struct(F.min("amount").alias("lo"), F.max("amount").alias("hi"))).scalar()
-        lo, hi = rng.getField("lo"), rng.getField("hi")
+    if amount_range is None:                      # [min, max] of the queue: every row that has an amount
+        df = df.where(F.col("amount").isNotNull())
     else:
-        lo, hi = F.lit(float(amount_range[0])), F.lit(float(amount_range[1]))
-    df = df.where((F.col("amount") >= lo) & (F.col("amount") <= hi))
+        df = df.where(F.col("amount").between(float(amount_range[0]), float(amount_range[1])))
     if reason != "All":
         df = df.where(F.col("alert_reason") == reason)
     statuses = ["NEW", "INVESTIGATED"] if statuses is None else statuses

@@ -32,6 +32,9 @@ RL = """rl AS (
   FROM events)"""
 
 
+SPAN = (adapters.EVENTS_FROM, adapters.EVENTS_AS_OF)
+
+
 def dense_sql(name: str, src: str, interval: int, window: int, sums: dict[str, str]) -> str:
     """CTE ``name(k, <sums>)``: dense ticks, sum of buckets k-n .. k-1."""
     n = window // interval
@@ -40,7 +43,8 @@ def dense_sql(name: str, src: str, interval: int, window: int, sums: dict[str, s
     return f"""{name}_c AS (SELECT epoch_us(ts) // {interval * 1_000_000} AS b, {agg} FROM {src} GROUP BY 1),
 {name} AS (
   SELECT t.k, {out}
-  FROM (SELECT unnest(generate_series((SELECT min(b) + 1 FROM {name}_c), (SELECT max(b) + 1 FROM {name}_c))) AS k) t
+  FROM (SELECT unnest(generate_series(epoch_us(TIMESTAMP '{SPAN[0]}') // {interval * 1_000_000} + 1,
+                                      epoch_us(TIMESTAMP '{SPAN[1]}') // {interval * 1_000_000})) AS k) t
   LEFT JOIN {name}_c c ON c.b BETWEEN t.k - {n} AND t.k - 1
   GROUP BY t.k)"""
 
@@ -105,19 +109,19 @@ SELECT {tick_sql(30)} AS tick, round(processed / 300.0, 6) AS processed_rate,
        round(anomaly / 300.0, 6) AS anomaly_rate, round(error / 300.0, 6) AS error_rate
 FROM r""")
 def q_rate_5m(spark, d):
-    return M.rate_series(spark, _pipeline(spark, d), 300, 30)
+    return M.rate_series(spark, _pipeline(spark, d), SPAN, 300, 30)
 
 
 @query("increase", PEV + ",\n" + dense_sql("r", "pev", 60, 600, {"processed": "processed"}) + f"""
 SELECT {tick_sql(60)} AS tick, processed AS increase FROM r""")
 def q_increase(spark, d):
-    return M.increase_series(spark, _pipeline(spark, d), "processed", 600, 60)
+    return M.increase_series(spark, _pipeline(spark, d), SPAN, "processed", 600, 60)
 
 
 @query("ratios", PEV + ",\n" + dense_sql("r", "pev", 60, 1800, {"anomaly": "anomaly", "processed": "processed"}) + f"""
 SELECT {tick_sql(60)} AS tick, round(anomaly / NULLIF(CAST(processed AS DOUBLE), 0), 6) AS ratio FROM r""")
 def q_ratios(spark, d):
-    return M.ratio_series(spark, _pipeline(spark, d), "anomaly", "processed", 1800, 60)
+    return M.ratio_series(spark, _pipeline(spark, d), SPAN, "anomaly", "processed", 1800, 60)
 
 
 @query("http_error_share", f"WITH {RL},\n" + dense_sql(
@@ -126,7 +130,7 @@ SELECT {tick_sql(30)} AS tick, round(err / NULLIF(CAST(total AS DOUBLE), 0), 6)
 def q_http_error_share(spark, d):
     rl = adapters.request_log(spark, d).select(
         "ts", (F.col("http_status") >= 500).cast("int").alias("err"), F.lit(1).alias("total"))
-    return M.ratio_series(spark, rl, "err", "total", 300, 30)
+    return M.ratio_series(spark, rl, SPAN, "err", "total", 300, 30)
 
 
 @query("latency_quantile", f"WITH {RL},\n" + hq_sql("h", 0.95) + f"""
@@ -200,12 +204,12 @@ def _metrics(spark, d):
     rl = adapters.request_log(spark, d)
     c30 = reliable(M.bucket_counts(ev, 30, {c: F.col(c) for c in ("processed", "anomaly", "error")}))
     c60 = M.rebucket(c30, 2, ["processed", "anomaly"])
-    d30 = M.dense(spark, c30, 300, 30, ["processed", "anomaly", "error"])
-    inc = M.dense(spark, c60, 600, 60, ["processed"])
-    sh = M.dense(spark, c60, 1800, 60, ["anomaly", "processed"])
+    d30 = M.dense(spark, c30, 300, 30, ["processed", "anomaly", "error"], SPAN)
+    inc = M.dense(spark, c60, 600, 60, ["processed"], SPAN)
+    sh = M.dense(spark, c60, 1800, 60, ["anomaly", "processed"], SPAN)
     h30 = M.bucket_counts(rl.select("ts", (F.col("http_status") >= 500).cast("int").alias("err"),
                                     F.lit(1).alias("total")), 30, {"err": F.col("err"), "total": F.col("total")})
-    he = M.dense(spark, h30, 300, 30, ["err", "total"])
+    he = M.dense(spark, h30, 300, 30, ["err", "total"], SPAN)
     p95 = M.histogram_quantile(spark, rl, 0.95)
 
     def series(df, name, interval, value):
@@ -266,11 +270,19 @@ SELECT {tick_sql(30)} AS tick, round(processed / 300.0, 6) AS rate,
              / (least(k - (SELECT min(k) FROM r) + 1, 120) * 300.0), 6) AS rate_mean_1h
 FROM r""")
 def q_rolling_rate(spark, d):
-    return M.rolling_mean_rate(spark, _pipeline(spark, d), "processed", 300, 30, 3600)
+    return M.rolling_mean_rate(spark, _pipeline(spark, d), SPAN, "processed", 300, 30, 3600)
+
+
+@query("rate_max_24h", PEV + ",\n" + dense_sql("r", "pev", 30, 300, {"processed": "processed"}) + f"""
+SELECT {tick_sql(30)} AS tick, max(round(processed / 300.0, 6)) OVER (ORDER BY k ROWS BETWEEN 2879 PRECEDING AND CURRENT ROW) AS max_rate
+FROM r""")
+def q_rate_max_24h(spark, d):
+    s = M.rate_series(spark, _pipeline(spark, d), SPAN, 300, 30, ("processed",))
+    return M.trailing_max(s.withColumnRenamed("processed_rate", "rate"), "rate")
 
 
 @query("rate_daily_max", PEV + ",\n" + dense_sql("r", "pev", 30, 300, {"processed": "processed"}) + f"""
 SELECT date_trunc('day', {tick_sql(30)}) AS day, max(round(processed / 300.0, 6)) AS max_rate FROM r GROUP BY 1""")
 def q_rate_daily_max(spark, d):
-    s = M.rate_series(spark, _pipeline(spark, d), 300, 30, ("processed",))
+    s = M.rate_series(spark, _pipeline(spark, d), SPAN, 300, 30, ("processed",))
     return M.daily_max(s.withColumnRenamed("processed_rate", "rate"), "rate")

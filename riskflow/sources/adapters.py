@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from riskflow.constants import LOCATIONS, MERCHANT_CATEGORIES
 from riskflow.sources.tables import read_table
 
+EVENTS_FROM = "2024-01-01 00:00:00"
 EVENTS_AS_OF = "2024-01-31 00:00:00"
 ORDERS_AS_OF = "2001-08-02 00:00:00"
 

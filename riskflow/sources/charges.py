@@ -61,6 +61,12 @@ def flatten_charges(charges: DataFrame) -> DataFrame:
     )
 
 
+def split_charges(charges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(transactions of the readable charges, rejects with their reason)."""
+    flat = flatten_charges(charges)
+    return flat.where("reject_reason is null").drop("reject_reason"), flat.where("reject_reason is not null")
+
+
 def order_charges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A charge feed derived from orders ⋈ customer ⋈ nation ⋈ region.
 

@@ -110,3 +110,31 @@ def test_every_tree_draws_from_all_rows(spark):
     assert len(got) == 40 and all(r.n == 256 and r.hi > 190_000 for r in got)
     drawn = forest.tree_samples(df, ["x", "y"], n_trees=40, psi=256).select("y").distinct().count()
     assert drawn > 9500          # no pool: 40 * 256 draws hit hardly any row twice
+
+
+def test_trailing_max_against_brute_force(spark):
+    import random
+    from riskflow.operators import monitor
+    r = random.Random(4)
+    for start in (0, 7, 10):
+        vals = [r.randrange(100) for _ in range(47)]
+        rows = [((start + i) * 30, v) for i, v in enumerate(vals)]
+        s = spark.createDataFrame(rows, "t long, rate int").select(F.timestamp_seconds("t").cast("timestamp_ntz").alias("tick"), "rate")
+        got = [x.max_rate for x in monitor.trailing_max(s, "rate", over_s=300, interval_s=30).orderBy("tick").collect()]
+        assert got == [max(vals[max(0, i - 9):i + 1]) for i in range(len(vals))]
+
+
+def test_the_grid_does_not_follow_wild_dates(spark):
+    from riskflow.operators import monitor
+    ev = spark.createDataFrame([("1970-01-01 00:00:00", 1), ("2024-01-01 00:10:00", 2), ("9999-01-01 00:00:00", 1)], "t string, processed int").select(
+        F.to_timestamp_ntz("t").alias("ts"), "processed")
+    got = monitor.rate_series(spark, ev, ("2024-01-01 00:00:00", "2024-01-01 01:00:00"), 300, 30, ("processed",)).collect()
+    assert len(got) == 120 and sum(x.processed_rate > 0 for x in got) == 10
+
+
+def test_charges_without_an_id_are_split_off(spark):
+    from riskflow.sources import charges
+    raw = charges.order_charges(spark, "/root/testdata/sf0.001")
+    bad = raw.limit(3).withColumn("id", F.lit(None).cast("string"))
+    ok, rejects = charges.split_charges(raw.unionByName(bad))
+    assert rejects.count() == 3 and ok.count() == raw.count() and "reject_reason" not in ok.columns
