@@ -178,9 +178,10 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan(), text: str = "text", do
     sk = materialise(rows.mapInArrow(_sketch_batches(plan), "doc long, n long, k1 long, k2 long, bands array<long>, sig binary"), "sketches")
     full = sk.where("doc is not null and n > 0")
     reps = full.groupBy("k1", "k2", "n").agg(F.min("doc").alias("rep"), F.max("doc").alias("last"))
-    # members of equal sets point to the smallest id; only those sets need a join back
-    same = reps.where("rep < last").select("k1", "k2", "n", "rep")
-    equal = materialise(full.join(same, ["k1", "k2", "n"]).where("doc > rep").select("doc", "rep", "k1", "k2").distinct(), "equal")
+    # members of equal sets point to the smallest id; only those sets need a join back. They
+    # are stored first, so that AQE can split the join where one set is very frequent
+    same = materialise(reps.where("rep < last").select("k1", "k2", "n", "rep"), "same")
+    equal = materialise(full.join(same, ["k1", "k2", "n"]).where("doc > rep").select("doc", "rep", "k1", "k2"), "equal")
     lone = full.join(equal, ["doc", "k1", "k2"], "left_anti").dropDuplicates(["doc", "k1", "k2"])
     buckets = materialise(lone.select("doc", F.posexplode("bands").alias("band", "key")).distinct(), "buckets")
     sizes = materialise(buckets.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "sizes")

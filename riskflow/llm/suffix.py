@@ -7,7 +7,8 @@ smallest hash is its *anchor*. Equal windows choose equal anchors, so equal
 windows meet in the group of their anchor, and only there.
 
 1. ``anchors``: numpy passes over whole texts give (anchor hash, hash of the 80
-   bytes that hold every window of the anchor, document, position).
+   bytes that hold every window of the anchor, document, position), once for each
+   context of a text, so text that repeats itself fills no anchor's group.
 2. ``classify``: one shuffle by anchor, sorted. A row whose whole context already
    occurs in a smaller document is done at once. Of the rest only the first of each
    context needs its bytes, and only if another context of the group agrees with it on
@@ -41,9 +42,10 @@ CONTEXT = LEFT + WINDOW     # bytes that hold all windows of an anchor
 FULL = (1 << SLOTS) - 1
 SIDE = (WINDOW - GRAM) // 2 # bytes that two contexts share on one side of the anchor if they share a window
 WIDE = 4096                 # contexts of one anchor that one task sorts; more go by window
-SEGMENT = 1 << 19           # bytes hashed at once
+SEGMENT = 1 << 18           # bytes hashed at once
 PAD = 0xFF                  # occurs in no UTF-8 text
-POS_BITS = 40               # low bits of ``at``: position; high bits: tag of the text
+POS_BITS = 40               # low bits of ``at``: position and REPEATED; high bits: tag of the text
+REPEATED = 1 << 39          # the anchor's context occurs again in its text
 
 _TABLE = seeded(256, 1)
 _MUL = seeded(8, 2)
@@ -113,23 +115,34 @@ def _pieces(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np.
         yield build()
 
 
+def _anchors(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, position, anchor hash, context hash) of the anchors of texts, each once."""
+    for buf, rows, starts, base in _pieces(data, off):
+        pos, g, c = _anchors_of(buf)
+        part = np.searchsorted(starts, pos, "right") - 1
+        at = pos - starts[part] + base[part]
+        # an overlap is left to the part that owns the position
+        first = base[part] + 2 * CONTEXT * (base[part] > 0)
+        own = at // SEGMENT == first // SEGMENT
+        yield rows[part][own], at[own], g[own], c[own]
+
+
+def _key(g: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return mix(c.view(np.uint64)) ^ g.view(np.uint64)
+
+
 def _anchor_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Anchors of whole texts. A context that occurs many times in a text is sent once:
+    all its occurrences share their answer."""
     for b in batches:
-        data, off = utf8(b.column("text"))
         ids = b.column("doc").to_numpy(zero_copy_only=False)
         tags = b.column("tag").to_numpy(zero_copy_only=False)
         salt = mix(b.column("salt").to_numpy(zero_copy_only=False).view(np.uint64)).view(np.int64)
-        for buf, rows, starts, base in _pieces(data, off):
-            pos, g, c = _anchors_of(buf)
-            part = np.searchsorted(starts, pos, "right") - 1
-            at = pos - starts[part] + base[part]
-            row = rows[part]
-            # an overlap is left to the part that owns the position
-            first = base[part] + 2 * CONTEXT * (base[part] > 0)
-            own = at // SEGMENT == first // SEGMENT
-            at, g, c, row = at[own], g[own], c[own], row[own]
+        for row, at, g, c in _anchors(*utf8(b.column("text"))):
+            _, one, times = np.unique(_key(g, c) + mix(row.astype(np.uint64)), return_index=True, return_counts=True)
+            row, at, g, c = row[one], at[one], g[one], c[one]
             g, c = g ^ salt[row] & ~0xFFFF, c ^ salt[row]
-            yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(c), pa.array(ids[row]), pa.array(at | (tags[row] << POS_BITS))], ["g", "c", "doc", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(c), pa.array(ids[row]), pa.array(at | (times > 1) * np.int64(REPEATED) | (tags[row] << POS_BITS))], ["g", "c", "doc", "at"])
 
 
 def _classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,7 +312,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             v = needs.values
             text = np.concatenate([np.full(CONTEXT, PAD, np.uint8), data[off[i]:off[i + 1]], np.full(CONTEXT, PAD, np.uint8)])
             at = v.field("at").to_numpy()
-            p = (at & ((1 << POS_BITS) - 1)) + CONTEXT - LEFT
+            p = (at & (REPEATED - 1)) + CONTEXT - LEFT
             ctx = np.lib.stride_tricks.sliding_window_view(text, CONTEXT)[p]
             # beyond the nearest end of the text there are only PAD bytes
             yield pa.RecordBatch.from_arrays([v.field("g"), pa.array(np.full(len(at), doc)), pa.array(at),
@@ -307,20 +320,33 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                               v.field("wide")], ["g", "doc", "at", "ctx", "wide"])
 
 
-def covered(masks: pa.StructArray, n: int) -> np.ndarray:
-    """Which bytes of a text of n bytes the marked windows of its (at, mask) rows cover."""
-    p = masks.field("at").to_numpy() & ((1 << POS_BITS) - 1)
-    m = masks.field("mask").to_numpy()
+def covered(masks: pa.StructArray, text: np.ndarray) -> np.ndarray:
+    """Which bytes of a text the marked windows of its (at, mask) rows cover."""
+    n = len(text)
+    at = masks.field("at").to_numpy()
+    p, m = at & (REPEATED - 1), masks.field("mask").to_numpy()
+    again = at & REPEATED > 0
+    if again.any():                      # a context that occurs again marks all its places
+        found = [(x, _key(g, c)) for _, x, g, c in _anchors(text, np.array([0, n]))]
+        pos, key = (np.concatenate(x) for x in zip(*found))
+        order = np.argsort(pos)
+        pos, key = pos[order], key[order]
+        marked, inv = np.unique(key[np.searchsorted(pos, p[again])], return_inverse=True)
+        mask = np.zeros(len(marked), np.int64)
+        np.bitwise_or.at(mask, inv, m[again])
+        which = np.minimum(np.searchsorted(marked, key), len(marked) - 1)
+        hit = marked[which] == key
+        p, m = np.concatenate([p, pos[hit]]), np.concatenate([m, mask[which[hit]]])
     start = (p[:, None] - LEFT + np.arange(SLOTS))[(m[:, None] >> np.arange(SLOTS)) & 1 == 1]
     start = start[(start >= 0) & (start + WINDOW <= n)]
     step = np.bincount(start, minlength=n + 1) - np.bincount(start + WINDOW, minlength=n + 1)
     return np.cumsum(step[:n]) > 0
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key columns, text, masks) -> kept bytes and the removed spans of each row."""
+def _cut(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """(row, later, masks) -> kept bytes and the removed spans of each row's text."""
     for b in batches:
-        data, off = utf8(b.column("text"))
+        data, off = utf8(b.column("row").field(column))
         kept, spans = [], []
         for i, (later, masks) in enumerate(zip(b.column("later").to_pylist(), b.column("masks"))):
             text = data[off[i]:off[i + 1]]
@@ -329,7 +355,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if later:
                 out[:] = n >= WINDOW
             elif masks.is_valid and len(masks.values):
-                out = covered(masks.values, n)
+                out = covered(masks.values, text)
             edge = np.flatnonzero(np.diff(np.concatenate([[False], out, [False]]).astype(np.int8)))
             spans.append([{"start": int(s), "end": int(e)} for s, e in zip(edge[::2], edge[1::2])])
             kept.append(text[~out].tobytes())
@@ -389,7 +415,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     rows = _keyed(docs, text, doc_id)
     thin = rows.where("doc is not null").select("doc", "tag", "sha")
     first = thin.groupBy("sha").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high")
-    copies = materialise(thin.join(first, "sha").where("doc > low").select("doc", "tag", "sha").distinct(), "copies")
+    # stored first, so that AQE can split the join where one text is very frequent
+    copies = materialise(thin.join(materialise(first, "first"), "sha").where("doc > low").select("doc", "tag", "sha"), "copies")
     known = rows.where("doc is not null")
     # copies never enter the anchor shuffle: most rows pass by the bitmap, the rest by an exact anti join
     sift = maybe_in(known.select("doc", "text", "tag", "sha"), F.col("doc"), copies, "doc")
@@ -400,8 +427,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     found = (masks.unionByName(later).groupBy("doc", "tag")
              .agg(F.collect_list("m").alias("masks"), F.bool_or(F.col("m").isNull()).alias("later")))
     found = materialise(found, "masks")
-    sift = maybe_in(rows, F.col("doc"), found, "doc")
-    whole = sift.where("not __hit").select("row", F.col("text").cast("binary").alias("kept"), F.array().cast(SPANS).alias("spans"))
-    cut = sift.where("__hit").select("row", "doc", "text", "tag").join(found, ["doc", "tag"], "left").select("row", "text", "later", "masks")
+    sift = maybe_in(rows.select("row", "doc", "tag"), F.col("doc"), found, "doc")
+    own_text = F.coalesce(F.col("row").getField(text), F.lit(""))
+    whole = sift.where("not __hit").select("row", own_text.cast("binary").alias("kept"), F.array().cast(SPANS).alias("spans"))
+    cut = sift.where("__hit").drop("__hit").join(found, ["doc", "tag"], "left").select("row", "later", "masks")
     row_type = rows.schema["row"].dataType.simpleString()
-    return whole.unionByName(cut.mapInArrow(_cut, f"row {row_type}, kept binary, spans {SPANS}"))
+    return whole.unionByName(cut.mapInArrow(lambda batches: _cut(batches, text), f"row {row_type}, kept binary, spans {SPANS}"))

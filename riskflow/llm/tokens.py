@@ -15,7 +15,7 @@ from unicodedata import is_normalized
 import numpy as np
 
 #: Pieces a process keeps; beyond it the cache starts anew.
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 600_000
 #: Characters cut into pieces at once.
 SEGMENT = 1 << 20
 #: New pieces encoded in one call.

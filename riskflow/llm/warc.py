@@ -130,7 +130,7 @@ def revisits(said: DataFrame) -> DataFrame:
     smaller page, or to the same page in an earlier file and place."""
     big = said.where(f"size >= {LEAST}").withColumn("key", F.struct(F.coalesce("page", F.lit(2**63 - 1)).alias("p"), "file", "at", "page"))
     first = big.groupBy("digest").agg(F.min("key").alias("low"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return (materialise(big, "payloads").join(first, "digest").where("key != low")
+    return (big.join(materialise(first, "first"), "digest").where("key != low")          # stored, so that AQE can split the join
             .select("file", "at", F.coalesce(F.col("low.page").cast("string"), F.lit("")).alias("refers")))
 
 

@@ -43,6 +43,12 @@ def test_suffix_dedup(spark, docs, corpus, no_docs):
     assert suffix.remove_repeats(no_docs).count() == 0
 
 
+def test_suffix_dedup_of_texts_that_repeat_themselves(spark):
+    line = prose(3, 14) + "\n"
+    rows = [(1, "tick tock " * 60), (2, "x" + "tick tock " * 40 + "end"), (3, line * 8 + prose(4, 20)), (5, prose(6, 9) + line * 3 + prose(7, 30) + line), (6, "tick " * 50 + line)]
+    check_repeats(spark.createDataFrame(rows, "doc_id long, text string"), rows)
+
+
 def test_suffix_dedup_wide_anchor_and_long_texts(spark, monkeypatch):
     # in local mode the workers import the module anew, so the limits are tested in process
     r = np.random.default_rng(1)
@@ -64,7 +70,10 @@ def test_anchors_of_equal_windows_are_equal(texts, segment):
         kept, suffix.SEGMENT = suffix.SEGMENT, size
         try:
             batch = pa.RecordBatch.from_pydict({"doc": list(range(len(raw))), "text": pa.array(texts), "tag": [0] * len(raw), "salt": [0] * len(raw)})
-            return sorted(tuple(x.values()) for b in suffix._anchor_batches(iter([batch])) for x in b.to_pylist())
+            got = [(int(r), int(a), int(g), int(c)) for rows in suffix._anchors(data, off) for r, a, g, c in zip(*rows)]
+            sent = {(x["doc"], x["g"], x["c"]) for b in suffix._anchor_batches(iter([batch])) for x in b.to_pylist()}
+            assert len(sent) == len({(r, g, c) for r, _, g, c in got})
+            return sorted(got)
         finally:
             suffix.SEGMENT = kept
 
