@@ -30,12 +30,14 @@ from pyspark.sql import types as T
 from riskflow.functions import exprs as X
 from riskflow.operators import alerts, forest, ingest, lifecycle, rules, score
 from riskflow.schema import REQUEST, SCORED_COLUMNS, TRANSACTION_COLUMNS
+from riskflow.schema import SCORED as SCORED_SCHEMA
 
 STATE = "state"
 SCORED = "scored"
 REJECTS = "rejects"
 OUTBOX = "outbox"
 DEAD = "dead_letter"
+STATE_VERSIONS = 3
 ARRIVAL = ("broker_ts", "partition", "offset")
 
 
@@ -97,11 +99,13 @@ class Detector:
 
     def stored_ids(self, batch_id: int) -> DataFrame | None:
         """Ids stored by batches before ``batch_id`` (a replayed batch must
-        not see -- or read while overwriting -- its own earlier output)."""
-        vs = [v for v in _versions(self.spark, self.path(SCORED), "batch_id") if v < batch_id]
-        if not vs:
+        not see -- or read while overwriting -- its own earlier output). The table is
+        partitioned by batch, so the filter prunes folders and no list of them is kept."""
+        fs, path = _fs(self.spark, self.path(SCORED))
+        if batch_id == 0 or not fs.exists(path):
             return None
-        return self.spark.read.parquet(*[f"{self.path(SCORED)}/batch_id={v}" for v in vs]).select("transaction_id")
+        stored = self.spark.read.schema(T.StructType([*SCORED_SCHEMA.fields, T.StructField("batch_id", T.LongType())])).parquet(self.path(SCORED))
+        return stored.where(F.col("batch_id") < batch_id).select("transaction_id")
 
     # ---- one micro-batch --------------------------------------------------
 
@@ -150,6 +154,13 @@ class Detector:
                 .agg(F.sum("n").alias("n"), F.sum("sum_cents").alias("sum_cents")))
         state.write.mode("overwrite").parquet(f"{self.path(STATE)}/version={batch_id}")
         parsed.unpersist()
+        self._drop_old_state()
+
+    def _drop_old_state(self) -> None:
+        """Keep the last STATE_VERSIONS versions: a replay needs the one before its batch."""
+        for v in _versions(self.spark, self.path(STATE), "version")[:-STATE_VERSIONS]:
+            fs, path = _fs(self.spark, f"{self.path(STATE)}/version={v}")
+            fs.delete(path, True)
 
     # ---- tables ---------------------------------------------------------------
 
