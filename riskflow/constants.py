@@ -123,3 +123,8 @@ CACHE_TTL_SECONDS = 60
 
 # amounts beyond this add nothing to sums of money (exact in a double)
 MAX_MONEY = 1e13
+
+# drift alert rules: (alert, severity, service, ``for`` in seconds)
+DRIFT_ALERT = ("ModelDriftDetected", "warning", "ml-model", 300)
+F1_ALERT = ("ModelF1ScoreLow", "critical", "ml-model", 600)
+F1_FLOOR = 0.5

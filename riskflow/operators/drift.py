@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskflow import constants as C
@@ -59,13 +59,22 @@ def drift_daily(pred: DataFrame, **kw) -> DataFrame:
     return m.select("*", *drift_verdict_cols(**kw))
 
 
-def drift_alerts(daily: DataFrame, f1_floor: float = 0.5) -> DataFrame:
-    """D3: alert rows from the drift history: drift flag and F1 below floor."""
-    a = daily.where("drift_detected").select("day", F.lit("ModelDriftDetected").alias("alert"),
-                                             F.lit("warning").alias("severity"))
-    b = daily.where(F.col("f1_score") < f1_floor).select("day", F.lit("ModelF1Low").alias("alert"),
-                                                         F.lit("critical").alias("severity"))
-    return a.unionByName(b)
+def drift_alerts(daily: DataFrame, f1_floor: float = C.F1_FLOOR) -> DataFrame:
+    """D3: firing intervals of the drift rules over the daily history.
+
+    A day's value holds until the next day. Consecutive days that meet a rule's condition
+    are one active interval, which fires once it has lasted for the rule's ``for:``
+    (one row a day and rule, so the ranking is small).
+    """
+    held = None
+    for (alert, severity, service, for_s), cond in ((C.DRIFT_ALERT, F.col("drift_detected")), (C.F1_ALERT, F.col("f1_score") < f1_floor)):
+        rows = daily.where(cond).select("day", F.lit(alert).alias("alert"), F.lit(severity).alias("severity"), F.lit(service).alias("service"), F.lit(for_s).alias("for_s"))
+        held = rows if held is None else held.unionByName(rows)
+    run = F.datediff("day", F.lit("2000-01-01")) - F.row_number().over(Window.partitionBy("alert").orderBy("day"))
+    span = held.withColumn("run", run).groupBy("alert", "severity", "service", "for_s", "run").agg(
+        F.min("day").alias("active_start"), (F.max("day") + F.make_dt_interval(days=F.lit(1))).alias("firing_end"))
+    start = F.col("active_start") + F.make_dt_interval(secs=F.col("for_s"))
+    return span.where(start < F.col("firing_end")).select("alert", "severity", "service", "active_start", start.alias("firing_start"), "firing_end")
 
 
 def _long(df: DataFrame, features: list[str], side: Column) -> DataFrame:

@@ -192,10 +192,14 @@ def q_drift_daily(spark, d):
                               "prediction_rate", "drift_detected", "drift_reason"))
 
 
-@query("drift_alerts", DAILY_SQL + """
-SELECT day, 'ModelDriftDetected' AS alert, 'warning' AS severity FROM daily WHERE drift_detected
-UNION ALL
-SELECT day, 'ModelF1Low' AS alert, 'critical' AS severity FROM daily WHERE f1_score < 0.5""")
+@query("drift_alerts", DAILY_SQL + """,
+held AS (
+  SELECT day, 'ModelDriftDetected' AS alert, 'warning' AS severity, 5 AS mins FROM daily WHERE drift_detected
+  UNION ALL SELECT day, 'ModelF1ScoreLow', 'critical', 10 FROM daily WHERE f1_score < 0.5),
+runs AS (SELECT *, day - to_days(CAST(row_number() OVER (PARTITION BY alert ORDER BY day) AS INTEGER)) AS run FROM held)
+SELECT alert, severity, 'ml-model' AS service, min(day) AS active_start, min(day) + to_minutes(any_value(mins)) AS firing_start,
+       max(day) + INTERVAL 1 DAY AS firing_end
+FROM runs GROUP BY alert, severity, run""")
 def q_drift_alerts(spark, d):
     return drift.drift_alerts(drift.drift_daily(views.predictions(spark, d)))
 
