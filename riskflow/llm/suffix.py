@@ -396,7 +396,8 @@ def repeat_masks(rows: DataFrame) -> DataFrame:
     win = (contexts.where("wide").select("g", "doc", "at", "ctx", F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1))).alias("slot"))
            .select("g", "doc", "at", "slot", F.substring("ctx", F.col("slot") + 1, F.lit(WINDOW)).alias("w"))
            .where(F.instr(F.hex("w"), "FF") == 0))
-    low = win.groupBy("g", "w").agg(F.min("doc").alias("low"))
+    # stored first, so that AQE can split the join where very many contexts share a window
+    low = materialise(win.groupBy("g", "w").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").drop("high"), "windows")
     broad = (win.join(low, ["g", "w"]).where("doc > low")
              .groupBy("doc", "at").agg(F.expr("bit_or(shiftleft(1L, slot))").alias("mask")))
     full = found.where("g is null").select("doc", "at", F.lit(FULL).cast("long").alias("mask"))

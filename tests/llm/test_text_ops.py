@@ -7,8 +7,10 @@ import pyarrow as pa
 from conftest import DOCS, prose
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from riskflow.llm import decontam, minhash, shingles, spotsigs, suffix
+from riskflow.llm.common import maybe_in
 from riskflow.llm.graph import components
 from riskflow.llm.suffix import WINDOW
 
@@ -179,6 +181,15 @@ def test_long_text_in_segments(monkeypatch):
     assert len(want) == len(word_sets(t.decode(), 3))
 
 
+def test_prefilter_loses_no_row(spark):
+    keys = spark.range(0, 6000, 3).withColumnRenamed("id", "k")
+    rows = spark.range(6000).withColumnRenamed("id", "doc").unionByName(spark.createDataFrame([(None,)], "doc long"))
+    got = {r.doc: r["__hit"] for r in maybe_in(rows, F.col("doc"), keys, "k").collect()}
+    assert len(got) == 6001 and got[None] is False
+    assert all(got[k] for k in range(0, 6000, 3)) and sum(got[k] for k in range(6000)) < 2010
+    assert not any(r["__hit"] for r in maybe_in(rows, F.col("doc"), keys.limit(0), "k").collect())
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(0, 40)] + [(100, 99), (99, 105), (7, 7), (3, 1)]
     got = dict(map(tuple, components(spark.createDataFrame(chain, "a long, b long")).collect()))
