@@ -13,8 +13,8 @@ from riskflow.session import scratch_path
 
 #: Rows and bytes of one Arrow batch; they bound what a Python task holds at once.
 BATCH_ROWS, BATCH_BYTES = 20_000, 2 << 20
-#: Bits of the row prefilter (8 MB however large the data is) and of one of its rows.
-FILTER_BITS, FILTER_ROW = 1 << 26, 1 << 15
+#: Bits of the row prefilter (2 MB however large the data is) and of one of its rows.
+FILTER_BITS, FILTER_ROW = 1 << 24, 1 << 15
 
 _M = (1 << 64) - 1
 
@@ -55,7 +55,7 @@ def _bit(key: Column) -> Column:
 def maybe_in(rows: DataFrame, key: Column, keys: DataFrame, key_col: str) -> DataFrame:
     """``rows`` plus a boolean ``__hit``: false only where ``key`` is surely not in ``keys``.
 
-    The filter is a bitmap of fixed size (2048 rows of 4 KB), so it may be
+    The filter is a bitmap of fixed size (512 rows of 4 KB), so it may be
     broadcast at any scale; where it is too full to help, more rows say true and
     the exact join behind it drops them. Null keys say false.
     """
