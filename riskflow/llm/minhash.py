@@ -6,7 +6,7 @@
    bucket is compared with one hub, the member with most bucket mates; a group of
    copies so costs one comparison a text.
 3. Members of a bucket that still lie in different components meet in blocks of
-   BLOCK x BLOCK rows. A pair is looked at in the first band it shares; below ``floor``
+   BLOCK x BLOCK rows. A pair is looked at in the first band whose exact key it shares; below ``floor``
    agreements (6.5 standard deviations under the threshold) it is left out, else its
    whole sets decide, unless a link of the block has joined its components already.
    Only links leave the block.
@@ -82,8 +82,10 @@ def _sketch_batches(plan: Plan):
 
 
 def _block(plan: Plan):
-    """The rows (side, band, doc, n, label, sig, text) of one block -> links between
-    different components, enough of them to join what belongs together."""
+    """The rows (side, band, doc, n, label, sig, before, text) of one block -> links between
+    different components, enough of them to join what belongs together. ``before`` has the
+    exact keys of the bands before the block's own; the bytes of ``sig`` agree by chance too
+    often to tell where a pair met before."""
     def run(table: pa.Table) -> pa.Table:
         doc, n, label, side = (table.column(c).to_numpy() for c in ("doc", "n", "label", "side"))
         buf, off = utf8(table.column("sig"))
@@ -92,15 +94,14 @@ def _block(plan: Plan):
         if not len(right) and table.column("i")[0] == table.column("j")[0]:
             right = left
         own = table.column("band")[0].as_py()
+        before = table.column("before").combine_chunks().flatten().to_numpy().reshape(len(doc), own)
         agree = np.zeros((len(left), len(right)), np.int32)
         first = np.ones(agree.shape, bool)
         for band in range(plan.bands):
-            same = np.zeros(agree.shape, np.int32)
             for k in range(plan.rows):
-                same += sig[left, band, k][:, None] == sig[right, band, k][None, :]
-            agree += same
+                agree += sig[left, band, k][:, None] == sig[right, band, k][None, :]
             if band < own:
-                first &= same < plan.rows
+                first &= before[left, band][:, None] != before[right, band][None, :]
         ok = first & (agree >= plan.floor) & (label[left][:, None] != label[right][None, :])
         ok &= 100 * np.minimum(n[left][:, None], n[right][None, :]) >= plan.percent * np.maximum(n[left][:, None], n[right][None, :])
         if right is left:
@@ -204,11 +205,12 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan(), text: str = "text", do
     dealt = materialise(tagged.join(open_, "key"), "open")
     near = maybe_in(texts, F.col("doc"), dealt, "doc").where("__hit").drop("__hit")
     near = near.withColumn("t", F.xxhash64("text")).dropDuplicates(["doc", "t"]).drop("t")
-    blocks = (dealt.join(sig, "doc").join(near, "doc")
+    blocks = (dealt.join(lone.select("doc", "n", "sig", "bands"), "doc").join(near, "doc")
               .withColumn("block", F.pmod(F.xxhash64("doc"), "blocks").cast("int"))
               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
               .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-                      F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"), "band", "doc", "n", "label", "sig", "text"))
+                      F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"), "band", "doc", "n", "label", "sig",
+                      F.slice("bands", F.lit(1), F.col("band")).alias("before"), "text"))
     links = first.unionByName(blocks.groupBy("key", "i", "j").applyInArrow(_block(plan), "a long, b long"))
     labels = components(links.unionByName(equal.select(F.col("doc").alias("a"), F.col("rep").alias("b"))))
     return (sk.select("doc", F.col("n").alias("n_shingles")).join(labels, sk.doc == labels.id, "left")

@@ -162,6 +162,32 @@ def test_minhash_chains_of_near_copies(spark):
     assert sorted(map(tuple, got)) == brute_groups(rows, 3, 85)
 
 
+def test_block_looks_at_every_pair_in_its_first_shared_band():
+    """Pairs that only a block can link: an earlier band that agrees on the bytes of ``sig`` by chance is no band they share."""
+    plan, r = minhash.Plan(3, 85), np.random.default_rng(5)
+    texts = []
+    for k in range(4000):
+        words = [f"w{k}x{i}" for i in range(80)]
+        other = list(words)
+        other[int(r.integers(10, 40))] = "new"
+        other[int(r.integers(40, 70))] = "more"
+        texts += [" ".join(words), " ".join(other)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["doc", "text"])
+    sk = pa.Table.from_batches(minhash._sketch_batches(plan)(iter([batch])))
+    bands = np.array(sk.column("bands").to_pylist())
+    run, n, found = minhash._block(plan), 0, 0
+    for x in range(0, len(texts), 2):
+        shared = np.flatnonzero(bands[x] == bands[x + 1])
+        if not len(shared):
+            continue
+        own, rows = int(shared[0]), sk.slice(x, 2)
+        block = pa.table({"i": [0, 0], "j": [0, 0], "side": [0, 0], "band": [own, own], "doc": rows.column("doc"), "n": rows.column("n"), "label": rows.column("doc"),
+                          "sig": rows.column("sig"), "before": pa.array([b[:own].tolist() for b in bands[x:x + 2]], pa.list_(pa.int64())), "text": texts[x:x + 2]})
+        n += 1
+        found += run(block).num_rows
+    assert n > 3900 and found == n
+
+
 def test_sketch_fills_and_estimates():
     sk = shingles.Sketcher(256)
     r = np.random.default_rng(3)
