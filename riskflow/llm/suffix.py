@@ -393,9 +393,11 @@ def repeat_masks(rows: DataFrame) -> DataFrame:
     contexts = materialise(contexts, "contexts")
     narrow = (contexts.where("not wide").drop("wide").repartition(n, "g").sortWithinPartitions("g")
               .mapInArrow(_lpf_batches, "doc long, at long, mask long"))
+    # PAD bytes only lead or follow a text, and the anchor holds none, so a window with one begins or ends with one
+    pad = F.lit(bytes([PAD]))
     win = (contexts.where("wide").select("g", "doc", "at", "ctx", F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1))).alias("slot"))
            .select("g", "doc", "at", "slot", F.substring("ctx", F.col("slot") + 1, F.lit(WINDOW)).alias("w"))
-           .where(F.instr(F.hex("w"), "FF") == 0))
+           .where((F.substring("w", F.lit(1), F.lit(1)) != pad) & (F.substring("w", F.lit(WINDOW), F.lit(1)) != pad)))
     # stored first, so that AQE can split the join where very many contexts share a window
     low = materialise(win.groupBy("g", "w").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").drop("high"), "windows")
     broad = (win.join(low, ["g", "w"]).where("doc > low")

@@ -61,6 +61,17 @@ def test_suffix_dedup_wide_anchor_and_long_texts(spark, monkeypatch):
     check_repeats(df, rows)
 
 
+def test_suffix_dedup_wide_anchor_before_four_byte_characters(spark, monkeypatch):
+    """Bytes that end in F before a lead byte F0 are no PAD byte."""
+    r = np.random.default_rng(2)
+    line = "o\U0001f600 go\ufe0f\U0001f680 to?\U0001f600 /\U00020000 "
+    line = line + line[::-1]
+    rows = [(int(i), "".join(r.choice(list("abcdefgh "), 40)) + line + "".join(r.choice(list("abcdefgh "), 40))) for i in r.permutation(60)]
+    rows.append((60, line))
+    monkeypatch.setattr(suffix, "WIDE", 20)
+    check_repeats(spark.createDataFrame(rows, "doc_id long, text string"), rows)
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.text(alphabet="ab", min_size=0, max_size=160), min_size=1, max_size=6), st.integers(60, 400))
 def test_anchors_of_equal_windows_are_equal(texts, segment):
