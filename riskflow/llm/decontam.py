@@ -1,8 +1,12 @@
 """Benchmark decontamination by template windows (DataFrame functions only).
 
-Texts become templates: numbers, names (title-case words inside a sentence) and units
-behind numbers turn into typed placeholders, the rest into lower-case words. Windows of
-WIDTH template words are hashed and joined with those of the benchmark. A document
+Texts become templates: numbers, names and units behind numbers turn into typed
+placeholders, the rest into lower-case words. A title-case word inside a sentence is a
+name; any other word that begins with a capital may be one. Windows of WIDTH template
+words are hashed in all forms, each capitalised word as a name and as a plain word, and
+joined with those of the benchmark: two windows agree if any of their forms do, so copies
+in another case agree by their plain forms. A window counts once, as the form with names
+where they are certain. A document
 leaks an item if it holds at least PERCENT of the item's distinct windows. Where the
 item has placeholders, the windows must also agree on how the item's values map to the
 document's: an item value that maps to several document values, or the other way round,
@@ -29,32 +33,67 @@ UNITS = ("mm cm m km in ft yd mi mg g kg t lb oz ml l ms s sec min h hr d wk yr
          "dollar dollars euro euros cent cents percent degree degrees").split()
 
 
+SUBSETS = [[m for m in range(1 << WIDTH) if m & ~caps == 0] for caps in range(1 << WIDTH)]
+
+
 def words(text: Column) -> Column:
-    """Template words with their values: MARK, a type letter and the value, or a plain word."""
+    """Template words with their values: MARK, a type letter (n a name, c a word that may be
+    one, d, u) and the value, or a plain word. A letter and an apostrophe before a word
+    (O'Brien) belong to it."""
     t = F.coalesce(text, F.lit(""))
+    t = F.regexp_replace(t, r"(?<![\p{L}\p{N}])(\p{L})['\u2019](?=\p{L})", "$1")
     t = F.regexp_replace(t, r"\p{Lu}(?<=[\p{L}\p{N},;][ \t].)\p{Ll}+", MARK + "n$0")
+    t = F.regexp_replace(t, rf"(?<![\p{{L}}\p{{N}}{MARK}])[\p{{Lu}}\p{{Lt}}]", MARK + "c$0")
     t = F.regexp_replace(t, r"([0-9]+)(?:[.,:]([0-9]+))?(?:[.,:]([0-9]+))?", f" {MARK}d$1x$2x$3 ")
-    t = F.regexp_replace(t, f"({MARK}d[^ ]* )[ \\t]*({'|'.join(sorted(UNITS, key=len, reverse=True))})(?![\\p{{L}}\\p{{N}}])", f"$1{MARK}u$2 ")
+    t = F.regexp_replace(t, f"({MARK}d[^ ]* )[ \\t]*(?:{MARK}[nc])?((?i:{'|'.join(sorted(UNITS, key=len, reverse=True))}))(?![\\p{{L}}\\p{{N}}])", f"$1{MARK}u$2 ")
     return F.filter(F.split(F.lower(t), rf"[^\p{{L}}\p{{N}}{MARK}]+"), lambda w: w != "")
 
 
-def _template(ws: Column) -> Column:
-    return F.transform(ws, lambda w: F.when(w.startswith(MARK), F.substring(w, 1, 2)).otherwise(w))
+def _kind(w: Column) -> Column:
+    """2 for a certain name, 1 for a word that may be one, else 0."""
+    return F.when(w.startswith(MARK + "n"), 2).when(w.startswith(MARK + "c"), 1).otherwise(0)
+
+
+def _plain(ws: Column) -> Column:
+    """The template without names."""
+    return F.transform(ws, lambda w: F.when(_kind(w) > 0, F.substring(w, F.lit(3), F.length(w)))
+                       .when(w.startswith(MARK), F.substring(w, 1, 2)).otherwise(w))
+
+
+def _bits(i: Column, least: int) -> Column:
+    """Which words of the window at ``i`` are names by kind ``least``; words beyond the end are none."""
+    bit = [F.when(F.get("c", i + (k - 1)) >= least, 1 << k).otherwise(0) for k in range(WIDTH)]
+    return sum(bit[1:], bit[0])
+
 
+def _form(i: Column, m: Column) -> Column:
+    """Hash of the window at ``i`` with the words of the bit mask ``m`` as names; of the whole
+    template where it is shorter than WIDTH."""
+    word = [F.when(m.bitwiseAND(1 << k) != 0, MARK + "n").otherwise(F.get("p", i + (k - 1))) for k in range(WIDTH)]
+    return F.when(F.size("p") >= WIDTH, F.xxhash64(*word)).otherwise(F.xxhash64(F.concat(F.lit(MARK), F.concat_ws(" ", *[
+        F.when(F.size("p") > k, word[k]) for k in range(WIDTH)]))))
 
-def _windows(ws: Column) -> Column:
-    """Hashes of the windows of a template; one hash of the whole where it is shorter than WIDTH."""
-    at = F.sequence(F.lit(1), F.greatest(F.size(ws) - (WIDTH - 1), F.lit(1)))
-    return (F.when(F.size(ws) >= WIDTH, F.transform(at, lambda i: F.xxhash64(*[F.get(ws, i + (k - 1)) for k in range(WIDTH)])))
-            .when(F.size(ws) > 0, F.array(F.xxhash64(F.concat(F.lit(MARK), F.array_join(ws, " ")))))
-            .otherwise(F.array().cast("array<bigint>")))
 
+def _at() -> Column:
+    return F.when(F.size("p") > 0, F.sequence(F.lit(1), F.greatest(F.size("p") - (WIDTH - 1), F.lit(1)))).otherwise(F.array().cast("array<int>"))
 
-def _hashed(rows: DataFrame) -> DataFrame:
-    """``rows`` with a template ``t`` -> with ``h``, its window hashes. ``t`` is a column of
-    its own beneath, so that the lambdas do not make the words anew for every window; callers
-    explode it with explode_outer, as explode would infer a filter that is pushed below ``t``."""
-    return rows.withColumn("h", _windows(F.col("t")))
+
+def _masks(i: Column) -> Column:
+    """The name masks of all forms of the window at ``i``."""
+    return F.get(F.lit(SUBSETS), _bits(i, 1))
+
+
+def _parsed(rows: DataFrame, ws: str) -> DataFrame:
+    """``rows`` with words ``ws`` -> with ``p``, the plain template, and ``c``, the kinds of its
+    words. They are columns of their own beneath, so that the lambdas do not make the words
+    anew for every window; callers explode with explode_outer, as explode would infer a filter
+    that is pushed below them."""
+    return rows.withColumn("p", _plain(F.col(ws))).withColumn("c", F.transform(ws, _kind))
+
+
+def _hashed(rows: DataFrame, ws: str) -> DataFrame:
+    """``rows`` with ``h``, the hashes of all forms of all windows."""
+    return _parsed(rows, ws).withColumn("h", F.flatten(F.transform(_at(), lambda i: F.transform(_masks(i), lambda m: _form(i, m)))))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id",
@@ -68,32 +107,42 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str
     """
     items = materialise(benchmark.select(F.col(item_id).alias("item"), words(F.col(item_text)).alias("iw"))
                         .where("item is not null and size(iw) > 0"), "items")
-    items = _hashed(items.withColumn("t", _template(F.col("iw")))).withColumn("h", F.array_distinct("h"))
-    sizes = items.groupBy("item").agg(F.count_distinct("h").alias("texts"), F.max(F.size("h")).cast("long").alias("n_windows"))
-    keys = items.select("item", F.explode_outer("h").alias("h")).distinct()
+    keyed = _parsed(items, "iw").withColumn("x", F.transform(_at(), lambda i: F.struct(
+        _form(i, _bits(i, 2)).alias("w"), F.transform(_masks(i), lambda m: _form(i, m)).alias("h"))))
+    sizes = keyed.groupBy("item").agg(F.max(F.size(F.array_distinct("x.w"))).cast("long").alias("n_windows"))
+    keys = keyed.select("item", F.explode_outer("x").alias("x")).select("item", "x.w", F.explode_outer("x.h").alias("h")).distinct()
     only = keys.select("h").distinct()
     some = F.broadcast if only.count() <= BROADCAST_WINDOWS else (lambda df: df)
     rows = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).where("doc is not null and text is not null")
-    forms = rows.select("doc", _template(words(F.col("text"))).alias("t"))
-    seen = materialise(_hashed(forms).select("doc", F.explode_outer("h").alias("h")).join(some(only), "h", "left_semi").distinct(), "windows")
-    hits = (seen.join(some(keys), "h").groupBy("doc", "item").agg(F.count("*").alias("n_matched"))
+    forms = rows.select("doc", words(F.col("text")).alias("ws"))
+    seen = materialise(_hashed(forms, "ws").select("doc", F.explode_outer("h").alias("h")).join(some(only), "h", "left_semi").distinct(), "windows")
+    hits = (seen.join(some(keys), "h").groupBy("doc", "item").agg(F.count_distinct("w").alias("n_matched"))
             .join(F.broadcast(sizes) if some is F.broadcast else sizes, "item")
-            .where(F.col("n_matched") * 100 >= F.col("n_windows") * PERCENT).drop("texts"))
+            .where(F.col("n_matched") * 100 >= F.col("n_windows") * PERCENT))
     hits = materialise(hits, "hits")
+    # words that may be names make slots too, as forms with them count
     slotted = items.where(F.exists("iw", lambda w: w.startswith(MARK))).select("item", "iw")
     checked = _consistent(hits.join(slotted.select("item").distinct(), "item", "left_semi"), rows, slotted)
     plain = hits.join(slotted.select("item").distinct(), "item", "left_anti").withColumn("n_slots", F.lit(0).cast("long"))
     return plain.unionByName(checked).select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "n_matched", "n_windows", "n_slots")
 
 
+def _value(w: Column) -> Column:
+    """The value of a marked word behind its type letter; words that may be names are names here."""
+    return F.when(w.startswith(MARK + "c"), F.concat(F.lit("n"), F.substring(w, F.lit(3), F.length(w)))).otherwise(F.substring(w, F.lit(2), F.length(w)))
+
+
 def _slots(rows: DataFrame, key: str, ws: str) -> DataFrame:
-    """(key, h, values): the windows of word arrays with the values of their placeholders in order."""
-    at = F.sequence(F.lit(1), F.greatest(F.size(ws) - (WIDTH - 1), F.lit(1)))
-    part = lambda i: F.slice(ws, i, F.least(F.lit(WIDTH), F.size(ws)))
-    values = F.transform(at, lambda i: F.transform(F.filter(part(i), lambda w: w.startswith(MARK)), lambda w: F.substring(w, F.lit(2), F.length(w))))
-    rows = _hashed(materialise(rows.withColumn("t", _template(F.col(ws))), "words"))
-    return (rows.select(key, F.explode_outer(F.arrays_zip("h", values.alias("values"))).alias("x"))
-            .select(key, "x.h", "x.values"))
+    """(key, w, h, values): the forms of the windows of word arrays with the values of their
+    placeholders in order; ``w`` names the window."""
+    def values(i, m):
+        slot = [F.when((m.bitwiseAND(1 << k) != 0) | F.get("p", i + (k - 1)).startswith(MARK), _value(F.get(ws, i + (k - 1))))
+                for k in range(WIDTH)]
+        return F.array_compact(F.array(*slot))
+    rows = _parsed(materialise(rows, "words"), ws)
+    at = F.transform(_at(), lambda i: F.struct(_form(i, _bits(i, 2)).alias("w"), F.transform(_masks(i), lambda m: F.struct(_form(i, m).alias("h"), values(i, m).alias("values"))).alias("f")))
+    return (rows.select(key, F.explode_outer(at).alias("x")).select(key, "x.w", F.explode_outer("x.f").alias("f"))
+            .select(key, "w", "f.h", "f.values"))
 
 
 def _consistent(pairs: DataFrame, rows: DataFrame, slotted: DataFrame) -> DataFrame:
@@ -102,20 +151,22 @@ def _consistent(pairs: DataFrame, rows: DataFrame, slotted: DataFrame) -> DataFr
     (ties: the smaller text)."""
     ends = pairs.select("doc").distinct()
     near = maybe_in(rows, F.col("doc"), ends, "doc").where("__hit").drop("__hit").join(ends, "doc", "left_semi")
-    left = _slots(near.select("doc", words(F.col("text")).alias("ws")), "doc", "ws").withColumnRenamed("values", "dv")
+    left = _slots(near.select("doc", words(F.col("text")).alias("ws")), "doc", "ws").drop("w").distinct().withColumnRenamed("values", "dv")
     right = _slots(slotted, "item", "iw").withColumnRenamed("values", "iv")
     both = (pairs.select("doc", "item", "n_windows").join(right, "item").join(left, ["doc", "h"])
-            .groupBy("doc", "item", "n_windows", "h", "iv").agg(F.collect_set("dv").alias("dvs")))
+            .groupBy("doc", "item", "n_windows", "w", "h", "iv").agg(F.collect_set("dv").alias("dvs")))
     both = both.withColumn("dv", F.explode("dvs")).drop("dvs")
     both = materialise(both.withColumn("zip", F.arrays_zip(F.col("iv").alias("a"), F.col("dv").alias("b"))), "slots")
-    votes = (both.select("doc", "item", F.explode("zip").alias("z")).groupBy("doc", "item", F.col("z.a").alias("a"), F.col("z.b").alias("b"))
-             .agg(F.count("*").alias("n")))
+    votes = (both.select("doc", "item", "w", F.explode("zip").alias("z")).groupBy("doc", "item", F.col("z.a").alias("a"), F.col("z.b").alias("b"))
+             .agg(F.count_distinct("w").alias("n")))
     there = votes.groupBy("doc", "item", "a").agg(F.max_by("b", F.struct("n", F.hex("b"))).alias("b"))
     back = votes.groupBy("doc", "item", "b").agg(F.max_by("a", F.struct("n", F.hex("a"))).alias("a"))
     agreed = there.join(back, ["doc", "item", "a", "b"]).groupBy("doc", "item").agg(F.collect_set(F.struct("a", "b")).alias("agreed"))
     ok = (both.join(agreed, ["doc", "item"], "left")
           .where((F.size("zip") == 0) | F.forall("zip", lambda z: F.coalesce(F.array_contains("agreed", F.struct(z["a"].alias("a"), z["b"].alias("b"))), F.lit(False)))))
-    out = ok.groupBy("doc", "item", "n_windows").agg(F.count_distinct("h").alias("n_matched"))
-    slots = agreed.select("doc", "item", F.size("agreed").cast("long").alias("n_slots"))
+    out = ok.groupBy("doc", "item", "n_windows").agg(F.count_distinct("w").alias("n_matched"))
+    # a word that may be a name and stays the same is no slot
+    sure = slotted.groupBy("item").agg(F.flatten(F.collect_list(F.transform(F.filter("iw", lambda w: w.startswith(MARK) & ~w.startswith(MARK + "c")), _value))).alias("sure"))
+    slots = agreed.join(sure, "item").select("doc", "item", F.size(F.filter("agreed", lambda x: (x["a"] != x["b"]) | F.array_contains("sure", x["a"]))).cast("long").alias("n_slots"))
     return (out.where(F.col("n_matched") * 100 >= F.col("n_windows") * PERCENT).join(slots, ["doc", "item"], "left")
             .select("item", "doc", "n_matched", "n_windows", F.coalesce("n_slots", F.lit(0).cast("long")).alias("n_slots")))

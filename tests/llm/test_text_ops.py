@@ -249,6 +249,18 @@ def test_decontamination(spark, docs, no_docs):
     assert decontam.leaks(no_docs, b).count() == 0 and decontam.leaks(d, b.limit(0)).count() == 0
 
 
+def test_decontamination_of_names_anywhere_and_in_any_case(spark):
+    items = ["Alice has 12 apples. Alice gives 5 of them to Bob. How many apples does Alice have left?",
+             "The guard asked: \"Alice, who let you in?\"\nBob (the cook) answered  O'Brien did, and ALICE thanked McDonald for 3 keys.",
+             "One day a tall man called Peter met Susan near the old bridge and Peter gave Susan 4 letters for Martin."]
+    swap = {"Alice": "Carol", "ALICE": "CAROL", "12": "31", "5": "7", "Bob": "Dan", "O'Brien": "O'Neill", "McDonald": "MacLeod", "3": "8", "Peter": "Frank", "Susan": "Julia", "4": "6", "Martin": "Oscar"}
+    other = [re.sub("|".join(sorted(swap, key=len, reverse=True)), lambda m: swap[m[0]], t) for t in items]
+    clash = other[0].replace("Carol gives", "Zed gives").replace("does Carol", "does Eve")
+    rows = [(j * 10 + k, t) for j, item in enumerate(items) for k, t in enumerate((item, other[j], "Listen: " + other[j] + " Done.", item.lower(), item.upper()))] + [(90, clash), (91, prose(6, 60))]
+    got = decontam.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(j * 10 + k, j) for j in range(3) for k in range(5)]
+
+
 def brute_leaks(rows, bench):
     """Without numbers or names: at least 80 % of an item's windows of 5 words."""
     def windows(t):
