@@ -229,6 +229,16 @@ def test_main_text(spark):
     assert boilerplate.extract(pages.limit(0)).count() == 0
 
 
+def test_main_text_of_copied_and_quoting_pages(spark):
+    note = "Our cookie note repeats on every single page of this host, please do accept it now."
+    story, long = prose(70, 40), prose(71, 60)
+    rows = [(1, "http://h.com/a", f"<div><p>{story}</p></div>"), (2, "http://h.com/b", f"<div><p>{story}</p></div>"), (3, "http://h.com/c", f"<div><p>{note}</p><p>{prose(72, 20)}</p></div>"),
+            (4, "http://h.com/d", f"<div><p>{note} Über eleven.</p><p>{prose(73, 20)}</p></div>"), (5, "http://h.com/e", f"<p>{long}</p>"), (6, "http://h.com/f", f"<p>Seldom {long} said"),
+            (7, "http://g.com/a", f"<p>{note}</p><p>{story}</p>"), (8, "http://g.com/b", f"<p>{note}</p><p>{story}</p>"), (9, "http://g.com/c", f"<p>{note}</p><p>z</p>")]
+    got = {r.row.page_id: r.text for r in boilerplate.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert got == {1: story, 2: story, 3: prose(72, 20), 4: "Über eleven.\n" + prose(73, 20), 5: "", 6: "Seldom said", 7: story, 8: story, 9: "z"}
+
+
 def test_language_id(spark, docs, no_docs):
     rows = [(k, prose(k, 8 + k % 30, lang), lang) for k in range(400) for lang in [list(WORDS)[k % 4]]]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
