@@ -23,9 +23,12 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts in no language (null, empty, no letter) go; so does everything where no label
-    was there to learn from. Nothing else is judged here."""
-    out = langid.predict(docs, langid.train(docs))
+    """Texts in no language (null, empty, no letter) go, also where no label was there to
+    learn from. Nothing else is judged here."""
+    model = langid.train(docs)
+    if model is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    out = langid.predict(docs, model)
     return out.where(F.col("lang_pred") != langid.UNKNOWN).select("row.*")
 
 

@@ -255,6 +255,13 @@ def test_language_id(spark, docs, no_docs):
     assert model.families == ["germanic", "romance"] and set(model.pairs) == {("de", "en"), ("es", "fr")}
 
 
+def test_pipeline_without_labels_drops_only_texts_without_letters(spark, docs):
+    import corpus_pipeline as cp
+    bare = docs.withColumn("lang", F.lit(None).cast("string"))
+    got = [r.text for r in cp.language_id(spark, bare, "").collect()]
+    assert sorted(got) == sorted(r.text for r in docs.collect() if any(map(str.isalpha, r.text or ""))) and len(got) > 40
+
+
 def test_pipeline(spark, docs, corpus, tmp_path):
     import corpus_pipeline as cp
     from test_text_ops import brute_groups, brute_repeats
