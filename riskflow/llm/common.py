@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -80,6 +82,18 @@ def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf, off
 
 
+def segments(raw: bytes, cut: re.Pattern, size: int = 1 << 20) -> Iterator[bytes]:
+    """``raw`` in pieces of about ``size`` bytes that end where ``cut`` matches."""
+    a = 0
+    while len(raw) - a > size:
+        at = cut.search(raw, a + size)
+        if at is None:
+            break
+        yield raw[a:at.start()]
+        a = at.start()
+    yield raw[a:] if a else raw
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A finaliser for uint64 arrays (xor-shift and multiply)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

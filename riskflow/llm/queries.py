@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from riskflow.llm import boilerplate, decontam, hilbert, langid, minhash, packing, spotsigs, suffix, tokenfile, tokens, warc
+from riskflow.llm import boilerplate, decontam, hilbert, langid, minhash, packing, phrases, retrieval, spotsigs, suffix, tokenfile, tokens, warc
 from riskflow.llm.common import scratch, table
 from riskflow.llm.registry import ORACLE, QUERIES, query
 
@@ -95,3 +95,53 @@ def op7(spark, sf_dir):
 def op10(spark, sf_dir):
     out = boilerplate.extract(table(spark, sf_dir, "pages"))
     return out.select("row.page_id", "row.url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+TERMS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+
+@query("op13_ranked_search", f"""
+    WITH d AS (SELECT doc_id, {TERMS_SQL} AS ws FROM documents),
+    seen AS (SELECT doc_id, len(ws) AS n, ws FROM d WHERE len(ws) > 0),
+    total AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS l FROM seen),
+    asked AS (SELECT DISTINCT item_id, unnest({TERMS_SQL}) AS term FROM benchmark),
+    post AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, n, unnest(ws) AS term FROM seen) GROUP BY ALL),
+    terms AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+              FROM post, total WHERE term IN (SELECT term FROM asked) GROUP BY term),
+    scored AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // l)))) AS BIGINT) AS score
+               FROM asked JOIN terms USING (term) JOIN post USING (term), total GROUP BY item_id, doc_id),
+    ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS "rank", doc_id, score
+               FROM scored WHERE score > 0)
+    SELECT * FROM ranked WHERE "rank" <= 10""")
+def op13(spark, sf_dir):
+    out = retrieval.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select(F.col("item").alias("item_id"), "rank", F.col("doc").alias("doc_id"), "score")
+
+
+@query("op12_collocations", r"""
+    WITH t AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+    pieces AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws
+               FROM (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM t)),
+    sized AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM pieces GROUP BY lang),
+    grams AS (SELECT lang, unnest(list_transform(range(1, len(ws) + 1), lambda i: ws[i:i])) AS ws FROM pieces
+              UNION ALL SELECT lang, unnest(list_transform(range(1, len(ws)), lambda i: ws[i:i + 1])) FROM pieces
+              UNION ALL SELECT lang, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i:i + 2])) FROM pieces
+              UNION ALL SELECT lang, unnest(list_transform(range(1, len(ws) - 2), lambda i: ws[i:i + 3])) FROM pieces),
+    f AS (SELECT lang, ws, array_to_string(ws, ' ') AS phrase, count(*) AS a FROM grams GROUP BY lang, ws HAVING count(*) >= 30),
+    sides AS (SELECT lang, phrase, a, k, array_to_string(ws[1:k], ' ') AS head, array_to_string(ws[k + 1:], ' ') AS tail
+              FROM (SELECT lang, phrase, a, ws, unnest(range(1, len(ws))) AS k FROM f)),
+    cuts AS (SELECT s.lang, s.phrase, s.a, s.k, x.a AS l, y.a AS r, CAST((CAST(2000000 AS HUGEINT) * s.a) // (x.a + y.a) AS BIGINT) AS score
+             FROM sides s JOIN f x ON x.lang = s.lang AND x.phrase = s.head JOIN f y ON y.lang = s.lang AND y.phrase = s.tail),
+    best AS (SELECT lang, phrase, a, l, r, score FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+    around AS (SELECT lang, phrase, max(a) AS longer FROM (
+                 SELECT lang, a, array_to_string(ws[1:2], ' ') AS phrase FROM f WHERE len(ws) >= 3
+                 UNION ALL SELECT lang, a, array_to_string(ws[2:3], ' ') FROM f WHERE len(ws) >= 3
+                 UNION ALL SELECT lang, a, array_to_string(ws[3:4], ' ') FROM f WHERE len(ws) = 4
+                 UNION ALL SELECT lang, a, array_to_string(ws[1:3], ' ') FROM f WHERE len(ws) = 4
+                 UNION ALL SELECT lang, a, array_to_string(ws[2:4], ' ') FROM f WHERE len(ws) = 4) GROUP BY lang, phrase),
+    kept AS (SELECT b.* FROM best b LEFT JOIN around o ON o.lang = b.lang AND o.phrase = b.phrase
+             WHERE o.longer IS NULL OR CAST(100 AS HUGEINT) * o.longer < CAST(80 AS HUGEINT) * b.a)
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS "rank", phrase, a, l, r, n, score
+    FROM kept JOIN sized USING (lang) QUALIFY "rank" <= 2000""")
+def op12(spark, sf_dir):
+    return phrases.collocations(table(spark, sf_dir, "documents"))
