@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from riskflow.llm import boilerplate, decontam, hilbert, langid, minhash, packing, phrases, retrieval, spotsigs, suffix, tokenfile, tokens, warc
+from riskflow.llm import boilerplate, decontam, gru, hilbert, langid, minhash, packing, phrases, retrieval, spotsigs, suffix, tokenfile, tokens, warc
 from riskflow.llm.common import scratch, table
 from riskflow.llm.registry import ORACLE, QUERIES, query
 
@@ -145,3 +145,11 @@ def op13(spark, sf_dir):
     FROM kept JOIN sized USING (lang) QUALIFY "rank" <= 2000""")
 def op12(spark, sf_dir):
     return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+@query("op11_recurrent_lm")
+def op11(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = gru.train(docs.where(~gru.held_out()))
+    return gru.score(docs, model).select(F.col("doc").alias("doc_id"), gru.held_out("doc").alias("held_out"), "n_tokens", "n_known",
+                                         "train_tokens", "base_score", "score")
