@@ -2,11 +2,13 @@
 
 Texts are pieces of words; a suffix is the DEPTH words from a position to the end of its
 piece at most. The suffixes are partitioned by their prefixes: words (with their language)
-are dealt into as many groups as their counts need at BUDGET suffixes a group, and a word
-over its share of a budget is replaced by its extensions of full depth, dealt over
-groups of its own. Each group sorts its suffixes into a subtree and reads the count of
-every phrase from the leaf totals under its node. Words rarer than a phrase may be end a
-suffix, as no candidate holds them.
+are dealt into as many groups as their counts need at BUDGET suffixes a group. A word over
+its share of a budget is heavy: a prefix of heavy words is replaced by its extensions by one
+word, as no phrase is more frequent than its rarest word, and these are dealt over groups
+of the first word's own. Each group sorts its suffixes into a subtree and reads the count of
+every phrase from the leaf totals under its node; only nodes of heavy words alone lie in
+several groups and are summed. Words rarer than a phrase may be end a suffix, as no
+candidate holds them.
 
 Equal suffixes of a block of text are merged before they are sent. What is broadcast is a
 bitmap of fixed size (which words are frequent) and the words over budget, at most HEAVY.
@@ -81,23 +83,28 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Router:
-    """Which group a suffix goes to: its first word's, or for heavy words one by all its words."""
+    """Which group a suffix goes to: its first word's, or one by its prefix up to the first
+    word that is not heavy."""
 
     def __init__(self, groups: int, heavy: dict[bytes, tuple[int, int]]):
         self.groups, self.heavy = groups, heavy         # heavy: lang NUL word -> (first group, shares)
 
+    def is_heavy(self, lang: bytes, words: list[bytes]) -> np.ndarray:
+        return np.fromiter((lang + b"\0" + w in self.heavy for w in words), bool, len(words))
+
     def deal(self, lang: bytes, words: list[bytes], ids: np.ndarray) -> np.ndarray:
         """Groups of the suffixes ``ids`` (rows of DEPTH word numbers, -1 beyond the end)."""
         crc = np.fromiter((zlib.crc32(lang + b"\0" + w) for w in words), np.uint64, len(words))
-        first, shares = (mix(crc + np.uint64(1)) % np.uint64(self.groups)).astype(np.int64), np.ones(len(words), np.int64)
-        if self.heavy:
-            for i, w in enumerate(words):
-                if (at := self.heavy.get(lang + b"\0" + w)) is not None:
-                    first[i], shares[i] = at
-        h = np.zeros(len(ids), np.uint64)
+        first, shares = (mix(crc + np.uint64(1)) % np.uint64(self.groups)).astype(np.int64), np.ones(len(words), np.uint64)
+        heavy = self.is_heavy(lang, words)
+        for i in np.flatnonzero(heavy):
+            first[i], shares[i] = self.heavy[lang + b"\0" + words[i]]
+        h, on = np.zeros(len(ids), np.uint64), np.ones(len(ids), bool)
         for k in range(DEPTH):
-            h = mix(h * np.uint64(31) + np.where(ids[:, k] >= 0, crc[np.maximum(ids[:, k], 0)], np.uint64(7)) + np.uint64(k))
-        return first[ids[:, 0]] + (h % shares[ids[:, 0]].astype(np.uint64)).astype(np.int64)
+            at, there = np.maximum(ids[:, k], 0), ids[:, k] >= 0
+            h = np.where(on, mix(h * np.uint64(31) + np.where(there, crc[at], np.uint64(7)) + np.uint64(k)), h)
+            on &= there & heavy[at]
+        return first[ids[:, 0]] + (h % shares[ids[:, 0]]).astype(np.int64)
 
 
 def _merged(stream: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -208,14 +215,16 @@ def subtree(text: bytes, counts: np.ndarray) -> Iterator[tuple[int, list[bytes],
         yield depth, names, ids[new[on], :depth], total[on]
 
 
-def _nodes(least: int, groups: int):
-    """Sorted rows of (grp, lang) -> (lang, phrase, depth, a) of each node; groups from
-    ``groups`` on hold parts of nodes, so only full depth is complete there."""
+def _nodes(least: int, router: Router):
+    """Sorted rows of (grp, lang) -> (lang, phrase, depth, a) of each node. A node of heavy
+    words alone that is not of full depth may have other parts elsewhere."""
     def read(key, texts, counts):
-        grp, lang = key
+        lang = key[1]
         for depth, names, ids, total in subtree(b"".join(texts), np.concatenate(counts)):
-            if grp < groups or depth == DEPTH:
-                ids, total = ids[total >= least], total[total >= least]
+            keep = total >= least
+            if depth < DEPTH:
+                keep |= router.is_heavy(lang.encode(), names)[ids].all(axis=1)
+            ids, total = ids[keep], total[keep]
             for a in range(0, len(total), 50_000):
                 part = ids[a:a + 50_000]
                 table = pa.array(names, pa.binary())
@@ -267,9 +276,10 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, text: str = "text", lang:
         n = -(-r["f"] // budget)
         heavy[r["lang"].encode() + b"\0" + r["word"].encode()] = (at, n)
         at += n
-    rows = src.mapInArrow(_suffixes(_bitmap(common), Router(groups, heavy)), "grp long, lang string, text binary, size long, counts binary, n long")
-    nodes = (rows.repartition(at, "grp").sortWithinPartitions("grp", "lang")
-             .mapInArrow(_nodes(least, groups), "lang string, phrase string, depth int, a long")
+    router = Router(groups, heavy)
+    rows = src.mapInArrow(_suffixes(_bitmap(common), router), "grp long, lang string, text binary, size long, counts binary, n long")
+    nodes = (rows.repartitionById(at, F.col("grp").cast("int")).sortWithinPartitions("grp", "lang")
+             .mapInArrow(_nodes(least, router), "lang string, phrase string, depth int, a long")
              .groupBy("lang", "phrase", "depth").agg(F.sum("a").alias("a")).where(F.col("a") >= least))
     one = common.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("depth"), F.col("f").alias("a"))
     return sizes, materialise(nodes.unionByName(one), "phrases")
