@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskflow.llm.common import seeded, utf8
@@ -176,100 +176,19 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
     if not share:
         return None
     some = rows.where(F.col("k") <= low[F.col("lang")])
-    pick = some.groupBy("lang").agg(F.sort_array(F.collect_list("k")).alias("ks")).select("lang", F.element_at("ks", F.least(F.lit(each), F.size("ks"))).alias("last"))
-    cut = {r["lang"]: r["last"] for r in pick.collect()}
-    last = F.create_map(*[x for k, v in cut.items() for x in (F.lit(k), F.lit(v))])
-    chosen = some.where(F.col("k") <= last[F.col("lang")]).select("text", "lang")
+    # rows of one id have one hash; the text's settles which of them are taken
+    order = Window.partitionBy("lang").orderBy("k", F.xxhash64("text"))
+    chosen = some.withColumn("at", F.row_number().over(order)).where(F.col("at") <= each).select("text", "lang")
     # one task fits the machines on the bounded sample, so the vectors never reach the driver
     made = chosen.mapInArrow(_features_of, "lang string, v binary").repartition(1).mapInArrow(_fit_batches, "model binary").first()
     return pickle.loads(made["model"]) if made is not None else None
 
 
-def predict(self, v: np.ndarray) -> tuple[str, float]:
-        x = np.append(v, np.float32(1))
-        margin = self.family_w @ x if len(self.families) > 1 else np.ones(1)
-        name = self.families[int(margin.argmax())]
-        least = float(margin.max() - np.partition(margin, -2)[-2]) / 2 if len(margin) > 1 else 1.0
-        langs = self.members[name]
-        if len(langs) == 1:
-            return langs[0], _share(least)
-        votes = {lang: [0, 0.0] for lang in langs}
-        seen = {}
-        for (a, b), w in self.pairs.items():
-            if a in votes and b in votes:
-                m = float(w @ x)
-                seen[a, b] = m
-                votes[a if m >= 0 else b][0] += 1
-                votes[a][1] += m
-                votes[b][1] -= m
-        best = max(langs, key=lambda k: (votes[k], k))
-        inner = min(m if a == best else -m for (a, b), m in seen.items() if best in (a, b))
-        return best, _share(min(least, inner))
-
-
-def _share(margin: float) -> float:
-    return float(1 / (1 + np.exp(-3 * margin)))
-
-
-def fit(vectors: np.ndarray, langs: list[str]) -> Model | None:
-    """Fit on one row of features a sampled document; None without rows."""
-    if not langs:
-        return None
-    lang = np.array(langs)
-    fam = np.array([family(x) for x in langs])
-    names = sorted(set(fam))
-    one = [fit_svm(vectors, np.where(fam == f, 1.0, -1.0)) for f in names[:1 if len(names) == 2 else None]] if len(names) > 1 else []
-    family_w = np.stack(one if len(names) != 2 else [one[0], -one[0]]) if one else np.zeros((0, DIM + 1), np.float32)
-    members = {f: sorted(set(lang[fam == f])) for f in names}
-    pairs = {}
-    for f in names:
-        for a, b in itertools.combinations(members[f], 2):
-            on = (lang == a) | (lang == b)
-            pairs[a, b] = fit_svm(vectors[on], np.where(lang[on] == a, 1.0, -1.0))
-    return Model(names, family_w, members, pairs)
-
-
-def _features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        data, off = utf8(b.column("text"))
-        texts = [data[off[i]:off[i + 1]] for i in range(len(b))]
-        on = [i for i, t in enumerate(texts) if has_letter(t)]
-        yield pa.RecordBatch.from_arrays([b.column("lang").take(pa.array(on, pa.int64())), pa.array([features(texts[i]).tobytes() for i in on], pa.binary())], ["lang", "v"])
-
-
-def _fit_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All sampled (lang, vector) rows -> the model; the order of rows never matters."""
-    pairs = sorted((lang, v) for b in batches for lang, v in zip(b.column("lang").to_pylist(), b.column("v").to_pylist()))
-    if pairs:
-        model = fit(np.stack([np.frombuffer(v, np.float32) for _, v in pairs]), [lang for lang, _ in pairs])
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
-
-
-def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Model | None:
-    """Fit on the sample of ``labelled`` described above (rows with null text or label are left out)."""
-    rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(key).bitwiseAND(2**63 - 1).alias("k")).where("text is not null and lang is not null")
-    known = rows.groupBy("lang").count().orderBy("lang").limit(TRAIN_ROWS + 1).collect()
-    if len(known) > TRAIN_ROWS:
-        raise ValueError(f"more than {TRAIN_ROWS} languages")
-    each = min(TRAIN_PER_LANG, max(1, TRAIN_ROWS // max(1, len(known))))
-    # the threshold on the hash keeps about twice the rows needed of each language, so only they are ranked
-    share = {r["lang"]: min(1.0, 2 * each / r["count"] + 20 / r["count"]) for r in known}
-    low = F.create_map(*[x for k, v in share.items() for x in (F.lit(k), F.lit(min(int(v * 2.0**63), 2**63 - 1)))]) if share else F.lit(None)
-    if not share:
-        return None
-    some = rows.where(F.col("k") <= low[F.col("lang")])
-    pick = some.groupBy("lang").agg(F.sort_array(F.collect_list("k")).alias("ks")).select("lang", F.element_at("ks", F.least(F.lit(each), F.size("ks"))).alias("last"))
-    cut = {r["lang"]: r["last"] for r in pick.collect()}
-    last = F.create_map(*[x for k, v in cut.items() for x in (F.lit(k), F.lit(v))])
-    got = some.where(F.col("k") <= last[F.col("lang")]).select("text", "lang").mapInArrow(_features_of, "lang string, v binary").toArrow().combine_chunks()
-    pairs = sorted(zip(got.column("lang").to_pylist(), got.column("v").to_pylist()))     # the order of rows never matters
-    return fit(np.stack([np.frombuffer(v, np.float32) for _, v in pairs]), [x for x, _ in pairs]) if pairs else None
-
-
 def predict(rows: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """All rows as ``row`` (a struct of their columns) with ``lang_pred`` and ``score``.
 
-    ``und`` with score 0 where the text is null, empty or without a letter, or where no
+    Texts of any length are read whole, in segments; repeated rows are answered alike. An
+    empty table gives an empty table. ``und`` with score 0 where the text is null, empty or without a letter, or where no
     label was there to learn from. Only the text is looked at.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
