@@ -2,7 +2,8 @@
 
 A crawl dump is one gzip stream over many records, from which no record can be read
 alone. The normaliser inflates each such file once, as a stream, rewrites every record
-as a gzip member of its own and writes a sidecar index (offset, length, ids) beside it.
+as a gzip member of its own and writes a sidecar index (page, offset, length) beside it,
+by which the records are read.
 Records whose payload occurs elsewhere become revisits on the way, so payloads are
 never shuffled: only (digest, page, file) rows are.
 """
@@ -24,6 +25,8 @@ from riskflow.llm.tokenfile import _fs, _put
 
 LEAST = 100                  # payload bytes from which equal payloads are told once
 CHUNK = 1 << 18
+READ_BYTES = 8 << 20         # payload bytes of one batch of records read
+NO_PAGE = -2**63             # of a record without a page, in the sidecar
 LEVEL = 6
 # Of the WARC 1.1 format.
 VERSION = b"WARC/1.1"
@@ -162,7 +165,7 @@ def _normalise_batches(uri: str, out_uri: str):
 
                 _put(out_fs, f"{out_root}/{name}", TaskContext.get().taskAttemptId(), body)
                 _put(out_fs, f"{out_root}/{name}.idx", TaskContext.get().taskAttemptId(),
-                     lambda out: out.write(b"".join(struct.pack("<qqq", -1 if p is None else p, o, n) for p, o, n in index)))
+                     lambda out: out.write(b"".join(struct.pack("<qqq", NO_PAGE if p is None else p, o, n) for p, o, n in index)))
                 cols = list(zip(*index)) if index else [[]] * 3
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(index), pa.string()), *(pa.array(c, pa.int64()) for c in cols)], ["file", "page", "offset", "length"])
     return run
@@ -173,38 +176,54 @@ def normalise(said: DataFrame, points: DataFrame, uri: str, out_uri: str) -> Dat
     one task as a stream; its list of revisits is bounded by its records."""
     files = said.select("file").distinct()
     each = files.join(points.groupBy("file").agg(F.collect_list(F.struct("at", "refers")).alias("points")), "file", "left")
-    return materialise(each.repartition(partitions(said.sparkSession), "file").mapInArrow(_normalise_batches(uri, out_uri), INDEX), "index")
+    # dealt round, as the join has left its few small rows in one partition, dealt by the same key
+    return materialise(each.repartition(partitions(said.sparkSession)).mapInArrow(_normalise_batches(uri, out_uri), INDEX), "index")
+
+
+def read_index(fs, path: str) -> list[tuple[int | None, int, int]]:
+    """(page, offset, length) of each record, from the sidecar of an archive."""
+    with fs.open_input_file(f"{path}.idx") as f:
+        return [(None if p == NO_PAGE else p, o, n) for p, o, n in struct.iter_unpack("<qqq", f.read())]
 
 
 def _read_batches(uri: str):
-    """Index rows -> the records, each inflated from its own member by one ranged read."""
+    """Names of archives -> the records, each inflated from its own member by one ranged read
+    at the place that the sidecar gives."""
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
+    names = ["page", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
+
+    def rows(out):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 6, kinds)], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _fs(uri)
-        name, src = None, None
-        for b in batches:
-            out = []
-            for file, offset, length in zip(*(b.column(c).to_pylist() for c in ("file", "offset", "length"))):
-                if file != name:
-                    if src is not None:
-                        src.close()
-                    name, src = file, fs.open_input_file(f"{root}/{file}")
-                raw = zlib.decompress(src.read_at(length, offset), 31)
-                at = raw.index(b"\r\n\r\n")
-                head, payload = parse_head(raw[:at]), raw[at + 4:-4]
-                kind, digest, page = head["WARC-Type"], head["WARC-Payload-Digest"].removeprefix("sha256:"), _page(head["WARC-Record-ID"])
-                if kind == "response" and hashlib.sha256(payload).hexdigest() != digest:
-                    raise ValueError(f"payload of page {page} does not fit its digest")
-                refers = _page(head["WARC-Refers-To"]) if "WARC-Refers-To" in head else ""
-                out.append((int(page) if page else None, int(head["X-Payload-Length"]), digest, kind, int(refers) if refers else None, payload if kind == "response" else None))
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 6, kinds)],
-                                             ["page", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
+        for file in (f for b in batches for f in b.column("file").to_pylist()):
+            out, held = [], 0
+            with fs.open_input_file(f"{root}/{file}") as src:
+                for said, offset, length in read_index(fs, f"{root}/{file}"):
+                    raw = zlib.decompress(src.read_at(length, offset), 31)
+                    at = raw.index(b"\r\n\r\n")
+                    head, payload = parse_head(raw[:at]), raw[at + 4:-4]
+                    kind, digest, page = head["WARC-Type"], head["WARC-Payload-Digest"].removeprefix("sha256:"), _page(head["WARC-Record-ID"])
+                    if (int(page) if page else None) != said:
+                        raise ValueError(f"the index of {file} names page {said} at {offset}, where {page or 'none'} lies")
+                    if kind == "response" and hashlib.sha256(payload).hexdigest() != digest:
+                        raise ValueError(f"payload of page {page} does not fit its digest")
+                    refers = _page(head["WARC-Refers-To"]) if "WARC-Refers-To" in head else ""
+                    out.append((said, int(head["X-Payload-Length"]), digest, kind, int(refers) if refers else None, payload if kind == "response" else None))
+                    held += len(payload)
+                    if held > READ_BYTES:
+                        yield rows(out)
+                        out, held = [], 0
+            yield rows(out)
     return run
 
 
 def read(index: DataFrame, uri: str) -> DataFrame:
-    """(page, payload_bytes, payload_digest, record_type, refers_to, payload) by the index."""
-    return (index.repartition(partitions(index.sparkSession), "file").sortWithinPartitions("file", "offset")
+    """(page, payload_bytes, payload_digest, record_type, refers_to, payload) of the archives
+    named in ``index``, one task an archive, by their sidecars."""
+    files = materialise(index.select("file").distinct(), "files")
+    return (files.repartition(partitions(index.sparkSession))
             .mapInArrow(_read_batches(uri), "page long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"))
 
 
