@@ -108,7 +108,7 @@ def _put(fs, path: str, attempt: int, write) -> None:
     fs.move(own, path)
 
 
-def _write_batches(uri: str, tokenizer: str, pieces: str | None, end: int, width: int):
+def _write_batches(uri: str, tokenizer: str, pieces: str | None, end: int, width: int | None):
     """Sorted rows (doc, text) of a partition -> one shard, and its row of the manifest."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ctx = TaskContext.get()
@@ -117,6 +117,10 @@ def _write_batches(uri: str, tokenizer: str, pieces: str | None, end: int, width
         fs.create_dir(root, recursive=True)
         enc, ids, ends, total = encoder(tokenizer, pieces), [], [], 0
         path = f"{root}/shard-{part:06d}"
+        largest = max(enc.largest, end)
+        size = width or (2 if largest < 1 << 16 else 4)
+        if largest >= 1 << 8 * size:
+            raise ValueError(f"ids up to {largest} do not fit in {size} bytes")
 
         def body(out):
             nonlocal total
@@ -126,14 +130,14 @@ def _write_batches(uri: str, tokenizer: str, pieces: str | None, end: int, width
                 at = (off - off[0]).tolist()
                 x, cut = enc([raw[a:c].decode("utf-8", "replace") for a, c in zip(at, at[1:])])
                 x = np.insert(x, cut[1:], end)
-                out.write(x.astype(f"<u{width}").tobytes())
+                out.write(x.astype(f"<u{size}").tobytes())
                 ids.append(b.column("doc").to_numpy(zero_copy_only=False))
                 ends.append(total + cut[1:] + np.arange(1, len(cut)))
                 total += len(x)
 
         _put(fs, f"{path}.ids", attempt, body)
         docs = np.concatenate(ids) if ids else np.zeros(0, np.int64)
-        index = MAGIC + struct.pack("<i", width) + EliasFano.encode(docs).to_bytes() + EliasFano.encode(np.concatenate(ends) if ends else docs).to_bytes()
+        index = MAGIC + struct.pack("<i", size) + EliasFano.encode(docs).to_bytes() + EliasFano.encode(np.concatenate(ends) if ends else docs).to_bytes()
         _put(fs, f"{path}.ef", attempt, lambda out: out.write(index))
         yield pa.RecordBatch.from_pydict({"part": [part], "shard": [f"shard-{part:06d}"], "n_docs": [len(docs)], "n_ids": [total]})
     return run
@@ -180,12 +184,14 @@ def _read_batches(uri: str):
     return run
 
 
-def write_tokens(docs: DataFrame, uri: str, tokenizer: str, pieces: str | None = None, end: int = 0, width: int = 2,
+def write_tokens(docs: DataFrame, uri: str, tokenizer: str, pieces: str | None = None, end: int = 0, width: int | None = None,
                  text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Write all rows in ascending id order under ``uri``; returns the manifest
     (part, shard, n_docs, n_ids, base), where base counts the ids of all shards before.
 
-    Null and empty texts are the end id alone. Rows that share an id follow one another,
+    An id takes 2 bytes where the vocabulary and ``end`` allow it, else 4; with a ``width`` too
+    small for them the job raises. Null and empty texts are the end id alone; long ones are
+    encoded in segments. Rows that share an id follow one another,
     ordered by a hash of the text. A row without an id has no place in the order: such rows raise no
     error and are left out. An empty table writes empty shards.
     """

@@ -84,6 +84,11 @@ class Encoder:
         self.flat = np.concatenate([self.flat, *ids])
         self.at.update(zip(chain(known, rest), range(len(self.at), len(self.at) + len(new))))
 
+    @property
+    def largest(self) -> int:
+        """The largest id of the vocabulary, added tokens included."""
+        return max(self.tok.get_vocab(with_added_tokens=True).values())
+
     def _segments(self, text: str) -> Iterator[str]:
         a = 0
         while len(text) - a > SEGMENT and (m := self.safe.search(text, a + SEGMENT)):
