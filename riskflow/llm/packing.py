@@ -42,7 +42,11 @@ class Windows:
         self.next = 0
 
     def put(self, size: int, item) -> list[tuple[int, list]]:
-        """Best fit: the window that the item fills most."""
+        """Best fit: the window that the item fills most. An item of a whole window is one of
+        its own and leaves the open ones alone."""
+        if size == self.length:
+            self.next += 1
+            return [(self.next - 1, [(0, item)])]
         out = []
         at = bisect.bisect_left(self.free, (size, -1))
         if at == len(self.free):
