@@ -146,6 +146,29 @@ PAGES = [(0, "<p>" + "x" * 200), (1, "<p>" + "x" * 200), (2, "short"), (3, "shor
          (8, "z" * 100), (9, "z" * 99), (9, "z" * 99), (1, "<p>" + "x" * 200), (None, "<p>" + "x" * 200), (10, "w" * 300_000)]
 
 
+def test_token_width_follows_the_vocabulary(spark, docs):
+    wide = scratch(spark, "test-wide")
+    end = 70_000                                              # beyond 2 bytes
+    got = tokenfile.read_tokens(tokenfile.write_tokens(docs, wide, BYTE, tokens.SPACE_LED, end=end), wide).collect()
+    assert got and all(np.frombuffer(r.ids, "<u4")[-1] == end for r in got)
+    assert tokenfile.read_index(wide, "shard-000000")[0] == 4
+    with pytest.raises(Exception, match="do not fit in 2 bytes"):
+        tokenfile.write_tokens(docs, scratch(spark, "test-narrow"), BYTE, tokens.SPACE_LED, end=end, width=2).count()
+
+
+def test_whole_windows_leave_open_ones_alone():
+    w = packing.Windows(10, 2)
+    assert w.put(4, "a") == [] and w.put(7, "b") == []
+    assert w.put(10, "c") == [(2, [(0, "c")])]
+    assert sorted(x for _, items in w.rest() for _, x in items) == ["a", "b"]
+
+
+def test_language_sample_of_one_id_is_bounded(spark):
+    rows = [(7, f"{p} number {i}", lang) for i in range(400) for p, lang in (("the river and the stone", "en"), ("der Fluss und der Stein", "de"))]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.predict(langid.features(np.frombuffer(b"the stone and the river", np.uint8)))[0] == "en"
+
+
 def test_warc(spark):
     pages = spark.createDataFrame([(i, "u", h, 1) for i, h in PAGES], "page_id long, url string, html string, page long").repartition(3)
     uri = scratch(spark, "test-warc")
@@ -166,6 +189,22 @@ def test_warc(spark):
     assert len(list(warc.records(io.BytesIO(raw)))) == index.where(F.col("file") == row.file).count()
 
 
+def test_warc_files_are_dealt_over_tasks_and_read_by_their_sidecars(spark):
+    from riskflow.llm.tokenfile import _fs
+    pages = spark.range(0, 64, 1, 16).select(F.when(F.col("id") != 9, F.col("id") - 1).alias("page_id"), F.repeat(F.lit("<p>text</p>"), F.col("id").cast("int")).alias("html"))
+    raw, uri = scratch(spark, "test-dump"), scratch(spark, "test-warc")
+    said = warc.dump(pages, raw)
+    index = warc.normalise(said, warc.revisits(said), raw, uri)
+    assert said.select("file").distinct().count() == 16
+    # one file of index rows a task that had archives: more than one has
+    assert len(index.inputFiles()) > 1 and index.select("file").distinct().count() == 16
+    fs, root = _fs(uri)
+    for name, rows in {r.file: r.rows for r in index.groupBy("file").agg(F.collect_list(F.struct("page", "offset", "length")).alias("rows")).collect()}.items():
+        assert sorted(map(repr, warc.read_index(fs, f"{root}/{name}"))) == sorted(repr(tuple(r)) for r in rows)
+    got = {r.page: r.payload_bytes for r in warc.read(index, uri).collect()}
+    assert got == {None if i == 9 else i - 1: 11 * i for i in range(64)} and -1 in got
+
+
 def test_warc_reader_takes_monolithic_and_broken_files():
     rec = [warc.record("response", str(k), b"p" * k, sha(b"p" * k), k) for k in range(0, 2000, 111)]
     for raw in (gzip.compress(b"".join(rec)), b"".join(map(gzip.compress, rec))):
