@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from riskflow import constants as C
 from riskflow.functions import exprs as X
 from riskflow.schema import SCORED, TRANSACTION_COLUMNS
+from riskflow.session import stored
 
 
 def reject_reason() -> Column:
@@ -38,12 +39,21 @@ def validate(requests: DataFrame) -> DataFrame:
     return requests.withColumn("reject_reason", reject_reason())
 
 
+def checked(requests: DataFrame) -> DataFrame:
+    """Requests with ``reject_reason`` and, as ``_t``, the parsed fields (amount, timestamp,
+    is_fraud), stored once: whoever filters on the reason or reads a field again reads
+    columns. Left as expressions, a filter on the reason repeats the derivation of every
+    field that the checks use."""
+    parsed = F.struct(X.number("amount").alias("amount"), X.utc_timestamp("timestamp").alias("timestamp"),
+                      F.col("is_fraud").cast("int").alias("is_fraud"))
+    return stored(validate(requests).withColumn("_t", parsed), "requests")
+
+
 def typed(valid: DataFrame) -> DataFrame:
     """Valid requests -> TRANSACTION types (amount parsed once, timestamp parsed)."""
-    out = (valid.withColumn("amount", X.number("amount"))
-                .withColumn("timestamp", X.utc_timestamp("timestamp"))
-                .withColumn("is_fraud", F.col("is_fraud").cast("int")))
-    return out
+    if "_t" in valid.columns:
+        return valid.withColumns({c: F.col(f"_t.{c}") for c in ("amount", "timestamp", "is_fraud")}).drop("_t")
+    return valid.withColumns({"amount": X.number("amount"), "timestamp": X.utc_timestamp("timestamp"), "is_fraud": F.col("is_fraud").cast("int")})
 
 
 def dedupe_first(valid: DataFrame, key: str = "transaction_id",
@@ -63,11 +73,11 @@ def _winners(valid: DataFrame, key: str, order: tuple[str, ...]) -> DataFrame:
 
 
 def duplicates(valid: DataFrame, key: str = "transaction_id",
-               order: tuple[str, ...] = ("arrival_ts", "copy")) -> DataFrame:
+               order: tuple[str, ...] = ("arrival_ts", "copy"), won: DataFrame | None = None) -> DataFrame:
     """Rows that lost I5: for each key all rows but one. Copies equal to the winner in
     every column are counted per key, and all but one of them come back."""
     rest = [c for c in valid.columns if c != key and c not in order]
-    again = _winners(valid, key, order).where("_n > 1")
+    again = (_winners(valid, key, order) if won is None else won).where("_n > 1")
     rows = valid.select(key, F.struct(*order, *rest).alias("_r")).join(again, key)
     later = rows.where("_r != _w").select(key, "_r.*")
     equal = (rows.where("_r = _w").groupBy(key).agg(F.min("_r").alias("_r"), F.count(F.lit(1)).alias("_c"))
@@ -77,18 +87,24 @@ def duplicates(valid: DataFrame, key: str = "transaction_id",
 
 def split_requests(requests: DataFrame, order: tuple[str, ...] = ("arrival_ts", "copy"),
                    keep: tuple[str, ...] = ("arrival_ts",)):
-    """(accepted TRANSACTION rows with their ``order`` columns,
+    """I2-I5 on requests or on what ``checked`` made of them: (accepted TRANSACTION rows with their ``order`` columns,
     rejects(transaction_id, reject_reason, *keep)).
 
     ``order`` is the arrival order used by dedupe (first arrival wins) and by
     the history behind it."""
-    v = validate(requests)
+    v = requests if "_t" in requests.columns else checked(requests)
     bad = v.where(F.col("reject_reason").isNotNull())
     ok = v.where(F.col("reject_reason").isNull()).drop("reject_reason")
-    dups = duplicates(ok, order=order).withColumn("reject_reason", F.lit("Duplicate transaction_id"))
+    # only keys that came more than once need a winner; as their list is stored, its size
+    # decides whether the other rows are shuffled at all
+    again = stored(ok.groupBy("transaction_id").count().where("count > 1").select("transaction_id"), "again")
+    several = ok.join(again, "transaction_id", "left_semi")
+    won = stored(_winners(several, "transaction_id", order), "winners")
+    first = ok.join(again, "transaction_id", "left_anti").unionByName(won.select("transaction_id", "_w.*"))
+    dups = duplicates(several, order=order, won=won).withColumn("reject_reason", F.lit("Duplicate transaction_id"))
     rejects = (bad.select("transaction_id", "reject_reason", *keep)
                   .unionByName(dups.select("transaction_id", "reject_reason", *keep)))
-    accepted = typed(dedupe_first(ok, order=order)).select(*TRANSACTION_COLUMNS, *order)
+    accepted = typed(first).select(*TRANSACTION_COLUMNS, *order)
     return accepted, rejects
 
 

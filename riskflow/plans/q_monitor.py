@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskflow import constants as C
+from riskflow.operators import ingest, score
 from riskflow.operators import monitor as M
-from riskflow.operators import score
 from riskflow.plans import views
 from riskflow.plans.registry import query
 from riskflow.plans.sqlparts import ARRIVAL_ORDER, REQ, VALIDATED, scored, with_base
@@ -85,9 +85,11 @@ def hq_sql(name: str, q: float, bounds=C.LATENCY_BUCKETS, interval: int = 30, wi
 # ---------------------------------------------------------------- Spark helpers
 
 def _pipeline(spark, d):
-    req = adapters.event_requests(spark, d)
-    scored_rows, rejects = score.detect(req)
-    return M.pipeline_events(req, scored_rows, rejects)
+    """Detector activity at 30 s, from one run of the detection: requests are checked and
+    stored once, and every series is built on the stored counts."""
+    checked = ingest.checked(adapters.event_requests(spark, d))
+    scored_rows, rejects = score.detect(checked)
+    return M.pipeline_events(checked, scored_rows, rejects)
 
 
 # ---------------------------------------------------------------- queries

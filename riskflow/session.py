@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -81,6 +82,14 @@ def reliable(df):
     return df.checkpoint(eager=True)
 
 
+def stored(df, name: str):
+    """``df`` written as Parquet to the shared folder and read back: like ``reliable``, with
+    column statistics, column pruning, and sizes that the planner sees."""
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex[:12]}")
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints / intermediate tables.
 
