@@ -34,66 +34,105 @@ UNITS = ("mm cm m km in ft yd mi mg g kg t lb oz ml l ms s sec min h hr d wk yr
 
 
 SUBSETS = [[m for m in range(1 << WIDTH) if m & ~caps == 0] for caps in range(1 << WIDTH)]
+#: Bits of the filter of the benchmark's words; a plain value of 32 KB in the plan however many there are.
+WORD_BITS = 1 << 18
 
 
-def words(text: Column) -> Column:
-    """Template words with their values: MARK, a type letter (n a name, c a word that may be
-    one, d, u) and the value, or a plain word. A letter and an apostrophe before a word
-    (O'Brien) belong to it."""
-    t = F.coalesce(text, F.lit(""))
-    t = F.regexp_replace(t, r"(?<![\p{L}\p{N}])(\p{L})['\u2019](?=\p{L})", "$1")
+def marked(text: Column) -> Column:
+    """The text in lower case with MARK and a type letter before names (n), words that may be
+    one (c), numbers (d) and units (u). A letter and an apostrophe before a word (O'Brien)
+    belong to it."""
+    t = F.translate(F.coalesce(text, F.lit("")), MARK, " ")
+    t = F.regexp_replace(t, r"['\u2019](?=\p{L})(?<=(?<![\p{L}\p{N}])\p{L}.)", "")
     t = F.regexp_replace(t, r"\p{Lu}(?<=[\p{L}\p{N},;][ \t].)\p{Ll}+", MARK + "n$0")
-    t = F.regexp_replace(t, rf"(?<![\p{{L}}\p{{N}}{MARK}])[\p{{Lu}}\p{{Lt}}]", MARK + "c$0")
+    t = F.regexp_replace(t, rf"[\p{{Lu}}\p{{Lt}}](?<![\p{{L}}\p{{N}}{MARK}].)", MARK + "c$0")
     t = F.regexp_replace(t, r"([0-9]+)(?:[.,:]([0-9]+))?(?:[.,:]([0-9]+))?", f" {MARK}d$1x$2x$3 ")
     t = F.regexp_replace(t, f"({MARK}d[^ ]* )[ \\t]*(?:{MARK}[nc])?((?i:{'|'.join(sorted(UNITS, key=len, reverse=True))}))(?![\\p{{L}}\\p{{N}}])", f"$1{MARK}u$2 ")
-    return F.filter(F.split(F.lower(t), rf"[^\p{{L}}\p{{N}}{MARK}]+"), lambda w: w != "")
+    return F.lower(t)
 
 
-def _kind(w: Column) -> Column:
-    """2 for a certain name, 1 for a word that may be one, else 0."""
-    return F.when(w.startswith(MARK + "n"), 2).when(w.startswith(MARK + "c"), 1).otherwise(0)
+def _split(t: Column) -> Column:
+    return F.array_remove(F.split(t, rf"[^\p{{L}}\p{{N}}{MARK}]+"), "")
 
 
-def _plain(ws: Column) -> Column:
-    """The template without names."""
-    return F.transform(ws, lambda w: F.when(_kind(w) > 0, F.substring(w, F.lit(3), F.length(w)))
-                       .when(w.startswith(MARK), F.substring(w, 1, 2)).otherwise(w))
+def words(text: Column) -> Column:
+    """Template words with their values: MARK, a type letter and the value, or a plain word."""
+    return _split(marked(text))
 
 
-def _bits(i: Column, least: int) -> Column:
-    """Which words of the window at ``i`` are names by kind ``least``; words beyond the end are none."""
-    bit = [F.when(F.get("c", i + (k - 1)) >= least, 1 << k).otherwise(0) for k in range(WIDTH)]
-    return sum(bit[1:], bit[0])
+def _kind(w: Column) -> Column:
+    """2 for a certain name, 1 for a word that may be one, else 0."""
+    return F.when(w.startswith(MARK + "n"), 2).when(w.startswith(MARK + "c"), 1).otherwise(0)
 
 
-def _form(i: Column, m: Column) -> Column:
-    """Hash of the window at ``i`` with the words of the bit mask ``m`` as names; of the whole
-    template where it is shorter than WIDTH."""
-    word = [F.when(m.bitwiseAND(1 << k) != 0, MARK + "n").otherwise(F.get("p", i + (k - 1))) for k in range(WIDTH)]
-    return F.when(F.size("p") >= WIDTH, F.xxhash64(*word)).otherwise(F.xxhash64(F.concat(F.lit(MARK), F.concat_ws(" ", *[
+def _parsed(rows: DataFrame, m: str) -> DataFrame:
+    """``rows`` with a marked text ``m`` -> with ``ws``, its words, ``p``, the template without
+    names, and ``c``, the kinds of its words. Marks begin a word, so all are of one length.
+    They are columns of their own beneath, so that the lambdas do not make the words anew
+    for every window; callers explode with explode_outer, as explode would infer a filter
+    that is pushed below them."""
+    plain = F.regexp_replace(F.regexp_replace(F.col(m), MARK + "[nc]", ""), f"({MARK}[du])[^ ]*", "$1")
+    return rows.withColumn("ws", _split(F.col(m))).withColumn("p", _split(plain)).withColumn("c", F.transform("ws", _kind))
+
+
+def _word_bit(w: Column) -> Column:
+    return F.xxhash64(w).bitwiseAND(WORD_BITS - 1)
+
+
+def _vocabulary(items: DataFrame) -> Column:
+    """The words of parsed ``items`` as bits of longs; what a document shares with an item can
+    have no other plain word."""
+    bit = items.select(F.explode("p").alias("w")).select(_word_bit(F.col("w")).alias("x"))
+    at = {r["at"]: r["bits"] for r in bit.groupBy(F.shiftright("x", 6).alias("at")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("x").bitwiseAND(63).cast("int"))).alias("bits")).collect()}
+    return F.split(F.lit(",".join(str(at.get(i, 0)) for i in range(WORD_BITS // 64))), ",").cast("array<bigint>")
+
+
+def _windows(parsed: DataFrame, *key: str, vocabulary: Column | None = None, values: bool = False) -> DataFrame:
+    """(*key, i, short, p, c, ok[, ws]) of each window of parsed rows: WIDTH words from ``i``, or a
+    whole shorter template. With a vocabulary, windows with a word that is no name candidate
+    and is not in it are left out; ``ok`` tells which words are in it."""
+    if vocabulary is None:
+        rows = parsed.withColumn("ok", F.transform("p", lambda w: F.lit(True)))
+    else:
+        rows = parsed.withColumn("x", F.transform("p", _word_bit)).withColumn("ok", F.transform("x", lambda x: F.bit_get(
+            F.get(vocabulary, F.shiftright(x, 6).cast("int")), x.bitwiseAND(63).cast("int")) == 1))
+    at = F.when(F.size("p") > 0, F.sequence(F.lit(0), F.greatest(F.size("p") - WIDTH, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+
+    def alive(i):
+        out = F.lit(True)
+        for k in range(WIDTH):
+            out = out & (F.coalesce(F.get("ok", i + k), F.lit(True)) | (F.get("c", i + k) > 0))
+        return out
+
+    keep = ["p", "c", "ok", *(["ws"] if values else [])]
+    at = at if vocabulary is None else F.filter(at, alive)
+    win = F.transform(at, lambda i: F.struct(i.alias("i"), *[F.slice(F.col(x), i + 1, WIDTH).alias(x) for x in keep]))
+    return (rows.select(*key, (F.size("p") < WIDTH).alias("short"), F.explode_outer(win).alias("w")).where("w is not null")
+            .select(*key, "short", "w.*"))
+
+
+def _hash(m: Column) -> Column:
+    """Hash of a window with the words of the bit mask ``m`` as names; of the whole template
+    where it is shorter than WIDTH."""
+    word = [F.when(m.bitwiseAND(1 << k) != 0, MARK + "n").otherwise(F.get("p", F.lit(k))) for k in range(WIDTH)]
+    return F.when(~F.col("short"), F.xxhash64(*word)).otherwise(F.xxhash64(F.concat(F.lit(MARK), F.concat_ws(" ", *[
         F.when(F.size("p") > k, word[k]) for k in range(WIDTH)]))))
 
 
-def _at() -> Column:
-    return F.when(F.size("p") > 0, F.sequence(F.lit(1), F.greatest(F.size("p") - (WIDTH - 1), F.lit(1)))).otherwise(F.array().cast("array<int>"))
-
-
-def _masks(i: Column) -> Column:
-    """The name masks of all forms of the window at ``i``."""
-    return F.get(F.lit(SUBSETS), _bits(i, 1))
-
-
-def _parsed(rows: DataFrame, ws: str) -> DataFrame:
-    """``rows`` with words ``ws`` -> with ``p``, the plain template, and ``c``, the kinds of its
-    words. They are columns of their own beneath, so that the lambdas do not make the words
-    anew for every window; callers explode with explode_outer, as explode would infer a filter
-    that is pushed below them."""
-    return rows.withColumn("p", _plain(F.col(ws))).withColumn("c", F.transform(ws, _kind))
+def _mask(test) -> Column:
+    bit = [F.when(F.coalesce(test(k), F.lit(False)), 1 << k).otherwise(0) for k in range(WIDTH)]
+    return sum(bit[1:], bit[0])
 
 
-def _hashed(rows: DataFrame, ws: str) -> DataFrame:
-    """``rows`` with ``h``, the hashes of all forms of all windows."""
-    return _parsed(rows, ws).withColumn("h", F.flatten(F.transform(_at(), lambda i: F.transform(_masks(i), lambda m: _form(i, m)))))
+def _forms(windows: DataFrame) -> DataFrame:
+    """Windows in all their forms: ``m``, which words are names, and ``h``. A name candidate
+    outside of the vocabulary is a name in any form that can be shared."""
+    cand = lambda k: F.get("c", F.lit(k)) > 0
+    ok = lambda k: F.get("ok", F.lit(k))
+    out = windows.withColumn("always", _mask(lambda k: cand(k) & ~ok(k))).withColumn("free", _mask(lambda k: cand(k) & ok(k)))
+    out = out.withColumn("m", F.explode(F.get(F.lit(SUBSETS), F.col("free")))).withColumn("m", F.col("m").bitwiseOR(F.col("always")))
+    return out.withColumn("h", _hash(F.col("m"))).drop("always", "free")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id",
@@ -105,24 +144,24 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str
     the document's. Repeated documents are reported once an id (any of its texts counts),
     repeated items by their id. Empty tables give an empty table.
     """
-    items = materialise(benchmark.select(F.col(item_id).alias("item"), words(F.col(item_text)).alias("iw"))
-                        .where("item is not null and size(iw) > 0"), "items")
-    keyed = _parsed(items, "iw").withColumn("x", F.transform(_at(), lambda i: F.struct(
-        _form(i, _bits(i, 2)).alias("w"), F.transform(_masks(i), lambda m: _form(i, m)).alias("h"))))
-    sizes = keyed.groupBy("item").agg(F.max(F.size(F.array_distinct("x.w"))).cast("long").alias("n_windows"))
-    keys = keyed.select("item", F.explode_outer("x").alias("x")).select("item", "x.w", F.explode_outer("x.h").alias("h")).distinct()
+    items = materialise(_parsed(benchmark.select(F.col(item_id).alias("item"), marked(F.col(item_text)).alias("m")), "m")
+                        .where("item is not null and size(p) > 0").select("item", "ws", "p", "c"), "items")
+    windows = _windows(items.withColumn("row", F.xxhash64("ws")), "item", "row").withColumn("w", _hash(_mask(lambda k: F.get("c", F.lit(k)) == 2)))
+    sizes = windows.groupBy("item", "row").agg(F.count_distinct("w").alias("n")).groupBy("item").agg(F.max("n").cast("long").alias("n_windows"))
+    keys = materialise(_forms(windows).select("item", "w", "h").distinct(), "keys")
     only = keys.select("h").distinct()
-    some = F.broadcast if only.count() <= BROADCAST_WINDOWS else (lambda df: df)
+    some = F.broadcast if keys.count() <= BROADCAST_WINDOWS else (lambda df: df)
+    vocabulary = _vocabulary(items)
     rows = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).where("doc is not null and text is not null")
-    forms = rows.select("doc", words(F.col("text")).alias("ws"))
-    seen = materialise(_hashed(forms, "ws").select("doc", F.explode_outer("h").alias("h")).join(some(only), "h", "left_semi").distinct(), "windows")
+    forms = _forms(_windows(_parsed(rows.select("doc", marked(F.col("text")).alias("m")), "m"), "doc", vocabulary=vocabulary))
+    seen = materialise(forms.select("doc", "h").join(some(only), "h", "left_semi").distinct(), "windows")
     hits = (seen.join(some(keys), "h").groupBy("doc", "item").agg(F.count_distinct("w").alias("n_matched"))
             .join(F.broadcast(sizes) if some is F.broadcast else sizes, "item")
             .where(F.col("n_matched") * 100 >= F.col("n_windows") * PERCENT))
     hits = materialise(hits, "hits")
     # words that may be names make slots too, as forms with them count
-    slotted = items.where(F.exists("iw", lambda w: w.startswith(MARK))).select("item", "iw")
-    checked = _consistent(hits.join(slotted.select("item").distinct(), "item", "left_semi"), rows, slotted)
+    slotted = items.where(F.exists("ws", lambda w: w.startswith(MARK)))
+    checked = _consistent(hits.join(slotted.select("item").distinct(), "item", "left_semi"), rows, slotted, vocabulary, some(only))
     plain = hits.join(slotted.select("item").distinct(), "item", "left_anti").withColumn("n_slots", F.lit(0).cast("long"))
     return plain.unionByName(checked).select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "n_matched", "n_windows", "n_slots")
 
@@ -132,27 +171,23 @@ def _value(w: Column) -> Column:
     return F.when(w.startswith(MARK + "c"), F.concat(F.lit("n"), F.substring(w, F.lit(3), F.length(w)))).otherwise(F.substring(w, F.lit(2), F.length(w)))
 
 
-def _slots(rows: DataFrame, key: str, ws: str) -> DataFrame:
-    """(key, w, h, values): the forms of the windows of word arrays with the values of their
-    placeholders in order; ``w`` names the window."""
-    def values(i, m):
-        slot = [F.when((m.bitwiseAND(1 << k) != 0) | F.get("p", i + (k - 1)).startswith(MARK), _value(F.get(ws, i + (k - 1))))
-                for k in range(WIDTH)]
-        return F.array_compact(F.array(*slot))
-    rows = _parsed(materialise(rows, "words"), ws)
-    at = F.transform(_at(), lambda i: F.struct(_form(i, _bits(i, 2)).alias("w"), F.transform(_masks(i), lambda m: F.struct(_form(i, m).alias("h"), values(i, m).alias("values"))).alias("f")))
-    return (rows.select(key, F.explode_outer(at).alias("x")).select(key, "x.w", F.explode_outer("x.f").alias("f"))
-            .select(key, "w", "f.h", "f.values"))
+def _slots(windows: DataFrame, *keep: str) -> DataFrame:
+    """(*keep, h, values): the forms of windows with the values of their placeholders in order."""
+    slot = [F.when((F.col("m").bitwiseAND(1 << k) != 0) | F.get("p", F.lit(k)).startswith(MARK), _value(F.get("ws", F.lit(k)))) for k in range(WIDTH)]
+    return _forms(windows).select(*keep, "h", F.array_compact(F.array(*slot)).alias("values"))
 
 
-def _consistent(pairs: DataFrame, rows: DataFrame, slotted: DataFrame) -> DataFrame:
+def _consistent(pairs: DataFrame, rows: DataFrame, slotted: DataFrame, vocabulary: Column, only: DataFrame) -> DataFrame:
     """Candidates with slots, counted without the windows whose values contradict the
     rest of the pair's mapping. The mapping of a value is the one that most windows show
     (ties: the smaller text)."""
     ends = pairs.select("doc").distinct()
     near = maybe_in(rows, F.col("doc"), ends, "doc").where("__hit").drop("__hit").join(ends, "doc", "left_semi")
-    left = _slots(near.select("doc", words(F.col("text")).alias("ws")), "doc", "ws").drop("w").distinct().withColumnRenamed("values", "dv")
-    right = _slots(slotted, "item", "iw").withColumnRenamed("values", "iv")
+    near = materialise(_parsed(near.select("doc", marked(F.col("text")).alias("m")), "m").select("doc", "ws", "p", "c"), "words")
+    left = (_slots(_windows(near, "doc", vocabulary=vocabulary, values=True), "doc").join(only, "h", "left_semi").distinct()
+            .withColumnRenamed("values", "dv"))
+    named = _windows(slotted, "item", values=True).withColumn("w", _hash(_mask(lambda k: F.get("c", F.lit(k)) == 2)))
+    right = _slots(named, "item", "w").withColumnRenamed("values", "iv")
     both = (pairs.select("doc", "item", "n_windows").join(right, "item").join(left, ["doc", "h"])
             .groupBy("doc", "item", "n_windows", "w", "h", "iv").agg(F.collect_set("dv").alias("dvs")))
     both = both.withColumn("dv", F.explode("dvs")).drop("dvs")
@@ -166,7 +201,7 @@ def _consistent(pairs: DataFrame, rows: DataFrame, slotted: DataFrame) -> DataFr
           .where((F.size("zip") == 0) | F.forall("zip", lambda z: F.coalesce(F.array_contains("agreed", F.struct(z["a"].alias("a"), z["b"].alias("b"))), F.lit(False)))))
     out = ok.groupBy("doc", "item", "n_windows").agg(F.count_distinct("w").alias("n_matched"))
     # a word that may be a name and stays the same is no slot
-    sure = slotted.groupBy("item").agg(F.flatten(F.collect_list(F.transform(F.filter("iw", lambda w: w.startswith(MARK) & ~w.startswith(MARK + "c")), _value))).alias("sure"))
+    sure = slotted.groupBy("item").agg(F.flatten(F.collect_list(F.transform(F.filter("ws", lambda w: w.startswith(MARK) & ~w.startswith(MARK + "c")), _value))).alias("sure"))
     slots = agreed.join(sure, "item").select("doc", "item", F.size(F.filter("agreed", lambda x: (x["a"] != x["b"]) | F.array_contains("sure", x["a"]))).cast("long").alias("n_slots"))
     return (out.where(F.col("n_matched") * 100 >= F.col("n_windows") * PERCENT).join(slots, ["doc", "item"], "left")
             .select("item", "doc", "n_matched", "n_windows", F.coalesce("n_slots", F.lit(0).cast("long")).alias("n_slots")))
