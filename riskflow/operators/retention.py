@@ -139,18 +139,18 @@ def purged_rows(archive: DataFrame, as_of: str, purge_days: int = C.PURGE_DAYS,
 
 
 def dry_run(main: DataFrame, archive: DataFrame, as_of: str, retention_days: int = C.RETENTION_DAYS,
-            archive_days: int = C.ARCHIVE_DAYS, purge_days: int = C.PURGE_DAYS) -> DataFrame:
-    """P5: what each step would do, counts only, as scalar subqueries."""
+            archive_days: int = C.ARCHIVE_DAYS, purge_days: int = C.PURGE_DAYS, holds: DataFrame | None = None) -> DataFrame:
+    """P5: what each step would do, counts only, as scalar subqueries; rows under legal hold stay."""
     a = not_archived(main, archive, as_of, retention_days).agg(F.count(F.lit(1))).scalar()
     e = cold_candidates(archive, as_of, archive_days).agg(F.count(F.lit(1))).scalar()
-    p = archive.where(F.col("timestamp") < cutoff(as_of, purge_days)).agg(F.count(F.lit(1))).scalar()
+    p = purged_rows(archive, as_of, purge_days, holds).agg(F.count(F.lit(1))).scalar()
     return main.sparkSession.range(1).select(a.alias("would_archive"), e.alias("would_export"),
                                              p.alias("would_purge"))
 
 
 def run_summary(main: DataFrame, archive: DataFrame, as_of: str, retention_days: int = C.RETENTION_DAYS,
-                archive_days: int = C.ARCHIVE_DAYS, purge_days: int = C.PURGE_DAYS) -> DataFrame:
-    """Stats -> warm copy -> cold export -> purge, summarised as one row.
+                archive_days: int = C.ARCHIVE_DAYS, purge_days: int = C.PURGE_DAYS, holds: DataFrame | None = None) -> DataFrame:
+    """Stats -> warm copy -> cold export -> purge (but for rows under legal hold), summarised as one row.
 
     Each count is of the plan the step would execute on the state left by
     the previous step (archive after the copy; purge on that archive)."""
@@ -159,7 +159,7 @@ def run_summary(main: DataFrame, archive: DataFrame, as_of: str, retention_days:
     archive2 = archive.unionByName(copied, allowMissingColumns=True)
     n_copied = copied.agg(F.count(F.lit(1))).scalar()
     n_export = cold_candidates(archive2, as_of, archive_days).agg(F.count(F.lit(1))).scalar()
-    n_purge = archive2.where(F.col("timestamp") < cutoff(as_of, purge_days)).agg(F.count(F.lit(1))).scalar()
+    n_purge = purged_rows(archive2, as_of, purge_days, holds).agg(F.count(F.lit(1))).scalar()
     return stats.select("*", n_copied.alias("archived_count"), n_export.alias("exported_count"),
                         n_purge.alias("purged_count"))
 
@@ -176,12 +176,12 @@ def run(main: DataFrame, archive: DataFrame, base: str, as_of: str, retention_da
     spark, day = main.sparkSession, as_of[:10].replace("-", "")
     stats = tier_stats(main, as_of, retention_days, archive_days, purge_days)
     if dry_run:
-        return run_summary(main, archive, as_of, retention_days, archive_days, purge_days)
+        return run_summary(main, archive, as_of, retention_days, archive_days, purge_days, holds)
     root = f"{base.rstrip('/')}/archive"
     copied = warm_copy(main, archive, as_of, retention_days)
+    n_copied = copied.count()                      # before the write: rows of an earlier run of the day do not count
     archive.unionByName(copied, allowMissingColumns=True).write.mode("overwrite").parquet(f"{root}/copied={day}")
     after = spark.read.parquet(f"{root}/copied={day}")
-    n_copied = after.where(F.col("archived_at") == ts_lit(as_of)).count()
     n_cold, _ = export_cold(after, f"{base.rstrip('/')}/cold", as_of, archive_days)
     n_purged = purged_rows(after, as_of, purge_days, holds).count()
     purge_keep(after, as_of, purge_days, holds).write.mode("overwrite").parquet(f"{root}/version={day}")

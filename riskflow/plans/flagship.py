@@ -11,6 +11,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from riskflow import constants as C
 from riskflow.operators import review, score
 from riskflow.plans.registry import query
 from riskflow.plans.sqlparts import ARRIVAL_ORDER, REQ, SCORED_COLS, VALIDATED, scored
@@ -48,10 +49,9 @@ def detect_all(spark, d):
 SLICES = ["2024-01-11 00:00:00", "2024-01-21 00:00:00"]
 
 
-@query("stream_detect", DETECT_SQL)
-def stream_detect(spark, d):
-    """The streaming detector over message files: the feed arrives in slices, each one a
-    micro-batch that continues the stored ids and account state of those before."""
+def _streamed(spark, d) -> detector.Detector:
+    """The streaming detector after the whole feed, which arrives in slices of message files,
+    each one a micro-batch that continues the stored ids and account totals of those before."""
     root = scratch_path(spark, f"stream-{uuid.uuid4().hex[:12]}")
     req = adapters.event_requests(spark, d)
     job = detector.Detector(spark, f"{root}/out")
@@ -60,4 +60,32 @@ def stream_detect(spark, d):
         part = req.where((at >= ts_lit(lo) if lo else F.lit(True)) & (at < ts_lit(hi) if hi else F.lit(True)))
         messages.to_messages(part, ["arrival_ts", "copy", "transaction_id"], exclude=("arrival_ts", "copy")).write.mode("append").json(f"{root}/topic")
         detector.start(spark, messages.message_stream(spark, "files", f"{root}/topic"), job, f"{root}/checkpoint").awaitTermination()
-    return job.table(detector.SCORED).select(*SCORED_COLUMNS)
+    return job
+
+
+@query("stream_detect", DETECT_SQL)
+def stream_detect(spark, d):
+    """What the streaming detector stores."""
+    return _streamed(spark, d).table(detector.SCORED).select(*SCORED_COLUMNS)
+
+
+@query("stream_totals", f"""WITH {REQ},
+{VALIDATED},
+{scored('accepted', order=ARRIVAL_ORDER)},
+t AS (SELECT (SELECT count(*) FROM req) AS processed, (SELECT count(*) FROM scored WHERE is_anomaly = 1) AS anomalies,
+             (SELECT count(*) FROM validated WHERE reject_reason IS NOT NULL) + (SELECT count(*) FROM ranked WHERE arrival_rank > 1) AS errors)
+SELECT processed, anomalies, errors, round(anomalies / CAST(processed AS DOUBLE), 6) AS anomaly_ratio,
+       round(errors / CAST(processed AS DOUBLE), 6) AS error_ratio FROM t""")
+def stream_totals(spark, d):
+    """The counters that the streaming detector observed while it wrote."""
+    return _streamed(spark, d).totals()
+
+
+@query("stream_accounts", f"""WITH {REQ},
+{VALIDATED}
+SELECT account_id, count(*) AS n,
+       CAST(sum(CASE WHEN abs(amount) <= {C.MAX_MONEY!r} THEN CAST(round(amount * 100) AS BIGINT) ELSE 0 END) AS BIGINT) AS sum_cents
+FROM accepted GROUP BY account_id""")
+def stream_accounts(spark, d):
+    """The account totals that the next batch of the stream would start from."""
+    return _streamed(spark, d).state_before(len(SLICES) + 1)

@@ -97,6 +97,17 @@ def test_a_run_writes_every_tier_and_may_be_repeated(spark, tmp_dir):
     assert n == R.erase(R.read_cold(spark, cold, archive.schema), req).count() < 3
 
 
+def test_a_dry_run_knows_the_holds(spark, tmp_dir):
+    main = _main(spark)
+    archive = main.limit(0).withColumn("archived_at", F.to_timestamp_ntz(F.lit(AS_OF)))
+    holds = main.where("transaction_id = 'purge'").select("account_id")
+    said = R.run(main, archive, tmp_dir, AS_OF, holds=holds, dry_run=True).first()
+    assert said.purged_count == 0 and R.run(main, archive, tmp_dir, AS_OF, holds=holds).first() == said
+    # an archive that holds the day's copies already: nothing is copied again
+    again = spark.read.parquet(tmp_dir + "/archive/version=20240630")
+    assert R.run(main, again, tmp_dir + "/again", AS_OF, holds=holds).first().archived_count == 0
+
+
 def test_cold_files_with_one_json_array(spark, tmp_dir):
     import gzip
     import os
