@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -126,3 +128,26 @@ def percent_text(score) -> Column:
 
 def minute_text(ts="timestamp") -> Column:
     return F.date_format(col(ts), "yyyy-MM-dd HH:mm")
+
+
+def chi_square_p(x: Column, df: Column) -> Column:
+    """P(X > x) of a chi-square variable with ``df`` degrees of freedom (1 where df is 0).
+
+    1 minus the lower incomplete gamma series y^a e^-y / Gamma(a+1) * sum of y^n / ((a+1)..(a+n)) with a = df/2, y = x/2;
+    0 where Chernoff's bound is under e^-40, which also bounds the terms needed."""
+    a, y = df / F.lit(2.0), x / F.lit(2.0)
+    half = F.pmod(df, F.lit(2)) == 1
+    # ln Gamma(a+1): the factors a, a-1, .. down to 1 or 1/2
+    steps = F.sequence(F.lit(1).cast("long"), F.ceil(a))
+    log_gamma = F.aggregate(steps, F.lit(0.0), lambda s, i: s + F.log(i - F.when(half, 0.5).otherwise(0.0)))
+    log_gamma = log_gamma + F.when(half, 0.5 * F.log(F.lit(math.pi))).otherwise(0.0)
+    n = F.ceil(F.greatest(y - a, F.lit(0.0)) + 12 * F.sqrt(y + a) + 60)
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
+
+    def add(s, i):
+        term = s["term"] * y / (a + i)
+        return F.struct(term.alias("term"), (s["sum"] + term).alias("sum"))
+    series = F.aggregate(F.sequence(F.lit(1).cast("long"), n), start, add, lambda s: s["sum"])
+    far = (y > a) & (y - a - a * F.log(y / a) > 40)
+    return (F.when((df <= 0) | (x <= 0), F.lit(1.0)).when(far, F.lit(0.0))
+             .otherwise(F.greatest(F.lit(1.0) - F.exp(a * F.log(y) - y - log_gamma) * series, F.lit(0.0))))

@@ -2,18 +2,21 @@
 (compressed JSON files) -> purge (P1-P8, J3-J8, U2, F9, A2, S7, S8).
 
 Every step is a plain DataFrame plan over the tables (anti/semi joins,
-filtered aggregates). Tables are immutable here: a purge or erasure
-produces the new version of a table, which the caller writes to a new
-location and then swaps in (there is no MERGE/DELETE table format).
+filtered aggregates) that gives the new version of a table. On stored
+tables ``erase_cold``, ``purge_months`` and ``restore_months`` rewrite only the
+partition folders concerned.
 """
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskflow import constants as C
-from riskflow.session import reliable, ts_lit
+from riskflow.session import reliable, stored, ts_lit
+from riskflow.sources.tables import replace_folders, write_partitioned
 
 # bytes per row used by the storage estimate (hot / warm rows; cold rows
 # before a 3:1 gzip ratio)
@@ -22,6 +25,8 @@ WARM_ROW_BYTES = 500
 COLD_ROW_BYTES = 300
 COLD_COMPRESSION = 3
 COLD_TS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+COLD_OPTIONS = {"compression": "gzip", "timestampNTZFormat": COLD_TS}
+COLD_BUCKETS = 64            # folders of an export's account list
 
 
 def cutoff(as_of: str, days: int) -> Column:
@@ -87,27 +92,49 @@ def export_cold(archive: DataFrame, base_path: str, as_of: str, archive_days: in
     """Gzip JSON-lines export of the cold rows under
     ``<base>/cutoff=YYYYMMDD`` (overwrite per cutoff: re-running the export
     for the same cutoff is idempotent). Rows are range-partitioned on the
-    timestamp so the files are ordered and the sort is distributed.
-    Returns (row count, path); nothing is written on a dry run or when no
-    row qualifies."""
+    timestamp so the files are ordered and the sort is distributed; each range
+    is a folder ``slice=N``, and ``_accounts`` tells in which slices an account
+    has rows (``erase_cold``). Returns (row count, path); nothing is written on
+    a dry run or when no row qualifies."""
     rows = cold_candidates(archive, as_of, archive_days)
     n = rows.count()
     if dry_run or n == 0:
         return n, ""
     day = as_of[:10].replace("-", "")
     path = f"{base_path.rstrip('/')}/cutoff={day}"
-    (rows.repartitionByRange("timestamp", "transaction_id")
-         .sortWithinPartitions("timestamp", "transaction_id")
-         .write.mode("overwrite").option("compression", "gzip")
-         .option("timestampNTZFormat", COLD_TS).json(path))
+    (rows.repartitionByRange("timestamp", "transaction_id").withColumn("slice", F.spark_partition_id())
+         .sortWithinPartitions("slice", "timestamp", "transaction_id")
+         .write.mode("overwrite").options(**COLD_OPTIONS).partitionBy("slice").json(path))
+    pairs = archive.sparkSession.read.schema("account_id string").json(path).select(*_account_key(), "slice").distinct()
+    (pairs.repartitionByRange("bucket", "account", "slice").sortWithinPartitions("bucket", "account", "slice")
+          .write.partitionBy("bucket").parquet(f"{path}/_accounts"))
     return n, path
 
 
+def _account_key() -> list[Column]:
+    key = F.xxhash64("account_id")
+    return [F.pmod(key, F.lit(COLD_BUCKETS)).cast("int").alias("bucket"), key.alias("account")]
+
+
+def erase_cold(spark, path: str, schema, requests: DataFrame) -> list[str]:
+    """J8 in place: the accounts in ``requests`` leave the export at ``path`` and its account list. Only slices that
+    hold one of them are read and rewritten, all other files stay byte for byte. Data go first, so a run that was
+    cut short finds its slices again. Returns the slices rewritten. Rows without an account stay."""
+    asked = reliable(requests.where(F.col("account_id").isNotNull()).select("account_id").distinct())
+    keys = asked.select(*_account_key()).distinct()
+    hit = reliable(spark.read.parquet(f"{path}/_accounts").join(keys, ["bucket", "account"], "left_semi").select("bucket", "slice").distinct())
+    done = replace_folders(spark, path, ["slice"], hit, lambda rows: erase(rows, asked), ["timestamp", "transaction_id"],
+                           "json", schema, COLD_OPTIONS)
+    replace_folders(spark, f"{path}/_accounts", ["bucket"], hit, lambda rows: rows.join(keys, ["bucket", "account"], "left_anti"),
+                    ["account", "slice"])
+    return done
+
+
 def read_cold(spark, path: str, schema, array: bool = False) -> DataFrame:
     """Read an export back: JSON lines, or with ``array`` files that hold one JSON
     array each (such a file is read by one task)."""
     return (spark.read.schema(schema).option("multiLine", array)
-                 .option("timestampNTZFormat", COLD_TS).json(path))
+                 .option("timestampNTZFormat", COLD_TS).json(path).select(*[f"`{f.name}`" for f in schema.fields]))
 
 
 def purge_keep(archive: DataFrame, as_of: str, purge_days: int = C.PURGE_DAYS,
@@ -138,6 +165,26 @@ def purged_rows(archive: DataFrame, as_of: str, purge_days: int = C.PURGE_DAYS,
     return old if holds is None else _held(old, holds).where("_held is null").select(*archive.columns)
 
 
+def purge_months(spark, path: str, as_of: str, purge_days: int = C.PURGE_DAYS, holds: DataFrame | None = None) -> list[str]:
+    """P4 (+J7) on a table stored by month (S10): only months that begin before the purge cutoff are read and rewritten,
+    and go whole where nothing stays. Returns the months touched."""
+    edge = datetime.fromisoformat(as_of) - timedelta(days=purge_days)
+    old = F.struct("year", "month") <= F.struct(F.lit(edge.year), F.lit(edge.month))
+    months = spark.read.parquet(path).where(F.col("year") <= edge.year).where(old).select("year", "month").distinct()
+    return replace_folders(spark, path, ["year", "month"], months, lambda rows: purge_keep(rows, as_of, purge_days, holds),
+                           ["timestamp", "transaction_id"])
+
+
+def restore_months(spark, path: str, requested: DataFrame, source: DataFrame) -> None:
+    """J6 on a table stored by month: requested rows that the table lacks are appended to their months, no file is rewritten;
+    one copy of an id (the least row), and none on a second run."""
+    table = spark.read.parquet(path)
+    cols = [c for c in table.columns if c not in ("transaction_id", "year", "month")]
+    fresh = restore(requested, source, table)[0].groupBy("transaction_id").agg(F.min(F.struct(*cols)).alias("_r"))
+    write_partitioned(stored(fresh.select("transaction_id", "_r.*"), "restored"), path, mode="append")
+    spark.catalog.refreshByPath(path)
+
+
 def dry_run(main: DataFrame, archive: DataFrame, as_of: str, retention_days: int = C.RETENTION_DAYS,
             archive_days: int = C.ARCHIVE_DAYS, purge_days: int = C.PURGE_DAYS, holds: DataFrame | None = None) -> DataFrame:
     """P5: what each step would do, counts only, as scalar subqueries; rows under legal hold stay."""

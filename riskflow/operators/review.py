@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskflow import constants as C
 from riskflow.functions import exprs as X
+from riskflow.session import reliable
+from riskflow.sources.tables import replace_folders
 
 
 def check_page_args(limit: int = 100, offset: int = 0, min_score: float | None = None,
@@ -89,6 +91,15 @@ def status_update(base: DataFrame, updates: DataFrame, key: str = "transaction_i
     return updated, matched, unmatched, invalid
 
 
+def update_months(spark: SparkSession, path: str, updates: DataFrame, key: str = "transaction_id", order: str | None = None) -> list[str]:
+    """J5 on a table stored by month (S10): the ids' months are found by a scan of the key alone, and only those are
+    read and rewritten. Returns the months touched."""
+    ids = reliable(updates.where(F.upper("new_status").isin(list(C.STATUSES))).select(key).distinct())
+    months = spark.read.parquet(path).select(key, "year", "month").join(ids, key, "left_semi")
+    return replace_folders(spark, path, ["year", "month"], months, lambda rows: status_update(rows, updates, key, order)[0],
+                           ["timestamp", key])
+
+
 def review_queue(anoms: DataFrame, amount_range: tuple[float, float] | None = None,
                  reason: str = "All", statuses: list[str] | None = None) -> DataFrame:
     """amount in [lo, hi]; reason unless 'All'; status in list unless 'All'.

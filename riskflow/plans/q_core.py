@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from riskflow.functions import exprs as X
@@ -9,8 +11,9 @@ from riskflow.operators import features, ingest, review, rules, score
 from riskflow.plans import views
 from riskflow.plans.registry import query
 from riskflow.plans.sqlparts import ARRIVAL_ORDER, BASE, REQ, TX, VALIDATED, flags, hist, scored, with_base
+from riskflow.session import reliable, scratch_path
 from riskflow.sources import adapters
-from riskflow.sources.tables import projected_scan
+from riskflow.sources.tables import projected_scan, write_partitioned
 
 TS_FMT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 TS_FMT_SQL = "'%Y-%m-%d %H:%M:%S.%f'"
@@ -303,6 +306,16 @@ def q_status_update(spark, d):
     return views.reviewed(spark, d).select("transaction_id", "status")
 
 
+@query("status_update_months", with_base("SELECT transaction_id, status FROM reviewed"))
+def q_status_update_months(spark, d):
+    """J5 on the stored monthly layout: only the months of updated rows are rewritten."""
+    path = scratch_path(spark, f"scored-{uuid.uuid4().hex[:12]}")
+    write_partitioned(views.scored(spark, d), path)
+    table = spark.read.parquet(path)
+    review.update_months(spark, path, reliable(score.review_decisions(table)))
+    return score.legacy_rows_without_status(spark.read.parquet(path)).select("transaction_id", "status")
+
+
 @query("status_update_report", with_base("""SELECT d.transaction_id, upper(d.new_status) AS new_status,
        CAST(count(s.transaction_id) AS BIGINT) AS matched_rows
 FROM (SELECT * FROM decisions WHERE new_status IS NOT NULL) d

@@ -368,6 +368,27 @@ def q_dataset_drift(spark, d):
     return drift.dataset_drift(drift.feature_drift_psi(ref, cur, DRIFT_FEATS))
 
 
+CATEGORY_FEATS = ["merchant_category", "location"]
+
+
+@query("category_drift", f"""WITH {TX},
+l AS (SELECT "timestamp" < TIMESTAMP '{SPLIT_TS}' AS old, 'merchant_category' AS feature, merchant_category AS value FROM tx
+      UNION ALL SELECT "timestamp" < TIMESTAMP '{SPLIT_TS}', 'location', location FROM tx),
+g AS (SELECT feature, value, count(*) FILTER (WHERE old) AS a, count(*) FILTER (WHERE NOT old) AS b FROM l WHERE old IS NOT NULL GROUP BY 1, 2),
+t AS (SELECT *, CAST(sum(a) OVER f AS DOUBLE) AS na, CAST(sum(b) OVER f AS DOUBLE) AS nb, count(*) OVER f AS k FROM g WINDOW f AS (PARTITION BY feature)),
+e AS (SELECT *, na * (a + b) / (na + nb) AS ea, nb * (a + b) / (na + nb) AS eb, a / na AS pa, b / nb AS pb FROM t),
+s AS (SELECT feature, any_value(k) AS k, any_value(na) AS na, sum((a - ea) * (a - ea) / ea + (b - eb) * (b - eb) / eb) AS chi2,
+             sqrt(greatest(sum(CASE WHEN pa > 0 THEN pa * log2(2 * pa / (pa + pb)) ELSE 0 END
+                             + CASE WHEN pb > 0 THEN pb * log2(2 * pb / (pa + pb)) ELSE 0 END) / 2, 0)) AS js FROM e GROUP BY feature),
+p AS (SELECT *, CASE WHEN chi2 <= 0 OR k = 1 THEN 1 WHEN chi2 > 2 * k + 500 THEN 0 ELSE greatest(1 - list_sum(list_transform(range(0, 2000),
+        lambda n: exp(((k - 1) / 2.0 + n) * ln(chi2 / 2) - chi2 / 2 - lgamma((k - 1) / 2.0 + n + 1)))), 0) END AS p FROM s)
+SELECT feature, k AS n_categories, round(chi2, 6) AS chi2, round(p, 6) AS p_value, round(js, 6) AS js_distance,
+       CASE WHEN na <= 1000 THEN p < 0.05 ELSE js >= 0.1 END AS drifted FROM p""")
+def q_category_drift(spark, d):
+    t, cut = views.tx(spark, d), F.to_timestamp_ntz(F.lit(SPLIT_TS))
+    return drift.category_drift(t.where(F.col("timestamp") < cut), t.where(F.col("timestamp") >= cut), CATEGORY_FEATS)
+
+
 # ---------------------------------------------------------------- lifecycle
 
 RUNS_SQL = STORE.replace("WITH", "WITH RECURSIVE", 1) + f""",

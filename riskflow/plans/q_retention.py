@@ -11,6 +11,7 @@ from riskflow.plans.registry import query
 from riskflow.plans.sqlparts import CATS
 from riskflow.session import scratch_path, ts_lit
 from riskflow.sources import adapters
+from riskflow.sources.tables import write_partitioned
 
 AS_OF = adapters.ORDERS_AS_OF          # 2001-08-02
 PREV_AS_OF = "2001-02-01 00:00:00"     # the previous archival run
@@ -252,3 +253,48 @@ FROM arch WHERE "timestamp" < {cut(PURGE)}""")
 def q_purge_audit(spark, d):
     _, _, arch = _state(spark, d)
     return R.purge_audit(R.purged_rows(arch, AS_OF, PURGE), AS_OF, f"retention policy {PURGE} days")
+
+
+@query("cold_erasure", ERASE_SQL + """
+SELECT * FROM cold WHERE account_id NOT IN (SELECT account_id FROM req)""")
+def q_cold_erasure(spark, d):
+    """J8 in the cold tier: only the slices that hold a requested account are rewritten."""
+    _, _, arch = _state(spark, d)
+    _, path = R.export_cold(arch, scratch_path(spark, f"cold-{uuid.uuid4().hex[:12]}"), AS_OF, WARM)
+    if not path:
+        return arch.limit(0)
+    R.erase_cold(spark, path, arch.schema, _erasure_requests(spark, d))
+    return R.read_cold(spark, path, arch.schema)
+
+
+def _by_month(spark, rows):
+    path = scratch_path(spark, f"months-{uuid.uuid4().hex[:12]}")
+    write_partitioned(rows, path)
+    return path
+
+
+@query("purge_months", WITH_ARCH + f"""
+SELECT *, year("timestamp") AS year, month("timestamp") AS month FROM arch
+WHERE "timestamp" >= {cut(PURGE)} OR account_id IN (SELECT account_id FROM holds)""")
+def q_purge_months(spark, d):
+    """P4 and J7 on the stored monthly layout."""
+    main, _, arch = _state(spark, d)
+    path = _by_month(spark, arch)
+    R.purge_months(spark, path, AS_OF, PURGE, _holds(main))
+    out = spark.read.parquet(path)
+    return out.withColumns({c: F.col(c).cast("long") for c in ("year", "month")})
+
+
+@query("restore_months", ALL_TIERS_SQL + """
+SELECT transaction_id, account_id, "timestamp", amount FROM warm
+UNION ALL
+SELECT transaction_id, account_id, "timestamp", amount FROM cold WHERE account_id IN (SELECT account_id FROM holds)
+  AND transaction_id NOT IN (SELECT transaction_id FROM warm)""")
+def q_restore_months(spark, d):
+    """J6 into the stored monthly layout, sent twice."""
+    main, _, warm, cold, _ = _tiers(spark, d)
+    path = _by_month(spark, warm)
+    requested = cold.join(_holds(main), "account_id", "left_semi").select("transaction_id")
+    for _ in range(2):
+        R.restore_months(spark, path, requested, cold)
+    return spark.read.parquet(path).select("transaction_id", "account_id", "timestamp", "amount")

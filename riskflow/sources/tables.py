@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from riskflow.session import stored
+
 DRIVER_TABLES = ["region", "nation", "customer", "supplier", "part", "orders",
                  "lineitem", "events", "documents", "embeddings", "pages",
                  "benchmark", "labels", "conversations"]
@@ -63,3 +66,33 @@ def write_partitioned(df: DataFrame, path: str, ts: str = "timestamp", mode: str
     out = df.withColumn("year", F.year(ts)).withColumn("month", F.month(ts))
     (out.repartitionByRange(ts).sortWithinPartitions(ts)
         .write.mode(mode).partitionBy("year", "month").parquet(path))
+
+
+def replace_folders(spark: SparkSession, path: str, parts: list[str], touched: DataFrame, change: Callable[[DataFrame], DataFrame],
+                    order: list[str], fmt: str = "parquet", schema=None, options: dict | None = None) -> list[str]:
+    """Rewrite the partition folders (of columns ``parts``) that ``touched`` names; the files of all others stay as they are.
+
+    Only these folders are read. What ``change`` makes of their rows is stored whole first, then written with
+    dynamic partition overwrite; folders left without rows are removed. Running it again after a failure gives the
+    same table as long as ``change`` gives the same rows for changed ones. Returns the folders' names."""
+    keys = [tuple(r) for r in touched.select(*parts).distinct().collect()]        # names of folders: no more than a listing
+    names = [_folder(parts, k) for k in keys]
+    if not names:
+        return []
+    reader = spark.read.format(fmt).options(**(options or {})).option("basePath", path)
+    rows = (reader.schema(schema) if schema else reader).load([f"{path}/{n}" for n in names])
+    after = stored(change(rows).select(*rows.columns), "folders")
+    left = {_folder(parts, tuple(r)) for r in after.select(*parts).distinct().collect()}
+    if left:
+        (after.repartitionByRange(*parts, *order).sortWithinPartitions(*parts, *order).write.mode("overwrite").format(fmt)
+              .options(**(options or {})).option("partitionOverwriteMode", "dynamic").partitionBy(*parts).save(path))
+    jvm = spark.sparkContext._jvm
+    for n in sorted(set(names) - left):
+        gone = jvm.org.apache.hadoop.fs.Path(f"{path}/{n}")
+        gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
+    spark.catalog.refreshByPath(path)
+    return sorted(names)
+
+
+def _folder(parts: list[str], key: tuple) -> str:
+    return "/".join(f"{p}={'__HIVE_DEFAULT_PARTITION__' if v is None else v}" for p, v in zip(parts, key))

@@ -122,3 +122,28 @@ def test_python_style_fixed_format(spark):
         f"{0.7 - 0.0625:.3f}", "0.125", "2.675"]
     assert [r.t for r in df.select(X.fixed("x", 2).alias("t")).collect()] == [
         f"{0.7 - 0.0625:.2f}", f"{0.125:.2f}", f"{2.675:.2f}"]
+
+
+def test_chi_square_tail_against_known_values(spark):
+    known = [(3.841458820694124, 1, 0.05), (6.634896601021213, 1, 0.01), (5.991464547107979, 2, 0.05), (9.487729036781154, 4, 0.05),
+             (16.918977604620448, 9, 0.05), (18.307038053275146, 10, 0.05), (124.34211340400407, 100, 0.05), (135.80672317102676, 100, 0.01),
+             (0.0, 3, 1.0), (1.0, 0, 1.0), (1e9, 10, 0.0)]
+    df = spark.createDataFrame(known, "x double, df int, p double")
+    for r in df.select("*", X.chi_square_p(F.col("x"), F.col("df")).alias("got")).collect():
+        assert abs(r.got - r.p) < 1e-9, r
+
+
+def test_category_drift_by_hand(spark):
+    from math import log2, sqrt
+    ref = spark.createDataFrame([("a", "x")] * 30 + [("b", "x")] * 10, "c string, d string")
+    cur = spark.createDataFrame([("a", "x")] * 10 + [(None, "x")] * 10, "c string, d string")
+    got = {r.feature: r for r in drift.category_drift(ref, cur, ["c", "d"]).collect()}
+    a, b = [30, 10, 0], [10, 0, 10]
+    chi = sum((n - t * (x + y) / 60) ** 2 / (t * (x + y) / 60) for x, y in zip(a, b) for n, t in ((x, 40), (y, 20)))
+    half = lambda p, q: sum(x * log2(2 * x / (x + y)) for x, y in zip(p, q) if x)
+    p, q = [x / 40 for x in a], [y / 20 for y in b]
+    assert abs(got["c"].chi2 - chi) < 1e-6 and abs(got["c"].js_distance - sqrt((half(p, q) + half(q, p)) / 2)) < 1e-6
+    assert got["c"].n_categories == 3 and got["c"].drifted
+    assert (got["d"].p_value, got["d"].js_distance, got["d"].drifted) == (1.0, 0.0, False)
+    none = drift.category_drift(ref, cur.limit(0), ["c"]).first()
+    assert none.chi2 is None and none.drifted is None and drift.category_drift(ref.limit(0), cur.limit(0), ["c"]).count() == 0

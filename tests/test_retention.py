@@ -116,3 +116,90 @@ def test_cold_files_with_one_json_array(spark, tmp_dir):
         f.write('[{"transaction_id": "a", "amount": 1.5},\n {"transaction_id": "b", "amount": 2.5}]')
     got = R.read_cold(spark, tmp_dir + "/arr", ARCHIVE, array=True).select("transaction_id", "amount").collect()
     assert sorted(map(tuple, got)) == [("a", 1.5), ("b", 2.5)]
+
+
+def _files(path):
+    """relative name -> content of a stored table's data files."""
+    import os
+    out = {}
+    for folder, _, names in os.walk(path):
+        for n in names:
+            if n.startswith("part-"):
+                full = os.path.join(folder, n)
+                out[os.path.relpath(full, path)] = open(full, "rb").read()
+    return out
+
+
+def _cold_rows(spark):
+    rows = spark.range(600).select(
+        F.format_string("t%04d", "id").alias("transaction_id"),
+        F.when(F.col("id") == 599, None).when(F.col("id") < 20, "EARLY").when(F.col("id") < 90, "ALONE").otherwise(
+            F.format_string("ACC_%d", F.col("id") % 7)).alias("account_id"),
+        (F.to_timestamp_ntz(F.lit("2020-01-01 00:00:00")) + F.make_dt_interval(days=F.col("id").cast("int"))).alias("timestamp"))
+    return rows.withColumn("amount", F.lit(1.5))
+
+
+def test_cold_erasure_rewrites_only_the_slices_concerned(spark, tmp_dir):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = _cold_rows(spark)
+        n, path = R.export_cold(rows, tmp_dir + "/cold", AS_OF, 0)
+        before = _files(path)
+        slices = {f.split("/")[0] for f in before if f.startswith("slice=")}
+        assert n == 600 and len(slices) > 3
+        asked = spark.createDataFrame([("EARLY",), ("EARLY",), (None,), ("NOBODY",)], "account_id string")
+        done = R.erase_cold(spark, path, rows.schema, asked)
+        after = _files(path)
+        same = {f for f in before if f.startswith("slice=") and after.get(f) == before[f]}
+        assert done == ["slice=0"] and same == {f for f in before if f.startswith("slice=") and not f.startswith("slice=0/")}
+        back = R.read_cold(spark, path, rows.schema)
+        assert back.exceptAll(rows.where("account_id <> 'EARLY' OR account_id IS NULL")).count() == 0 and back.count() == 580
+        assert R.erase_cold(spark, path, rows.schema, asked) == [] and _files(path) == after       # nothing left to do
+        # a slice that loses all its rows goes; the account list forgets its account too
+        every = spark.createDataFrame([("ALONE",), *((f"ACC_{i}",) for i in range(7))], "account_id string")
+        assert len(R.erase_cold(spark, path, rows.schema, every)) == len(slices)
+        assert [r.transaction_id for r in R.read_cold(spark, path, rows.schema).collect()] == ["t0599"]
+        assert R.erase_cold(spark, path, rows.schema, asked.limit(0)) == []
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_months_without_changes_keep_their_files(spark, tmp_dir):
+    from riskflow.operators import review
+    from riskflow.sources.tables import write_partitioned
+    rows = _cold_rows(spark).withColumn("status", F.lit("NEW"))
+    rows = rows.unionByName(spark.createDataFrame([("none", "ACC_1", None, 1.0, "NEW")], ", ".join(f"{c} {t}" for c, t in rows.dtypes)))
+    path = tmp_dir + "/months"
+    write_partitioned(rows, path)
+    before = _files(path)
+    updates = spark.createDataFrame([("t0003", "fraud"), ("t0400", "closed?"), ("none", "FRAUD"), ("lost", "FRAUD")],
+                                    "transaction_id string, new_status string")
+    touched = review.update_months(spark, path, updates)
+    null = "__HIVE_DEFAULT_PARTITION__"
+    assert touched == ["year=2020/month=1", f"year={null}/month={null}"]
+    after = _files(path)
+    assert {f for f in before if after.get(f) != before[f]} == {f for f in before if f.rsplit("/", 1)[0] in touched}
+    got = {r.transaction_id: r.status for r in spark.read.parquet(path).collect()}
+    assert len(got) == 601 and {k for k, v in got.items() if v != "NEW"} == {"t0003", "none"}
+    # the purge: whole months before the edge go, the month of the edge is cut, rows without a time and held accounts stay
+    holds = spark.createDataFrame([("EARLY",)], "account_id string")
+    gone = R.purge_months(spark, path, "2020-04-11 00:00:00", 1, holds)
+    assert gone == [f"year=2020/month={m}" for m in (1, 2, 3, 4)]
+    left = spark.read.parquet(path)
+    want = rows.where("timestamp IS NULL OR account_id = 'EARLY' OR timestamp >= '2020-04-10'").select("transaction_id")
+    assert sorted(r[0] for r in left.select("transaction_id").collect()) == sorted(r[0] for r in want.collect())
+    assert not any(f.startswith(("year=2020/month=2/", "year=2020/month=3/")) for f in _files(path))
+    # restored once, however often it is asked, by new files alone
+    kept = _files(path)
+    for _ in range(2):
+        R.restore_months(spark, path, rows.where("account_id = 'ALONE'"), rows.unionByName(rows))
+    assert spark.read.parquet(path).count() == want.count() + 70
+    assert all(_files(path)[f] == kept[f] for f in kept)
+
+
+def test_purge_of_months_reads_old_months_alone(spark, tmp_dir):
+    from riskflow.sources.tables import write_partitioned
+    path = tmp_dir + "/plan"
+    write_partitioned(_cold_rows(spark), path)
+    assert R.purge_months(spark, path, "2019-06-01 00:00:00", 1) == []
+    assert spark.read.parquet(path).count() == 600
