@@ -1,7 +1,7 @@
 """Shards along a Hilbert curve over several metadata dimensions.
 
 Each dimension is quantised to 2^BITS buckets of about equal row counts (approximate
-quantiles of all rows; strings by the number that their first bytes make), the cell's
+quantiles of all rows; strings by exact cuts between whole values), the cell's
 index on the Hilbert curve orders the rows, and runs of that order become shards. Rows
 near in every dimension so share a shard, and the shards' minima and maxima let a
 reader skip files on any of the dimensions.
@@ -17,20 +17,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskflow.llm.common import materialise, partitions
+from riskflow.operators.common import distributed_prefix
 
 BITS = 5
 ACCURACY = 10_000
-PREFIX = 7               # bytes of a string that its number is made of
 
 
-def as_number(col: str, kind: str) -> Column:
-    """An order-preserving number for a column; null comes first."""
+def as_number(rows: DataFrame, col: str, kind: str) -> Column:
+    """An order-preserving number for a column; null comes first. A string's number is how many of the cuts it reaches."""
     if kind in ("string", "binary"):
-        raw = F.substring(F.rpad(F.hex(F.substring(F.col(col).cast("binary"), 1, PREFIX)), 2 * PREFIX, "0"), 1, 2 * PREFIX)
-        return F.coalesce(F.conv(raw, 16, 10).cast("long"), F.lit(-1).cast("long"))
+        cuts = string_cuts(rows, col)
+        reached = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(col))) if cuts else F.lit(0)
+        return F.when(F.col(col).isNull(), -1).otherwise(reached).cast("double")
     return F.coalesce(F.col(col).cast("double"), F.lit(float("-inf")))
 
 
+def string_cuts(rows: DataFrame, col: str) -> list:
+    """Up to 2^BITS values that cut the rows in the order of whole values into nearly equal runs: the least value of each
+    run, where a value falls into the run of its first row. Values are counted first, so a frequent one is one row."""
+    line = distributed_prefix(rows.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("v")).agg(F.count("*").alias("n")), ["v"], ["n"])
+    total = line.agg(F.sum("n").alias("n")).scalar()
+    run = F.floor(F.col("cum_n") * (1 << BITS) / total)
+    return sorted(r.v for r in line.groupBy(run.alias("run")).agg(F.min("v").alias("v")).collect())
+
+
 def curve_index(cells: np.ndarray, bits: int) -> np.ndarray:
     """Hilbert indices of (n, d) cells below 2^bits: Gray-code un-rotation from the top bit
     down (Skilling's transform), then the bits of all dimensions interleaved."""
@@ -77,12 +87,16 @@ def shards(rows: DataFrame, dims: list[str], key: str, size: str | None = None,
     Without ``size`` the row counts of two shards differ by one at most; with the name of
     a size column the shards hold near equal sums of it. Ties on the curve go by ``key``,
     then by the rest of the row, so equal cells and hot values split freely. Nulls come
-    first in their dimension; an empty table gives an empty table. Only ``rows``'
-    columns other than these three may be used; pass narrow rows, not texts.
+    first in their dimension; an empty table gives an empty table. Columns named like these
+    three or like the inner ones (_d0 and so on, _tie, _at, _part, _row, _low, _n0, _w0, _ns,
+    _ws) are refused; map columns too, as rows are hashed. Pass narrow rows, not texts.
     """
     spark, types = rows.sparkSession, dict(rows.dtypes)
     names = [f"_d{i}" for i in range(len(dims))]
-    wide = rows.withColumns({n: as_number(c, types[c]) for n, c in zip(names, dims)})
+    taken = {"curve", "shard", "slot", "_tie", "_at", "_part", "_row", "_low", "_n", "_w", "_n0", "_w0", "_ns", "_ws", *names} & {c.lower() for c in rows.columns}
+    if taken or any("map<" in t for t in types.values()):
+        raise ValueError(f"columns that cannot be sharded: {sorted(taken) or 'maps'}")
+    wide = rows.withColumns({n: as_number(rows, c, types[c]) for n, c in zip(names, dims)})
     steps = [i / (1 << BITS) for i in range(1, 1 << BITS)]
     got = wide.agg(*[F.percentile_approx(n, F.array(*map(F.lit, steps)), F.lit(ACCURACY)).alias(n) for n in names]).first()
     bounds = [sorted(got[n] or []) for n in names]   # a fixed number of cuts; a frequent value takes several and so its share of cells

@@ -243,6 +243,25 @@ def test_hilbert_shards(spark, docs, no_docs):
     assert sum(r.v * (r.b - r.a) for r in seen) < 0.35 * 8 * 4 * 4000
 
 
+def test_hilbert_strings_by_whole_values(spark, monkeypatch):
+    # long common starts, a value with a third of the rows, supplementary characters, empty and null
+    values = [f"https://example.org/a/{i:03d}" for i in range(90)] + ["https://example.org/a/045"] * 60 + ["", "\U0001F600", "\ufffd", None, "x" * 5000]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "k long, v string").repartition(5)
+    cuts = hilbert.string_cuts(rows, "v")
+    line = sorted((v for v in values if v is not None), key=lambda v: v.encode())
+    runs = {}
+    for at, v in enumerate(line):
+        runs.setdefault(line.index(v) * 32 // len(line), v)
+    assert sorted(cuts, key=lambda v: v.encode()) == [runs[r] for r in sorted(runs)]
+    got = {r.v: r.x for r in rows.select("v", hilbert.as_number(rows, "v", "string").alias("x")).collect()}
+    assert got[None] == -1 and all(got[v] == sum(c.encode() <= v.encode() for c in cuts) for v in line)
+    # a reader of one value finds it in few shards although all values start alike
+    seen = hilbert.shards(rows.withColumn("x", F.col("k") * 37 % 155), ["v"], "k", count=8).groupBy("v").agg(F.count_distinct("shard").alias("s")).collect()
+    assert sum(r.s for r in seen if r.v != "https://example.org/a/045") <= len(seen) + 8
+    with pytest.raises(ValueError):
+        hilbert.shards(rows.withColumn("_at", F.lit(1)), ["v"], "k")
+
+
 def test_page_text():
     page = """<!DOCTYPE html><head><title>T &amp; x</title><style>p{}</style><script>var a = "</p><p>no";</script></head>
       <body class="has-sidebar"><nav><ul><li><a href="/">Home</a></ul></nav><header>Site</header><div id="cookie-notice">Cookies</div>
