@@ -1,7 +1,8 @@
 """Main text of web pages by structure and by what a host repeats.
 
 A page becomes blocks of text in page order. Blocks inside elements that are never main
-text (navigation, footers, forms, adverts, comments and so on) are boilerplate by name.
+text (navigation, footers, forms, adverts, comments and so on) are boilerplate by name;
+class and id names are judged whole.
 A page with an ``article`` or ``main`` element keeps what stands in it, also where other
 pages quote it, and nothing outside. For the others names do not suffice: the blocks
 outside such elements form a page's token stream, the streams of a host's pages are
@@ -34,29 +35,47 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ENDS_P = set("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 MAIN = {"article", "main"}
-NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|advertisement|advertising|banner|sponsor|sponsored|promo|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|"
-    r"header|masthead|footer|foot|sidebar|side|aside|widget|related|share|sharing|social|cookie|cookies|consent|gdpr|notice|notices|popup|modal|"
-    r"newsletter|subscribe|subscription|signup|login|comment|comments|discussion|replies|disqus|pager|pagination|toolbar|copyright|legal)(?:$|[\s_-])", re.I)
+NAMES = set("ad ads advert advertisement advertising banner sponsor sponsored promo nav navbar navigation menu breadcrumb breadcrumbs header masthead footer foot "
+            "sidebar side aside widget related share sharing social cookie cookies consent gdpr notice notices popup modal newsletter subscribe subscription "
+            "signup login comment comments discussion replies disqus pager pagination toolbar copyright legal".split())
+TOPICS = set("header discussion legal copyright".split())          # headings and subjects, where they stand within an article
+LAYOUT = set("list item items box area block section links link bar wrap wrapper container inner outer group body text content title heading form button buttons icon icons "
+             "top bottom left right main site page global primary secondary sticky fixed mobile desktop post posts article articles stories entry row col column panel "
+             "region slot unit zone thread message overlay".split())
+STATES = set("no not non has is in with without on off".split())   # "no-sidebar" is no sidebar
+REPLIES = set("comment comments replies disqus".split())
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "form", "menu", "menubar", "toolbar"}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]+|=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|[^\s>\"'][^\s>]*)?)*+)(?:>|\Z)", re.S)
+_ATTR = re.compile(r"([^\s/=][^\s/=]*)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s\"'][^\s]*)))?")
 _RAW = {name: re.compile(rf"</{name}\b", re.I) for name in ("script", "style", "noscript", "template", "textarea", "title", "iframe")}
 _SPACE = re.compile(r"\s+")
 
 
+def _label(name: str, within: bool) -> bool:
+    """Whether one class or id names boilerplate: each of its parts is such a word, a word of layout, a number or a short
+    prefix. So "site-nav-2" and "mw-footer" do, "legal-analysis" and "no-sidebar" do not. Within an article, words that may
+    be its subject or heading are none."""
+    parts = [x.rstrip("0123456789") for x in re.split(r"[-_]+", name.lower())]
+    if any(x in STATES for x in parts) or not all(len(x) < 4 or x in NAMES or x in LAYOUT for x in parts):
+        return False
+    return any(x in NAMES and not (within and x in TOPICS) for x in parts)
+
+
 def _named(tag: str, attrs: str, within: bool = False) -> bool:
     """Whether an element's name or labels say that it is never main text; the header
-    within an article is its heading."""
+    within an article is its heading. An article is boilerplate where its label says
+    that it is a reader's comment, or where it stands in another and has any such label."""
     if tag in NEVER and not (within and tag == "header"):
         return True
     for key, a, b, c in _ATTR.findall(attrs) if attrs else ():
         key, value = key.lower(), a or b or c
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "role" and value.lower() in ROLES:
             return True
-        if key in ("class", "id") and tag not in MAIN and tag not in ("html", "body") and NAMES.search(value):
-            return True
+        if key in ("class", "id") and tag not in ("main", "html", "body"):
+            found = [x for x in value.split() if _label(x, within)]
+            if found and (tag != "article" or within or any(set(re.split(r"[-_]+", x.lower())) & REPLIES for x in found)):
+                return True
     return False
 
 

@@ -275,6 +275,26 @@ def test_page_text():
     assert boilerplate.blocks("<article>cut <p>of") == [("cut", True, False), ("of", True, False)]
 
 
+def test_page_labels_are_judged_whole():
+    def main(page):
+        return [t for t, inside, no in boilerplate.blocks(page) if inside and not no]
+    kept = ["<section id=discussion><p>x</p></section>", "<div class='legal-analysis'>x</div>", "<p title=it's>x</p>", '<p data-id="banner">x</p>',
+            '<p title="class=ad">x</p>', "<div class='no-sidebar has-comments'>x</div>", "<div class='article-header'>x</div>", "<p title='a > b' class=lead>x",
+            '<p title=a"b>x</p>', "<p a==b'>x</p>", "<div class='menuet socialism'>x</div>"]
+    gone = ["<div class=ad>x</div>", "<div class='ad-1'>x</div>", "<div id='related-posts'>x</div>", "<div class='wide comments'>x</div>", "<div class=\"mw-sidebar2\">x</div>",
+            "<article class='comment'>x</article>", "<article id='comment-17'>x</article>", "<p hidden>x</p>", "<div class='legal-notice'>x</div>", "<div CLASS=Cookie-Banner>x</div>",
+            "<div class='post-footer'>x</div>", "<ul class=share-buttons><li>x</ul>"]
+    for part in kept:
+        assert main(f"<article><p>a</p>{part}<p>b</p></article>") == ["a", "x", "b"], part
+    for part in gone:
+        assert main(f"<article><p>a</p>{part}<p>b</p></article>") == ["a", "b"], part
+    # around an article: a page's layout does not drop it, a comment of its own does
+    assert main("<div class='layout has-sidebar'><article class='post category-social'>x</article></div><article class=comment>y</article>") == ["x"]
+    assert main("<aside><article>y</article></aside><main class='header'>x</main>") == ["x"]
+    assert main("<article>a<p title='open>b</article>") == ["a"]           # never closed: the rest of the page is its value
+    assert boilerplate.blocks("<p " + "a=b' " * 20000 + ">x") == [("x", False, False)]
+
+
 def test_main_text(spark):
     note = "Our cookie note repeats on every single page of this host, please do accept it now."
     rows = [(i, f"http://h.com/{i}", f"<div><p>{note}</p><p>{prose(i, 20)}</p></div>") for i in range(4)]
