@@ -67,6 +67,14 @@ def latest_transactions(df: DataFrame, n: int = 10) -> DataFrame:
     return df.orderBy(F.col("timestamp").desc(), F.col("transaction_id").desc()).limit(int(n))
 
 
+def winning_updates(updates: DataFrame, key: str = "transaction_id", order: str | None = None) -> DataFrame:
+    """One (key, new_status) an id: the last by ``order`` among the known statuses (without an
+    order column the greatest status)."""
+    new = F.upper(F.col("new_status"))
+    rank = F.struct(*([F.col(order)] if order else []), new.alias("_s"))
+    return updates.where(new.isin(list(C.STATUSES))).groupBy(key).agg(F.max_by("new_status", rank).alias("new_status"))
+
+
 def status_update(base: DataFrame, updates: DataFrame, key: str = "transaction_id", order: str | None = None):
     """Keyed update of ``status`` (upper-cased) for any matching row.
 
@@ -80,8 +88,7 @@ def status_update(base: DataFrame, updates: DataFrame, key: str = "transaction_i
     new = F.upper(F.col("new_status"))
     known = F.coalesce(new.isin(list(C.STATUSES)), F.lit(False))
     invalid = updates.where(~known)
-    rank = F.struct(*([F.col(order)] if order else []), new.alias("_s"))
-    updates = updates.where(known).groupBy(key).agg(F.max_by("new_status", rank).alias("new_status"))
+    updates = winning_updates(updates, key, order)
     u = updates.select(F.col(key), F.upper(F.col("new_status")).alias("_new"))
     updated = (base.join(u, key, "left")
                    .withColumn("status", F.coalesce(F.col("_new"), F.col("status")))

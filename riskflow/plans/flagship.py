@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from riskflow import constants as C
 from riskflow.operators import review, score
 from riskflow.plans.registry import query
-from riskflow.plans.sqlparts import ARRIVAL_ORDER, REQ, SCORED_COLS, VALIDATED, scored
+from riskflow.plans.sqlparts import ARRIVAL_ORDER, DECISIONS, REQ, SCORED_COLS, VALIDATED, scored
 from riskflow.schema import SCORED_COLUMNS
-from riskflow.session import scratch_path, ts_lit
+from riskflow.session import reliable, scratch_path, ts_lit
 from riskflow.sources import adapters, messages
 from riskflow.streaming import detector
 
@@ -89,3 +89,43 @@ FROM accepted GROUP BY account_id""")
 def stream_accounts(spark, d):
     """The account totals that the next batch of the stream would start from."""
     return _streamed(spark, d).state_before(len(SLICES) + 1)
+
+
+REVIEWED_SQL = f"""WITH {REQ},
+{VALIDATED},
+{scored('accepted', order=ARRIVAL_ORDER)},
+{DECISIONS},
+shown AS (
+  SELECT s.is_anomaly, s.merchant_category, COALESCE(upper(d.new_status), s.status, 'NEW') AS status
+  FROM scored s LEFT JOIN (SELECT * FROM decisions WHERE new_status IS NOT NULL) d ON s.transaction_id = d.transaction_id)"""
+
+
+def _reviewed_stream(spark, d):
+    """The stream's dashboard after two rounds of status updates: travel anomalies are taken up first, then all are decided."""
+    job = _streamed(spark, d)
+    decided = reliable(score.review_decisions(job.table(detector.SCORED)))
+    job.board.update(decided.where("new_status = 'investigated'").withColumn("new_status", F.lit("FRAUD")), 0)
+    job.board.update(decided, 1)
+    return job.board
+
+
+@query("live_kpis", REVIEWED_SQL + """
+SELECT count(*) AS total_transactions, count(*) FILTER (WHERE is_anomaly = 1) AS total_anomalies,
+       round(count(*) FILTER (WHERE is_anomaly = 1) * 100.0 / count(*), 4) AS anomaly_rate_pct FROM shown""")
+def live_kpis(spark, d):
+    """A8 from the counts that the stream keeps."""
+    return _reviewed_stream(spark, d).kpis()
+
+
+@query("live_by_category", REVIEWED_SQL + """
+SELECT merchant_category, count(*) AS count FROM shown WHERE is_anomaly = 1 AND status <> 'DISMISSED' GROUP BY 1""")
+def live_by_category(spark, d):
+    """A9 from the counts, as moved by the status updates."""
+    return _reviewed_stream(spark, d).by_category()
+
+
+@query("live_by_status", REVIEWED_SQL + """
+SELECT status, count(*) AS count FROM shown WHERE is_anomaly = 1 GROUP BY 1""")
+def live_by_status(spark, d):
+    """A10 from the counts, as moved by the status updates."""
+    return _reviewed_stream(spark, d).by_status()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from riskflow import constants as C
@@ -10,8 +12,9 @@ from riskflow.operators import monitor as M
 from riskflow.plans import views
 from riskflow.plans.registry import query
 from riskflow.plans.sqlparts import ARRIVAL_ORDER, REQ, VALIDATED, scored, with_base
-from riskflow.session import reliable
+from riskflow.session import reliable, scratch_path, ts_lit
 from riskflow.sources import adapters
+from riskflow.streaming import alerting
 
 # ---------------------------------------------------------------- SQL helpers
 
@@ -33,6 +36,7 @@ RL = """rl AS (
 
 
 SPAN = (adapters.EVENTS_FROM, adapters.EVENTS_AS_OF)
+ALERT_SLICES = ["2024-01-08 07:13:00", "2024-01-20 00:00:00"]
 
 
 def dense_sql(name: str, src: str, interval: int, window: int, sums: dict[str, str]) -> str:
@@ -242,6 +246,22 @@ def q_active_alerts(spark, d):
     return M.active_alerts(M.alert_intervals(_metrics(spark, d), M.rules_frame(spark)))
 
 
+@query("stream_alerts", METRICS_SQL + "\nSELECT * FROM intervals")
+def q_stream_alerts(spark, d):
+    """W4 in the stream: the samples arrive in slices of time, each a run that continues the alert states of those before."""
+    root = scratch_path(spark, f"alerts-{uuid.uuid4().hex[:12]}")
+    samples, rules = reliable(_metrics(spark, d).withColumn("interval_s", F.col("interval_s").cast("int"))), M.rules_frame(spark)
+    past = F.to_timestamp_ntz(F.lit(SPAN[1])) + F.expr("INTERVAL 1 DAY")
+    end = spark.range(1).select(F.lit("processed_rate").alias("metric"), F.lit(30).alias("interval_s"), past.alias("tick"), F.lit(None).cast("double").alias("value"))
+    at = F.col("tick")
+    for lo, hi in zip([None, *ALERT_SLICES], [*ALERT_SLICES, None]):
+        part = samples.where((at >= ts_lit(lo) if lo else F.lit(True)) & (at < ts_lit(hi) if hi else F.lit(True)))
+        (part if hi else part.unionByName(end)).write.mode("append").parquet(f"{root}/samples")
+        stream = spark.readStream.schema(alerting.SAMPLE).parquet(f"{root}/samples")
+        alerting.start(stream, rules, f"{root}/states", f"{root}/checkpoint").awaitTermination()
+    return alerting.resolved(spark.read.schema(alerting.STATES).parquet(f"{root}/states"))
+
+
 @query("score_histogram", with_base("""SELECT CASE WHEN ml_anomaly_score < 0.0 THEN 0 WHEN ml_anomaly_score >= 1.0 THEN 11
             ELSE CAST(floor((ml_anomaly_score - 0.0) / 0.1) AS INTEGER) + 1 END AS bin, count(*) AS n
 FROM scored WHERE ml_anomaly_score IS NOT NULL GROUP BY 1"""))

@@ -13,7 +13,8 @@ Per micro-batch ``b``:
      depend on how the stream is cut into batches;
   5. score + rules (E6, R1-R9), alert outbox keyed by (id, channel) (R12);
   6. write every output under ``batch_id=b`` with overwrite, the batch's id filter and
-     its account totals (merged with older ones at times, see ``runs``);
+     its account totals (merged with older ones at times, see ``runs``), and its counts
+     for the dashboard (``board``);
   7. write the batch's counters (observed while its rows were written) and the seconds
      of its stages (A13, N8, X6).
 
@@ -38,6 +39,7 @@ from pyspark.sql.streaming import StreamingQueryListener
 from riskflow.functions import exprs as X
 from riskflow.operators import alerts, forest, ingest, lifecycle, monitor, rules, score
 from riskflow.schema import REQUEST, SCORED_COLUMNS, TRANSACTION_COLUMNS
+from riskflow.streaming.board import Board
 from riskflow.streaming.runs import Runs, Seen, fs_of
 
 STATE = "state"
@@ -47,6 +49,7 @@ OUTBOX = "outbox"
 DEAD = "dead_letter"
 SEEN = "seen"
 METRICS = "metrics"
+BOARD = "board"
 STAGES = ("parse", "check", "score", "reject", "alert", "state")
 METRICS_SCHEMA = ("batch_id long, from_ts timestamp_ntz, to_ts timestamp_ntz, processed long, anomaly long, error long, corrupt long, duplicate long, "
                   "batches_read long, " + ", ".join(f"{x}_s double" for x in STAGES))
@@ -67,7 +70,8 @@ class Detector:
         self.fallback = fallback
         self.channels = channels or ["slack", "email", "webhook"]
         self.seen = Seen(spark, self.path(SEEN), self.path(SCORED))
-        self.accounts = Runs(spark, self.path(STATE), "account_id", {"n": "long", "sum_cents": "long"})
+        self.accounts = Runs(spark, self.path(STATE), {"account_id": "string"}, {"n": "long", "sum_cents": "long"})
+        self.board = Board(spark, self.path(BOARD), self.seen)
 
     def path(self, table: str) -> str:
         return f"{self.out}/{table}"
@@ -100,6 +104,7 @@ class Detector:
             spent[name] += time.monotonic() - begin
 
         self.accounts.drop_merged(batch_id)
+        self.board.added.drop_merged(batch_id)
         order = tuple(c for c in ARRIVAL if c in batch.columns)
         with stage("parse"):
             # parsed and checked once per batch, its rows counted on the way
@@ -144,6 +149,7 @@ class Detector:
                 "overwrite").parquet(f"{self.path(OUTBOX)}/batch_id={batch_id}")
         with stage("state"):
             self.accounts.add(written.groupBy("account_id").agg(F.count(F.lit(1)).alias("n"), F.sum(X.cents()).alias("sum_cents")), batch_id)
+            self.board.add(written, batch_id)
             self.seen.add(written, batch_id)
         row = {"batch_id": batch_id, **came.get, **kept.get, **lost.get, "batches_read": len(batches), **{f"{k}_s": v for k, v in spent.items()}}
         schema = T._parse_datatype_string(METRICS_SCHEMA)

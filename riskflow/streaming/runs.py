@@ -95,36 +95,51 @@ def digits(batch_id: int) -> Iterator[tuple[int, int]]:
 
 
 class Runs:
-    """Totals per ``key`` (columns ``sums``) of all batches under ``path``."""
+    """Totals per ``keys`` (columns ``sums``; both with their types) of all batches under ``path``."""
 
-    def __init__(self, spark: SparkSession, path: str, key: str, sums: dict[str, str]):
-        self.spark, self.path, self.key, self.sums = spark, path, key, sums
-        self.schema = ", ".join([f"{key} string", *(f"{c} {t}" for c, t in sums.items())])
+    def __init__(self, spark: SparkSession, path: str, keys: dict[str, str], sums: dict[str, str]):
+        self.spark, self.path, self.keys, self.sums = spark, path, keys, sums
+        self.schema = ", ".join(f"{c} {t}" for c, t in (keys | sums).items())
 
     def _folder(self, level: int, first: int) -> str:
         return f"{self.path}/level={level}/first={first}"
 
     def _merged(self, folders: list[str]) -> DataFrame:
         rows = self.spark.read.schema(self.schema).parquet(*folders)
-        return rows.groupBy(self.key).agg(*[F.sum(c).alias(c) for c in self.sums])
+        return rows.groupBy(*self.keys).agg(*[F.sum(c).alias(c) for c in self.sums])
 
     def before(self, batch_id: int) -> DataFrame | None:
         """Totals of the batches before ``batch_id``: at most BASE - 1 runs a level are read."""
-        folders = [f for f in (self._folder(*run) for run in digits(batch_id)) if committed(self.spark, f)]
+        folders = [f for run in digits(batch_id) for f in self._held(*run)]
         return self._merged(folders) if folders else None
 
+    def current(self) -> DataFrame | None:
+        """Totals of all batches that are there."""
+        fs, root = fs_of(self.spark, self.path)
+        if not fs.exists(root):
+            return None
+        levels = [int(st.getPath().getName().split("=")[1]) for st in fs.listStatus(root)]
+        ends = [first + BASE ** x for x in levels for first in numbered(self.spark, f"{self.path}/level={x}", "first")]
+        return self.before(max(ends)) if ends else None
+
+    def _held(self, level: int, first: int) -> list[str]:
+        """The folder of a run, or those of its parts where the merge has not been written yet."""
+        if committed(self.spark, self._folder(level, first)):
+            return [self._folder(level, first)]
+        size = BASE ** (level - 1) if level else 0
+        return [f for k in range(BASE if level else 0) for f in self._held(level - 1, first + k * size)]
+
     def add(self, delta: DataFrame, batch_id: int) -> None:
         """Write the batch's totals and the merges that fall due with it."""
         self._write(delta, 0, batch_id)
         level, size = 1, BASE
         while (batch_id + 1) % size == 0:
-            parts = [self._folder(level - 1, batch_id + 1 - size + k * size // BASE) for k in range(BASE)]
-            parts = [f for f in parts if committed(self.spark, f)]
+            parts = [f for k in range(BASE) for f in self._held(level - 1, batch_id + 1 - size + k * size // BASE)]
             self._write(self._merged(parts), level, batch_id + 1 - size)
             level, size = level + 1, size * BASE
 
     def _write(self, rows: DataFrame, level: int, first: int) -> None:
-        rows.select(self.key, *self.sums).sortWithinPartitions(self.key).write.mode("overwrite").parquet(self._folder(level, first))
+        rows.select(*self.keys, *self.sums).sortWithinPartitions(*self.keys).write.mode("overwrite").parquet(self._folder(level, first))
 
     def drop_merged(self, batch_id: int) -> None:
         """Delete runs that neither this batch nor a later one reads; called when the batch begins,

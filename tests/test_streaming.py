@@ -81,7 +81,7 @@ def test_runs_of_a_batch_follow_from_its_number():
 def test_account_totals_and_bytes_follow_the_batch(spark, tmp_dir):
     """50 batches of 20 accounts each: what is written a batch does not grow, merges aside, and
     a replayed batch leaves the same totals."""
-    table = runs.Runs(spark, tmp_dir + "/state", "account_id", {"n": "long", "sum_cents": "long"})
+    table = runs.Runs(spark, tmp_dir + "/state", {"account_id": "string"}, {"n": "long", "sum_cents": "long"})
 
     def delta(b):
         return spark.range(20).select(F.format_string("A%05d", F.col("id") + b * 20 % 300).alias("account_id"), F.lit(1).cast("long").alias("n"),
