@@ -24,17 +24,19 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts in no language (null, empty, no letter) go, also where no label was there to
-    learn from. Nothing else is judged here."""
+    learn from. The language found is written to rows without a label; labels stay. An empty
+    table stays empty, repeated rows are judged alike, further columns are kept as they are."""
     model = langid.train(docs)
     if model is None:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    out = langid.predict(docs, model)
-    return out.where(F.col("lang_pred") != langid.UNKNOWN).select("row.*")
+    out = langid.predict(docs, model).where(F.col("lang_pred") != langid.UNKNOWN)
+    return out.select(*[F.coalesce(f"row.`{c}`", "lang_pred").alias(c) if c == "lang" else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each near-duplicate group (five-word shingles, similarity 0.8 or more) the
-    smallest id stays, of its repeated rows one."""
+    smallest id stays, of its repeated rows (equal id and text) one. Rows without an id, a text or
+    a word are in no group and stay."""
     found = materialise(minhash.near_duplicates(docs, minhash.Plan(width=5, percent=80)), "groups")
     gone = found.where("doc > component").select(F.col("doc").alias("doc_id")).distinct()
     kept = _without(docs, gone)
@@ -42,7 +44,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     again = materialise(again, "repeated")
     sift = maybe_in(kept, F.col("doc_id"), again, "doc_id")
     return sift.where("not __hit").drop("__hit").unionByName(
-        sift.where("__hit").drop("__hit").withColumn("_t", F.xxhash64("text")).dropDuplicates(["doc_id", "_t"]).drop("_t"))
+        sift.where("__hit").withColumn("__hit", F.xxhash64("text")).dropDuplicates(["doc_id", "__hit"]).drop("__hit"))
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,13 +60,15 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that leak a benchmark item go."""
+    """Documents that leak a benchmark item go, with all rows of their id; rows without an id stay,
+    and all do where the benchmark is empty."""
     found = decontam.leaks(docs, table(spark, sf_dir, "benchmark"))
     return _without(docs, materialise(found.select("doc_id").distinct(), "leaking"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences of 2048."""
+    """Pieces of token sequences of 2048. A null or empty text is its end id alone; rows without an
+    id are packed too, repeated rows one by one."""
     out = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), tokens.WORDS, end=1)
     return out.withColumnRenamed("doc", "doc_id").withColumn("ids_crc32", F.crc32("ids"))
 

@@ -340,6 +340,33 @@ def test_pipeline_without_labels_drops_only_texts_without_letters(spark, docs):
     assert sorted(got) == sorted(r.text for r in docs.collect() if any(map(str.isalpha, r.text or ""))) and len(got) > 40
 
 
+def test_pipeline_writes_languages_where_no_label_was(spark):
+    import corpus_pipeline as cp
+    rows = [(i, prose(i, 30), "en" if i % 4 else None, i) for i in range(1, 41)] + [(50, "12", None, 5), (None, prose(9, 30), None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred long")
+    got = {r.doc_id: r for r in cp.language_id(spark, df, "").collect()}
+    assert set(got) == {i for i, *_ in rows} - {50} and {r.lang for r in got.values()} == {"en"}
+    assert all(r.lang_pred == r.doc_id for r in got.values()) and list(got[1].asDict()) == df.columns
+
+
+def test_pipeline_stages_on_empty_tables_and_clashing_columns(spark, docs, tmp_path):
+    import corpus_pipeline as cp
+    cols = ["doc_id", "text", "lang", "source", "n_chars"]
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    here = docs.select(*cols)
+    twice = here.unionByName(here.where("doc_id = 3"))
+    wide = twice.withColumns({"_t": F.col("text"), "row": F.lit(1), "text_": F.lit("x"), "doc": F.col("doc_id"), "count": F.lit(2)})
+    state = wide
+    for name, stage in cp.STAGES[:-1]:
+        assert stage(spark, here.limit(0), str(tmp_path)).count() == 0
+        state = stage(spark, state, str(tmp_path))
+        assert state.columns == wide.columns
+        if name == "near_dedup":
+            assert state.where("doc_id = 3").count() <= 1
+    assert state.where("not (doc <=> doc_id)").count() == 0 and state.count() > 20
+    assert cp.pack(spark, here.limit(0), str(tmp_path)).count() == 0
+
+
 def test_pipeline(spark, docs, corpus, tmp_path):
     import corpus_pipeline as cp
     from test_text_ops import brute_groups, brute_repeats
