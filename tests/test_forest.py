@@ -49,3 +49,20 @@ def test_missing_features_score_null(spark):
                                "amount double, account_avg_amount double, deviation_from_avg double")
     out = [r.s for r in df.select(f.score_column(spark).alias("s")).collect()]
     assert out[0] is None and out[1] is not None
+
+
+def test_retraining_leaves_out_amounts_that_the_detector_rejects(spark, tmp_dir):
+    from riskflow.operators import evaluate, ingest
+    from riskflow.plans import views
+    from riskflow.plans.catalog import QUERIES
+    ev = spark.range(1500).select(
+        F.col("id").alias("event_id"), (F.lit("2024-01-02 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(mins=F.col("id").cast("int") * 20)).alias("ts"),
+        (F.col("id") % 9).alias("user_id"), F.when(F.col("id") % 6 == 0, "error").otherwise("view").alias("event_type"),
+        F.when(F.col("id") == 700, 0.0).otherwise((F.col("id") * 37 % 500 + 1).cast("double")).alias("value"),
+        F.format_string('{"k": %d}', F.col("id") % 100).alias("props"))
+    ev.write.parquet(f"{tmp_dir}/events.parquet")
+    store = views.store(spark, tmp_dir)
+    assert store.count() == 1500 and ingest.positive_amounts(store).count() == 1499
+    with pytest.raises(evaluate.DataQualityError, match="amount_positive"):
+        evaluate.raise_on_gate(evaluate.quality_gate(store))
+    assert QUERIES["retrain_pipeline"](spark, tmp_dir).count() == 1
