@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from riskflow import constants as C
 from riskflow.functions import exprs as X
-from riskflow.session import reliable
+from riskflow.session import reliable, stored
 
 
 def account_aggregates(tx: DataFrame, key: str = "account_id") -> DataFrame:
@@ -47,8 +47,8 @@ def history_before_row(tx: DataFrame, key: str = "account_id",
     ``base`` (key, base_n, base_sum_cents) is history stored before these
     rows (the streaming account state); it is added to every prefix.
     """
-    t = reliable(tx.withColumn("_c", X.cents()).repartitionByRange(key, *order)
-                   .withColumn("_b", F.spark_partition_id()))
+    t = stored(tx.withColumn("_c", X.cents()).repartitionByRange(key, *order)
+                 .withColumn("_b", F.spark_partition_id()), "history")
     chunks = t.groupBy(key, "_b").agg(F.count(F.lit(1)).alias("_cc"), F.sum("_c").alias("_cs"))
     wk = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     prefix = chunks.select(key, "_b",

@@ -11,16 +11,17 @@ from riskflow.schema import SCORED, TRANSACTION_COLUMNS
 from riskflow.session import stored
 
 
-def reject_reason() -> Column:
+def reject_reason(amount: Column | None = None, at: Column | None = None) -> Column:
     """The first failed check, in the reference order, else NULL.
 
     Missing fields are checked in order; then the amount must parse as a
     number and be > 0. NaN and +Infinity pass (Spark orders NaN above every
     number). A missing label is an extra, later reason: such a row could never
     be stored. Checks and ``typed`` share their expressions, so what passes
-    here never fails there.
+    here never fails there. ``amount`` and ``at`` are the parsed fields where they are columns already.
     """
-    amount_num = X.number("amount")
+    amount_num = X.number("amount") if amount is None else amount
+    at = X.utc_timestamp("timestamp") if at is None else at
     checks = [F.when(F.col(f).isNull(), F.lit(f"Missing required field: {f}"))
               for f in C.REQUIRED_FIELDS]
     checks += [
@@ -28,7 +29,7 @@ def reject_reason() -> Column:
         F.when(amount_num <= 0, F.concat(F.lit("Invalid amount: "), amount_num.cast("string"),
                                          F.lit(" (must be positive)"))),
         F.when(F.col("is_fraud").isNull(), F.lit("Missing required field: is_fraud")),
-        F.when(X.utc_timestamp("timestamp").isNull(),
+        F.when(at.isNull(),
                F.concat(F.lit("Invalid timestamp format: "), F.col("timestamp"))),
     ]
     return F.coalesce(*checks)
@@ -49,9 +50,9 @@ def checked(requests: DataFrame) -> DataFrame:
     is_fraud), stored once: whoever filters on the reason or reads a field again reads
     columns. Left as expressions, a filter on the reason repeats the derivation of every
     field that the checks use."""
-    parsed = F.struct(X.number("amount").alias("amount"), X.utc_timestamp("timestamp").alias("timestamp"),
-                      F.col("is_fraud").cast("int").alias("is_fraud"))
-    return stored(validate(requests).withColumn("_t", parsed), "requests")
+    parsed = F.struct(F.col("_a").alias("amount"), F.col("_w").alias("timestamp"), F.col("is_fraud").cast("int").alias("is_fraud"))
+    read = requests.withColumns({"_a": X.number("amount"), "_w": X.utc_timestamp("timestamp")})       # parsed once a row
+    return stored(read.withColumns({"reject_reason": reject_reason(F.col("_a"), F.col("_w")), "_t": parsed}).drop("_a", "_w"), "requests")
 
 
 def typed(valid: DataFrame) -> DataFrame:

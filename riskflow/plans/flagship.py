@@ -12,11 +12,11 @@ import uuid
 from pyspark.sql import functions as F
 
 from riskflow import constants as C
-from riskflow.operators import review, score
+from riskflow.operators import monitor, review, score
 from riskflow.plans.registry import query
 from riskflow.plans.sqlparts import ARRIVAL_ORDER, DECISIONS, REQ, SCORED_COLS, VALIDATED, scored
 from riskflow.schema import SCORED_COLUMNS
-from riskflow.session import reliable, scratch_path, ts_lit
+from riskflow.session import reliable, scratch_path
 from riskflow.sources import adapters, messages
 from riskflow.streaming import detector
 
@@ -53,12 +53,12 @@ def _streamed(spark, d) -> detector.Detector:
     """The streaming detector after the whole feed, which arrives in slices of message files,
     each one a micro-batch that continues the stored ids and account totals of those before."""
     root = scratch_path(spark, f"stream-{uuid.uuid4().hex[:12]}")
-    req = adapters.event_requests(spark, d)
     job = detector.Detector(spark, f"{root}/out")
-    at = F.col("arrival_ts")
+    # a message's offset is its arrival; the detector settles those that arrive together, as the batch does
+    offset = monitor.epoch_us("arrival_ts") * 2 + F.col("copy")
     for lo, hi in zip([None, *SLICES], [*SLICES, None]):
-        part = req.where((at >= ts_lit(lo) if lo else F.lit(True)) & (at < ts_lit(hi) if hi else F.lit(True)))
-        messages.to_messages(part, ["arrival_ts", "copy", "transaction_id"], exclude=("arrival_ts", "copy")).write.mode("append").json(f"{root}/topic")
+        part = adapters.event_requests(spark, d, lo, hi)
+        messages.envelopes(part, offset, exclude=("arrival_ts", "copy")).write.mode("append").json(f"{root}/topic")
         detector.start(spark, messages.message_stream(spark, "files", f"{root}/topic"), job, f"{root}/checkpoint").awaitTermination()
     return job
 

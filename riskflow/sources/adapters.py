@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskflow.constants import LOCATIONS, MERCHANT_CATEGORIES
+from riskflow.session import ts_lit
 from riskflow.sources.tables import read_table
 
 EVENTS_FROM = "2024-01-01 00:00:00"
@@ -44,7 +45,7 @@ def events_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def event_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+def event_requests(spark: SparkSession, sf_dir: str, since: str | None = None, until: str | None = None) -> DataFrame:
     """events -> raw request stream (text fields, as received from a topic).
 
     Defects are injected from the ``props.k`` value carried by each event:
@@ -55,13 +56,26 @@ def event_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     k=10 NaN. Events with k=5 are re-sent an hour later with a doubled amount (a
     replay, which dedupe must reject: first arrival wins); those with k=11 arrive
     twice at once, alike in everything. ``arrival_ts``/``copy`` give the arrival order.
+    With ``since`` (included) and ``until`` only what arrives between them.
     """
     ev = read_table(spark, sf_dir, "events", ["event_id", "ts", "user_id", "event_type", "value", "props"])
-    k = props_k()
+    # a request arrives at its event's time or an hour later: other events are not derived at all
+    if since:
+        ev = ev.where(F.col("ts") >= ts_lit(since) - F.make_dt_interval(hours=F.lit(1)))
+    if until:
+        ev = ev.where(F.col("ts") < ts_lit(until))
+    # read from the text once a row, as every defect asks for it
+    ev = ev.withColumn("k", props_k()).drop("props")
+    k = F.col("k")
     # one scan: a replayed event explodes into its two copies
     ev = ev.withColumn("copy", F.explode(F.when(k == 5, F.array(F.lit(0), F.lit(1)))
                                          .when(k == 11, F.array(F.lit(0), F.lit(0)))
                                          .otherwise(F.array(F.lit(0)))))
+    arrival = F.col("ts") + F.make_dt_interval(hours=F.col("copy"))
+    if since:
+        ev = ev.where(arrival >= ts_lit(since))
+    if until:
+        ev = ev.where(arrival < ts_lit(until))
     amount = F.round(F.col("value") * 20, 2) * (F.col("copy") + 1)
     return ev.select(
         F.format_string("TRX_%07d", "event_id").alias("transaction_id"),
@@ -82,7 +96,7 @@ def event_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
          .otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")).alias("timestamp"),
         F.when((F.col("event_type") == "error") & (F.col("value") >= 100), 1)
          .otherwise(0).cast("int").alias("is_fraud"),
-        (F.col("ts") + F.make_dt_interval(hours=F.col("copy"))).alias("arrival_ts"),
+        arrival.alias("arrival_ts"),
         F.col("copy"),
     )
 

@@ -39,6 +39,7 @@ from pyspark.sql.streaming import StreamingQueryListener
 from riskflow.functions import exprs as X
 from riskflow.operators import alerts, forest, ingest, lifecycle, monitor, rules, score
 from riskflow.schema import REQUEST, SCORED_COLUMNS, TRANSACTION_COLUMNS
+from riskflow.session import stored
 from riskflow.streaming.board import Board
 from riskflow.streaming.runs import Runs, Seen, fs_of
 
@@ -118,12 +119,14 @@ class Detector:
 
         with stage("check"):
             accepted, rejects = ingest.split_requests(good, order=order, keep=(*order, "raw"))
-            stored, batches = self.seen.stored(accepted.select("transaction_id"), batch_id)
-            if stored is not None:
-                dup = accepted.join(stored.where(F.col("transaction_id").isNotNull()), "transaction_id", "left_semi")
+            before, batches = self.seen.stored(accepted.select("transaction_id"), batch_id)
+            if before is not None:
+                # the big ids meet once; what came again is few rows as a rule, and its size decides how it joins
+                late = stored(accepted.select("transaction_id").join(before, "transaction_id", "left_semi"), "late")
+                dup = accepted.join(late, "transaction_id", "left_semi")
                 rejects = rejects.unionByName(dup.select("transaction_id", F.lit("Duplicate transaction_id").alias("reject_reason"),
                                                          *order, F.to_json(F.struct(*TRANSACTION_COLUMNS)).alias("raw")))
-                accepted = accepted.join(stored, "transaction_id", "left_anti")
+                accepted = accepted.join(late, "transaction_id", "left_anti")
             rejects = rejects.unionByName(corrupt).withColumn("batch_id", F.lit(batch_id))
 
         # write the batch outputs (overwrite = idempotent on replay)
@@ -188,9 +191,9 @@ def _parse_messages(msgs: DataFrame, order: tuple[str, ...]) -> DataFrame:
     whether it could not be read."""
     schema = T.StructType(REQUEST.fields + [T.StructField("_corrupt_record", T.StringType())])
     p = F.from_json(F.col("value"), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
-    bad = F.col("value").isNull() | p.isNull() | p["_corrupt_record"].isNotNull()
-    return (msgs.select(*order, p.alias("_p"), F.col("value").alias("raw"), bad.alias("_corrupt"))
-                .select(*order, "_p.*", "raw", "_corrupt").drop("_corrupt_record"))
+    bad = F.col("raw").isNull() | F.col("_p").isNull() | F.col("_p._corrupt_record").isNotNull()
+    return (msgs.select(*order, p.alias("_p"), F.col("value").alias("raw"))
+                .select(*order, "_p.*", "raw", bad.alias("_corrupt")).drop("_corrupt_record"))
 
 
 def start(spark: SparkSession, source: DataFrame, detector: Detector, checkpoint: str,

@@ -169,3 +169,15 @@ def test_progress_table_and_backlog(spark, tmp_dir):
     assert all("triggerExecution" in r.durations for r in table)
     put(range(5, 9))
     assert S.file_backlog(spark, src, ck) == 4                 # it grows and drains
+
+
+def test_a_slice_of_the_feed_is_one_narrow_pass(spark):
+    """The feed was derived three times a slice, for a sort over ranges, and its property text read once a defect."""
+    whole, lo, hi = adapters.event_requests(spark, SF), "2024-01-11 00:00:00", "2024-01-21 00:00:00"
+    parts = [adapters.event_requests(spark, SF, a, b) for a, b in ((None, lo), (lo, hi), (hi, None))]
+    assert sorted(map(str, whole.collect())) == sorted(str(r) for p in parts for r in p.collect())
+    assert parts[1].where((F.col("arrival_ts") < F.lit(lo).cast("timestamp_ntz")) | (F.col("arrival_ts") >= F.lit(hi).cast("timestamp_ntz"))).count() == 0
+    out = messages.envelopes(parts[1], monitor.epoch_us("arrival_ts") * 2 + F.col("copy"), exclude=("arrival_ts", "copy"))
+    p = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in p and p.count("get_json_object") == 1
+    assert out.columns == ["offset", "value"] and "arrival_ts" not in out.first()["value"]
