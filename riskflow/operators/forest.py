@@ -44,6 +44,10 @@ NODE_SCHEMA = T.StructType([
 ])
 
 
+#: Rows that walk the trees together.
+SCORE_ROWS = 256
+
+
 def c_factor(n) -> np.ndarray:
     """Average path length of an unsuccessful BST search over n points."""
     n = np.asarray(n, dtype=float)
@@ -74,8 +78,9 @@ def tree_samples(df: DataFrame, features: list[str], key: str = "transaction_id"
     psi = int(min(psi, n))
     p = oversample * psi / max(n, 1) + 40 / max(n, 1)
     base = df.select(F.col(key).alias("_key"), *[F.col(f).cast("double").alias(f) for f in features])
-    drawn = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)), lambda t: _uniform(F.col("_key"), seed, t) < F.lit(p))
-    t = base.withColumn("tree", F.explode(drawn)).withColumn("_h", _uniform(F.col("_key"), seed, F.col("tree")))
+    # rows and trees meet in generated code and are filtered there; a filter of an array is interpreted
+    t = (base.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))))
+             .withColumn("_h", _uniform(F.col("_key"), seed, F.col("tree"))).where(F.col("_h") < F.lit(p)))
     w = Window.partitionBy("tree").orderBy("_h", "_key")
     return (t.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= psi)
              .select(F.col("tree").cast("int"), *features))
@@ -151,6 +156,7 @@ class Forest:
             self.right[i, n] = np.maximum(g["right"].to_numpy(), 0)
             self.leaf_len[i, n] = g["depth"].to_numpy() + c_factor(g["size"].to_numpy())
         self.max_depth = int(nodes["depth"].max())
+        self._nodes = None
 
     @classmethod
     def from_nodes(cls, nodes: DataFrame, features: list[str], psi: int) -> "Forest":
@@ -159,23 +165,36 @@ class Forest:
 
     def decision(self, X: np.ndarray) -> np.ndarray:
         """0.5 - 2^(-E[h]/c(ψ)) for every row of X (n, n_features)."""
-        n_trees = self.feature.shape[0]
         n = X.shape[0]
-        idx = np.zeros((n_trees, n), dtype=np.int64)
-        rows = np.arange(n)
-        for _ in range(self.max_depth + 1):
-            f = np.take_along_axis(self.feature, idx, axis=1)
-            inner = f >= 0
-            if not inner.any():
-                break
-            x = X[rows[None, :], np.where(inner, f, 0)]
-            thr = np.take_along_axis(self.threshold, idx, axis=1)
-            nxt = np.where(x <= thr, np.take_along_axis(self.left, idx, axis=1),
-                           np.take_along_axis(self.right, idx, axis=1))
-            idx = np.where(inner, nxt, idx)
-        depth = np.take_along_axis(self.leaf_len, idx, axis=1).mean(axis=0)
+        out = np.empty(n)
+        for a in range(0, n, SCORE_ROWS):
+            out[a:a + SCORE_ROWS] = self._depth(X[a:a + SCORE_ROWS])
         cpsi = float(c_factor([self.psi])[0]) or 1.0
-        return 0.5 - np.power(2.0, -depth / cpsi)
+        return 0.5 - np.power(2.0, -out / cpsi)
+
+    def _depth(self, X: np.ndarray) -> np.ndarray:
+        """E[h] of a few rows, whose state in all trees fits a core's cache. Leaves lead to themselves."""
+        n, k = X.shape
+        feature, threshold, child, leaf_len = self._flat()
+        x = np.ascontiguousarray(X).ravel()
+        rows = np.arange(n, dtype=np.intp) * k
+        at = np.repeat(np.arange(self.feature.shape[0], dtype=np.intp)[:, None] * self.feature.shape[1], n, axis=1)
+        for _ in range(self.max_depth):
+            left = x.take(feature.take(at) + rows) <= threshold.take(at)
+            at *= 2
+            at += left
+            at = child.take(at)
+        return leaf_len.take(at).mean(axis=0)
+
+    def _flat(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Feature, threshold, children (right, left) and leaf length of all trees' nodes in one row."""
+        if self._nodes is None:
+            trees, width = self.feature.shape
+            here = np.arange(trees * width, dtype=np.intp).reshape(trees, width)
+            first, leaf = here[:, :1], self.feature < 0
+            child = np.stack([np.where(leaf, here, first + self.right), np.where(leaf, here, first + self.left)], axis=-1)
+            self._nodes = (np.where(leaf, 0, self.feature).astype(np.intp).ravel(), self.threshold.ravel(), child.astype(np.intp).ravel(), self.leaf_len.ravel())
+        return self._nodes
 
     def score_column(self, spark) -> Column:
         """The decision score as a column: an Arrow pandas_udf over a struct

@@ -66,3 +66,26 @@ def test_retraining_leaves_out_amounts_that_the_detector_rejects(spark, tmp_dir)
     with pytest.raises(evaluate.DataQualityError, match="amount_positive"):
         evaluate.raise_on_gate(evaluate.quality_gate(store))
     assert QUERIES["retrain_pipeline"](spark, tmp_dir).count() == 1
+
+
+def test_trees_draw_rows_in_generated_code(spark):
+    df = spark.range(500).select(F.col("id").cast("string").alias("transaction_id"), F.col("id").cast("double").alias("a"))
+    p = forest.tree_samples(df, ["a"], n_trees=5, psi=64)._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in p and "explode(" in p
+
+
+def test_scores_do_not_depend_on_the_rows_that_walk_together(monkeypatch):
+    f = Forest(mini_forest_nodes(), ["amount", "account_avg_amount", "deviation_from_avg"], 256)
+    x = np.random.default_rng(3).uniform([0, 0, -1], [8000, 1200, 9], size=(41, 3))
+    got = []
+    for rows in (256, 7):
+        monkeypatch.setattr(forest, "SCORE_ROWS", rows)
+        got.append(f.decision(x))
+
+    def walk(t, row):
+        n = 0
+        while f.feature[t, n] >= 0:
+            n = (f.left if row[f.feature[t, n]] <= f.threshold[t, n] else f.right)[t, n]
+        return f.leaf_len[t, n]
+    brute = [0.5 - 2 ** (-np.mean([walk(t, r) for t in range(3)]) / c_factor([256])[0]) for r in x]
+    assert np.allclose(got[0], brute, atol=1e-12) and np.allclose(got[1], brute, atol=1e-12)
